@@ -27,18 +27,24 @@ SAMPLE_ROWS = 12_000
 TERMS = 384
 CANDIDATES = 20_000
 VOTERS = 24
-LEAST_SUPPORT = 4
+LEAST_SUPPORT = 5
+LEAST_SHARE = 0.01
 THRESHOLD = 0.7
 BEGINNINGS = (4, 5, 6, 7)
+SEVERAL = 3
+TRUST = 0.98
+MOST_SAY = 2.5
 _SPACE = bytes(c if chr(c).isalpha() or c >= 128 else 32 for c in range(256))
 
 
 def terms_of(text: str | None) -> set[bytes]:
-    """Distinct lower-case words and, marked by a star, their beginnings in bytes."""
-    words = set((text or "").lower().encode("utf-8", "replace").translate(_SPACE).split())
-    out = set(words)
+    """Distinct lower-case words; beginnings in bytes, with a star; two stars if several distinct words share one."""
+    out = set((text or "").lower().encode("utf-8", "replace").translate(_SPACE).split())
+    words = list(out)
     for n in BEGINNINGS:
-        out.update(w[:n] + b"*" for w in words if len(w) > n)
+        seen = Counter([w[:n] + b"*" for w in words if len(w) > n])
+        out.update(seen)
+        out.update([b + b"*" for b, k in seen.items() if k >= SEVERAL])
     return out
 
 
@@ -91,25 +97,30 @@ def votes_of(x: np.ndarray, voters: int = VOTERS) -> np.ndarray:
     k = min(voters, max(1, x.shape[1]))
     lexicons = [(x[:, j::k].any(1)).astype(np.int8) for j in range(k)]
     n, half = x.sum(1), (x[:, ::2].sum(1), x[:, 1::2].sum(1))
-    patterns = [np.where(n >= 3, 1, np.where(n == 0, -1, 0)), *(np.where(h >= 2, 1, np.where(h == 0, -1, 0)) for h in half)]
+    patterns = [np.where(n >= 2, 1, np.where(n == 0, -1, 0)), *(np.where(h >= 2, 1, 0) for h in half)]
     return np.stack([*lexicons, *patterns], 1).astype(np.int8)
 
 
-def label_model(votes: np.ndarray, prior: float, rounds: int = 25) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Posterior of the toxic class, each voter's accuracy where it votes, and residual correlations."""
+def label_model(votes: np.ndarray, prior: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Posterior of the toxic class, each voter's accuracy where it votes, and residual correlations.
+
+    Expectation maximisation from prior probabilities, which carry what the
+    annotators of each row said.  A voter that abstains says nothing, so a row
+    that only one language's lexicons speak on is judged by those alone.
+    """
     n, m = votes.shape
-    q = np.clip(prior + 0.4 * np.sign(votes.sum(1)), 0.02, 0.98)
-    states = [(votes == v).astype(float) for v in (-1, 0, 1)]
+    q, base = prior, np.log(prior / (1 - prior))
+    states = {v: (votes == v).astype(float) for v in (-1, 1)}
     corr = np.eye(m)
     for _ in range(rounds):
-        p = np.stack([[(q @ s + 0.5) / (q.sum() + 1.5), ((1 - q) @ s + 0.5) / ((1 - q).sum() + 1.5)] for s in states])
-        mean = np.tensordot([-1, 0, 1], p, 1)
+        p = {v: ((q @ s + 0.5) / (q.sum() + 1.5), ((1 - q) @ s + 0.5) / ((1 - q).sum() + 1.5)) for v, s in states.items()}
+        mean = [p[1][c] - p[-1][c] for c in (0, 1)]
         rest = votes - np.outer(q, mean[0]) - np.outer(1 - q, mean[1])
         scale = rest.std(0) + 1e-9
         corr = (rest / scale).T @ (rest / scale) / n
-        share = 1 / np.maximum(1, np.clip(corr, 0, 1).sum(1))
-        said = sum(s * np.log(p[i, 0] / p[i, 1]) for i, s in enumerate(states))
-        logit = np.clip(np.log(prior / (1 - prior)) + said @ share, -30, 30)
+        share = 1 / np.sqrt(np.maximum(1, np.clip(corr, 0, 1).sum(1)))
+        said = sum(s * np.clip(np.log(p[v][0] / p[v][1]), -MOST_SAY, MOST_SAY) for v, s in states.items())
+        logit = np.clip(base + said @ share, -30, 30)
         q = 1 / (1 + np.exp(-logit))
     spoke = np.maximum(1e-9, (votes != 0).sum(0))
     accuracy = ((votes == 1) * q[:, None] + (votes == -1) * (1 - q[:, None])).sum(0) / spoke
@@ -129,6 +140,20 @@ def fit_linear(x: np.ndarray, q: np.ndarray, ridge: float = 0.3, rounds: int = 1
     return w[:-1], float(w[-1])
 
 
+def distinct_terms(ranked: list[tuple[float, bytes]], least: float, most: int) -> list[bytes]:
+    """The strongest terms, without those that a stronger beginning already covers."""
+    kept: list[bytes] = []
+    held: set[bytes] = set()
+    for s, t in ranked:
+        if s < least or len(kept) == most:
+            break
+        base, stars = t.rstrip(b"*"), len(t) - len(t.rstrip(b"*"))
+        if not any(base[:n] + b"*" * k in held for n in range(min(BEGINNINGS), len(base) + (stars != 1)) for k in (1, 2) if k == 1 or stars != 1):
+            kept.append(t)
+            held.add(t)
+    return kept
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, terms: int = TERMS) -> ToxicityModel:
     """Learn from about sample_rows labelled rows at most, none of them held out.
 
@@ -142,14 +167,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, term
         return ToxicityModel()
     share = min(1.0, sample_rows / count["n"])
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(chosen, "doc_id").select("text", "toxic").persist()
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(chosen, "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic")).persist()
     try:
         n_toxic = rows.where("toxic = 1").count()
         n_clean = rows.count() - n_toxic
         if not n_toxic or not n_clean:
             return ToxicityModel()
         total = lambda part, kept: part.select("text").mapInArrow(_counts(kept), "term binary, n long").groupBy("term").agg(F.sum("n").alias("n"))
-        found = total(rows.where("toxic = 1"), None).where(F.col("n") >= LEAST_SUPPORT).orderBy(F.desc("n"), "term").limit(CANDIDATES).collect()
+        found = total(rows.where("toxic = 1"), None).where(F.col("n") >= max(LEAST_SUPPORT, LEAST_SHARE * n_toxic)).orderBy(F.desc("n"), "term").limit(CANDIDATES).collect()
         toxic = {bytes(r["term"]): r["n"] for r in found}
         clean = {bytes(r["term"]): r["n"] for r in total(rows.where("toxic = 0"), set(toxic)).collect()}
 
@@ -157,8 +182,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, term
             a, b = toxic[t] + 0.5, clean.get(t, 0) + 0.5
             return np.log(a / (n_toxic + 1)) - np.log(b / (n_clean + 1)) - 1.65 * np.sqrt(1 / a + 1 / b)
 
-        ranked = sorted(((strength(t), t) for t in toxic), reverse=True)
-        best = [t for s, t in ranked[:terms] if s > 0]
+        least = np.log(THRESHOLD / (1 - THRESHOLD)) + np.log(n_clean / n_toxic)  # alone, a term must make a row toxic
+        best = distinct_terms(sorted(((strength(t), t) for t in toxic), key=lambda x: (-x[0], len(x[1]), x[1])), least, terms)
         if not best:
             return ToxicityModel()
         sample = rows.mapInArrow(_hits(best), "hits array<int>, toxic int").toPandas()
@@ -167,7 +192,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, term
     x = np.zeros((len(sample), len(best)), np.float32)
     for i, hits in enumerate(sample["hits"]):
         x[i, hits] = 1
-    q, accuracy, corr = label_model(votes_of(x), n_toxic / (n_toxic + n_clean))
+    marked = sample["toxic"].to_numpy(float)
+    q, accuracy, corr = label_model(votes_of(x), TRUST * marked + (1 - TRUST) * (1 - marked))
     weights, bias = fit_linear(x, q)
     return ToxicityModel(best, [float(w) for w in weights], bias, [float(a) for a in accuracy], corr.round(4).tolist())
 
