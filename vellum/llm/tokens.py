@@ -1,20 +1,27 @@
-"""Tokenising inside tasks with the `tokenizers` library and a bounded memo.
+"""Tokenising inside tasks with the `tokenizers` library and bounded memos.
 
 The byte-level pattern never lets a token hold a space except as its first
 character, so a text falls apart before every single space without changing
 its ids; the only exception is a run of white space that reaches across such
-a space, and those texts go through the library whole.  Each distinct piece
-is encoded by the library once and remembered.
+a space, and those texts go through the library whole.  Pieces fall apart
+further by the vocabulary's own pattern.  The library's model encodes each
+distinct part once, and the ids are remembered.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from array import array
+from itertools import chain
 
-import numpy as np
+import regex
 
-MEMO_PIECES = 300_000
+MEMO_PIECES = 500_000
+PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+# Byte-level vocabularies write printable Latin-1 bytes as themselves and the others, in order, from U+0100 on.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 _RUN_ACROSS = re.compile(r"\s \s|\s \Z")
 _ENCODERS: dict[str, "Encoder"] = {}
 
@@ -33,11 +40,28 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.vocabulary = self.library.get_vocab_size()
-        self.memo: dict[str, bytes] = {}
+        self.model = self.library.model
+        self.pieces: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
         self.memo_pieces = memo_pieces
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _part(self, part: str) -> bytes:
+        """Ids of one pattern match, by the library's model on its byte letters."""
+        letters = part.encode("utf-8", "replace").decode("latin-1").translate(_LETTERS)
+        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+
+    def _learn(self, fresh: list[str]) -> None:
+        split = [PATTERN.findall(" " + p) for p in fresh]
+        known = self.parts
+        new = list(set(chain.from_iterable(split)).difference(known))
+        if len(known) + len(new) > self.memo_pieces:
+            known.clear()
+            new = list(set(chain.from_iterable(split)))
+        known.update(zip(new, map(self._part, new), strict=True))
+        self.pieces.update(zip(fresh, (b"".join(map(known.__getitem__, s)) for s in split), strict=True))
 
     def encode(self, texts: list[str | None], step_chars: int = 1_000_000) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit bytes; null gives none."""
@@ -55,7 +79,7 @@ class Encoder:
     def _encode_group(self, texts: list[str]) -> list[bytes]:
         whole = {i for i, t in enumerate(texts) if _RUN_ACROSS.search(t)}
         parts = [[] if i in whole else t.split(" ") for i, t in enumerate(texts)]
-        memo = self.memo
+        memo = self.pieces
         wanted: set[str] = set()
         for p in parts:
             wanted.update(p[1:])
@@ -63,7 +87,7 @@ class Encoder:
         if len(memo) + len(fresh) > self.memo_pieces:
             memo.clear()
             fresh = list(wanted)
-        memo.update(zip(fresh, self._library([f" {x}" for x in fresh]), strict=True))
+        self._learn(fresh)
         heads = self._library([texts[i] if i in whole else (p[0] if p else "") for i, p in enumerate(parts)])
         return [h if i in whole else h + b"".join(map(memo.__getitem__, p[1:])) for i, (h, p) in enumerate(zip(heads, parts, strict=True))]
 
