@@ -26,6 +26,15 @@ _RUN_ACROSS = re.compile(r"\s \s|\s \Z")
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
+def _pattern_parts(piece: str) -> list[str]:
+    """Pattern matches of a space and a piece; words, and words before a comma or stop, need no search."""
+    if piece.isalpha():
+        return [" " + piece]
+    if piece[-1:] in (",", ".") and piece[:-1].isalpha():
+        return [" " + piece[:-1], piece[-1]]
+    return PATTERN.findall(" " + piece)
+
+
 def default_path() -> str:
     import public_tokenizers
 
@@ -54,7 +63,7 @@ class Encoder:
         return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
 
     def _learn(self, fresh: list[str]) -> None:
-        split = [PATTERN.findall(" " + p) for p in fresh]
+        split = [_pattern_parts(p) for p in fresh]
         known = self.parts
         new = list(set(chain.from_iterable(split)).difference(known))
         if len(known) + len(new) > self.memo_pieces:
