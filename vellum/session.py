@@ -15,14 +15,17 @@ from pyspark.sql import DataFrame, SparkSession
 ROOT = Path(__file__).resolve().parent.parent
 _SHIPPED: set[str] = set()
 _OWN_SHARED: dict[str, str] = {}
+BATCH_BYTES = "4m"
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Make this package importable in Python workers (once an application).
+    """Make this package importable in Python workers (once an application), and keep Arrow batches small.
 
-    Workers that inherit a PYTHONPATH holding the repository need nothing;
+    Texts vary from a word to megabytes, so batches are bounded by bytes
+    (BATCH_BYTES), not by rows alone.  Workers that inherit a PYTHONPATH holding the repository need nothing;
     otherwise a zip of the sources goes out through Spark's file server.
     """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     app = spark.sparkContext.applicationId
     paths = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
     if app in _SHIPPED or str(ROOT) in paths:
