@@ -149,6 +149,7 @@ def _packer(path: str, end_id: int, window: int, block_tokens: int):
                     out, n = emit(docs, base)
                     base, docs, held = base + n, [], 0
                     yield out
+        enc.forget()
         if docs:
             yield emit(docs, base)[0]
 

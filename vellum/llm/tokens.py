@@ -72,6 +72,11 @@ class Encoder:
         known.update(zip(new, map(self._part, new), strict=True))
         self.pieces.update(zip(fresh, (b"".join(map(known.__getitem__, s)) for s in split), strict=True))
 
+    def forget(self) -> None:
+        """Drop what is remembered; workers outlive their tasks and would keep it beside later stages."""
+        self.pieces.clear()
+        self.parts.clear()
+
     def encode(self, texts: list[str | None], step_chars: int = 1_000_000) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit bytes; null gives none."""
         out: list[bytes] = []
