@@ -120,7 +120,7 @@ def pack_block(lengths: list[int], window: int) -> list[list[tuple[int, int, int
     return full + close_gaps([[rest[i] for i in w] for w in best_fit_decreasing([p[2] for p in rest], window)], window)
 
 
-def _packer(path: str, end_id: int, window: int, block_tokens: int):
+def _packer(path: str, end_id: int, window: int, block_tokens: int, keep_memo: bool = True):
     end = np.array([end_id], "<u4").tobytes()
 
     def emit(docs: list[tuple[int | None, bytes]], base: int) -> tuple[pa.RecordBatch, int]:
@@ -149,25 +149,27 @@ def _packer(path: str, end_id: int, window: int, block_tokens: int):
                     out, n = emit(docs, base)
                     base, docs, held = base + n, [], 0
                     yield out
-        enc.forget()
+        if not keep_memo:
+            enc.forget()
         if docs:
             yield emit(docs, base)[0]
 
     return pack
 
 
-def pack_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, window: int = WINDOW, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, window: int = WINDOW, block_tokens: int = BLOCK_TOKENS, keep_memo: bool = True) -> DataFrame:
     """Pieces of documents (doc_id, text) laid into windows: SCHEMA, ids as little-endian uint32.
 
     A document is its ids and end_id.  A null text counts as empty, so it is one
     end id.  Each input row is a document of its own, repeated and null doc_ids
     too; other columns are ignored.  An empty table gives no rows.  A sequence is
     filled from offset 0 without gaps and padded by its reader to `window`,
-    unless its length is a power of two.
+    unless its length is a power of two.  keep_memo keeps encoded parts for a
+    worker's next task; without it other stages have that memory.
     """
     ship_package(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(_packer(tokenizer or default_path(), end_id, window, block_tokens), SCHEMA)
+    return rows.mapInArrow(_packer(tokenizer or default_path(), end_id, window, block_tokens, keep_memo), SCHEMA)
 
 
 def op4_query(docs: DataFrame) -> DataFrame:
