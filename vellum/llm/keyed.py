@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vellum.session import cut
+
 SLOTS = 1 << 18
 NO_ID = (1 << 63) - 1
 
@@ -14,24 +16,39 @@ def doc_key(column: str = "doc_id") -> Column:
     return F.coalesce(F.col(column).cast("long"), F.lit(NO_ID))
 
 
-def _slot(key: Column) -> tuple[Column, Column]:
-    h = F.pmod(F.xxhash64(key, F.lit(7)), F.lit(SLOTS * 64))
+def own_keys(docs: DataFrame, k: str = "k", t: str = "t") -> DataFrame:
+    """docs (doc_id, text) with the columns k and t, which together name a document and give its place in the order.
+
+    k is doc_key().  t is zero where no other row has the doc_id; rows with a
+    null or shared doc_id get a hash of their text, so that equal rows are one
+    document and different texts are not.
+    """
+    shared = docs.where("doc_id is not null").groupBy(doc_key().alias(k)).agg(F.count("*").alias("_n")).where("_n > 1").select(k, F.lit(True).alias("_shared"))
+    shared = cut(shared, "shared-ids")
+    rows = docs.withColumn(k, doc_key())
+    rows = rows.withColumn("_shared", F.lit(None).cast("boolean")) if shared.isEmpty() else join_some(rows, shared, k)
+    own = F.when(F.col("doc_id").isNull() | F.col("_shared").isNotNull(), F.xxhash64(F.col("text").cast("string"), F.lit(11))).otherwise(F.lit(0).cast("long"))
+    return rows.withColumn(t, own).drop("_shared")
+
+
+def _slot(*keys: Column) -> tuple[Column, Column]:
+    h = F.pmod(F.xxhash64(*keys, F.lit(7)), F.lit(SLOTS * 64))
     return F.floor(h / 64).cast("int"), F.pmod(h, F.lit(64)).cast("int")
 
 
-def join_some(docs: DataFrame, facts: DataFrame, key: str) -> DataFrame:
-    """docs left-joined with facts on key, where facts has a row for few of the keys.
+def join_some(docs: DataFrame, facts: DataFrame, *key: str) -> DataFrame:
+    """docs left-joined with facts on the columns key, where facts has a row for few of the keys.
 
     A bit set of at most SLOTS * 64 bits tells which rows of docs can have a
     fact.  Only those are shuffled for the join; the others pass with nulls.
     The set's size is fixed, so it may be broadcast; when it fills up, more rows
     take the join and the result stays the same.
     """
-    slot, bit = _slot(F.col(key))
+    slot, bit = _slot(*map(F.col, key))
     bits = facts.select(slot.alias("_slot"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("_bit")).groupBy("_slot").agg(F.bit_or("_bit").alias("_bits"))
     marked = docs.join(F.broadcast(bits), slot == F.col("_slot"), "left")
     may = F.coalesce(F.call_function("shiftright", F.col("_bits"), bit).bitwiseAND(F.lit(1)) == 1, F.lit(False))
-    rest = [f for f in facts.schema.fields if f.name != key]
-    some = marked.where(may).drop("_slot", "_bits").join(facts.hint("merge"), key, "left")
+    rest = [f for f in facts.schema.fields if f.name not in key]
+    some = marked.where(may).drop("_slot", "_bits").join(facts.hint("merge"), list(key), "left")
     none = marked.where(~may).drop("_slot", "_bits").select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in rest))
     return some.select(*none.columns).unionByName(none)
