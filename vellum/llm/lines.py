@@ -45,10 +45,10 @@ def _mix(h: np.ndarray, salt: int) -> np.ndarray:
     return h ^ h >> np.uint64(29)
 
 
-def anchors_of(words: list[bytes]) -> list[int]:
-    """Hashes of beginnings and ends that a partner within one edit must share one of."""
+def anchors_of(words: list[bytes], least: int = 0) -> list[int]:
+    """Hashes of beginnings and ends that a partner within one edit must share one of, where the longer line has `least` words or more."""
     n, out = len(words), []
-    for size in {1 << (max(2, m - 1) // 2).bit_length() - 1 for m in (n, n + 1)}:
+    for size in {1 << (max(2, m - 1) // 2).bit_length() - 1 for m in (n, n + 1) if m >= least}:
         out += [xxhash.xxh64_intdigest(b" ".join(part), 2 * size + side) for side, part in enumerate((words[:size], words[n - size :]))]
     return [x - (1 << 64) if x >> 63 else x for x in out]
 
@@ -81,32 +81,37 @@ def _split(least: int):
                 for k, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     for i, line in enumerate((text or "").split("\n")):
                         words = words_of(line)
-                        if len(words) >= least:
+                        if words:
                             h = xxhash.xxh3_128_digest(b" ".join(words))
-                            out.append((int.from_bytes(h[:8], "big", signed=True), int.from_bytes(h[8:], "big", signed=True), k, i, anchors_of(words)))
+                            out.append((int.from_bytes(h[:8], "big", signed=True), int.from_bytes(h[8:], "big", signed=True), k, i, anchors_of(words, least)))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), _LINES, strict=True)], schema=_LINES)
 
     return lines
 
 
-def _vary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out, size = [], 0
-        for k, text, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if not wanted:
-                continue
-            lines = text.split("\n")
-            for w in wanted:
-                words = words_of(lines[w["line"]])
-                pos, h = variants_of(words)
-                joined = b" ".join(words).decode("utf-8")
-                out += [(w["h1"], w["h2"], k, w["line"], p, v, joined if p < 0 else None) for p, v in zip(pos, h.tolist(), strict=True)]
-                if len(out) > 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), _VARIANTS, strict=True)], schema=_VARIANTS)
-                    out = []
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), _VARIANTS, strict=True)], schema=_VARIANTS)
+def _vary(least: int):
+    def vary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out, size = [], 0
+            for k, text, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if not wanted:
+                    continue
+                lines = text.split("\n")
+                for w in wanted:
+                    words = words_of(lines[w["line"]])
+                    pos, h = variants_of(words)
+                    if len(words) < least:  # an equally short line is no partner
+                        pos, h = pos[:1], h[:1]
+                    joined = b" ".join(words).decode("utf-8")
+                    out += [(w["h1"], w["h2"], k, w["line"], p, v, joined if p < 0 else None) for p, v in zip(pos, h.tolist(), strict=True)]
+                    if len(out) > 50_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), _VARIANTS, strict=True)], schema=_VARIANTS)
+                        out = []
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), _VARIANTS, strict=True)], schema=_VARIANTS)
+
+    return vary
 
 
 def _drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,7 +139,7 @@ def removed_lines(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     wanted = lines.join(chosen, ["h1", "h2"], "left_semi").select(F.col("first.k").alias("k"), F.struct("h1", "h2", F.col("first.line").alias("line")).alias("w"))
     wanted = wanted.groupBy("k").agg(F.collect_list("w").alias("wanted"))
     found = join_some(texts, wanted, "k").where("wanted is not null")
-    variants = cut(found.select("k", "text", "wanted").mapInArrow(_vary, "h1 long, h2 long, k long, line int, pos int, variant long, words string"), "line-variants")
+    variants = cut(found.select("k", "text", "wanted").mapInArrow(_vary(least), "h1 long, h2 long, k long, line int, pos int, variant long, words string"), "line-variants")
     me = F.struct("k", "line", "h1", "h2")
     less, whole = variants.where("pos >= 0").select("variant", "pos", me.alias("me")), variants.where("pos < 0").select("variant", me.alias("me"))
     same = less.groupBy("variant", "pos").agg(F.min("me").alias("before"), F.max("me").alias("last")).where("before <> last")
@@ -156,11 +161,11 @@ def removed_lines(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
 def dedup_lines(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     """docs with repeated lines taken out of text, and the columns n_lines and n_removed.
 
-    Lines are split at line feeds and compared by lower-case words.  A line of
-    `least` words or more goes if it occurred before, or if a line that first
-    occurred before its own first occurrence is within one word of it; before
-    means a smaller doc_id, then a smaller line number, and null doc_ids come
-    last.  Shorter and empty lines stay.  Null texts stay null with 0 lines.
+    Lines are split at line feeds and compared by lower-case words.  A line goes
+    if it occurred before, or if a line that first occurred before its own first
+    occurrence is within one word of it and the longer of the two has `least`
+    words or more; before means a smaller doc_id, then a smaller line number,
+    and null doc_ids come last.  Lines without words stay.  Null texts stay null with 0 lines.
     Rows that share a doc_id are one document and lose the same line numbers.
     Columns of docs named n_lines or n_removed are replaced.
     """
