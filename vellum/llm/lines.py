@@ -18,13 +18,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.keyed import doc_key, join_some
+from vellum.llm.keyed import join_some, own_keys
 from vellum.session import cut, ship_package
 
 LEAST_WORDS = 5
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_LINES = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("k", pa.int64()), ("line", pa.int32()), ("anchors", pa.list_(pa.int64()))])
-_VARIANTS = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("k", pa.int64()), ("line", pa.int32()), ("pos", pa.int32()), ("variant", pa.int64()), ("words", pa.string())])
+_LINES = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("k", pa.int64()), ("t", pa.int64()), ("line", pa.int32()), ("anchors", pa.list_(pa.int64()))])
+_VARIANTS = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("k", pa.int64()), ("t", pa.int64()), ("line", pa.int32()), ("pos", pa.int32()), ("variant", pa.int64()), ("words", pa.string())])
 
 
 def words_of(line: str) -> list[bytes]:
@@ -78,14 +78,14 @@ def _split(least: int):
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 out = []
-                for k, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                for k, t, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     for i, line in enumerate((text or "").split("\n")):
                         words = words_of(line)
                         if words:
                             h = xxhash.xxh3_128_digest(b" ".join(words))
-                            out.append((int.from_bytes(h[:8], "big", signed=True), int.from_bytes(h[8:], "big", signed=True), k, i, anchors_of(words, least)))
+                            out.append((int.from_bytes(h[:8], "big", signed=True), int.from_bytes(h[8:], "big", signed=True), k, t, i, anchors_of(words, least)))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), _LINES, strict=True)], schema=_LINES)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _LINES, strict=True)], schema=_LINES)
 
     return lines
 
@@ -94,7 +94,7 @@ def _vary(least: int):
     def vary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, size = [], 0
-            for k, text, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for k, t, text, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if not wanted:
                     continue
                 lines = text.split("\n")
@@ -104,12 +104,12 @@ def _vary(least: int):
                     if len(words) < least:  # an equally short line is no partner
                         pos, h = pos[:1], h[:1]
                     joined = b" ".join(words).decode("utf-8")
-                    out += [(w["h1"], w["h2"], k, w["line"], p, v, joined if p < 0 else None) for p, v in zip(pos, h.tolist(), strict=True)]
+                    out += [(w["h1"], w["h2"], k, t, w["line"], p, v, joined if p < 0 else None) for p, v in zip(pos, h.tolist(), strict=True)]
                     if len(out) > 50_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), _VARIANTS, strict=True)], schema=_VARIANTS)
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _VARIANTS, strict=True)], schema=_VARIANTS)
                         out = []
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), _VARIANTS, strict=True)], schema=_VARIANTS)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _VARIANTS, strict=True)], schema=_VARIANTS)
 
     return vary
 
@@ -128,19 +128,19 @@ def _drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def removed_lines(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
-    """(k, lines): the numbers of the lines to take out of each document that loses any; k is doc_key()."""
+    """(k, t, lines): the numbers of the lines to take out of each document that loses any; k and t are those of own_keys()."""
     ship_package(docs.sparkSession)
-    texts = docs.select(doc_key().alias("k"), F.col("text").cast("string").alias("text"))
-    seen = cut(texts.mapInArrow(_split(least), "h1 long, h2 long, k long, line int, anchors array<long>"), "lines")
-    lines = cut(seen.groupBy("h1", "h2").agg(F.min(F.struct("k", "line")).alias("first"), F.count("*").alias("n"), F.first("anchors").alias("anchors")), "lines-distinct")
+    texts = own_keys(docs.select("doc_id", F.col("text").cast("string").alias("text"))).select("k", "t", "text")
+    seen = cut(texts.mapInArrow(_split(least), "h1 long, h2 long, k long, t long, line int, anchors array<long>"), "lines")
+    lines = cut(seen.groupBy("h1", "h2").agg(F.min(F.struct("k", "t", "line")).alias("first"), F.count("*").alias("n"), F.first("anchors").alias("anchors")), "lines-distinct")
     spread = lines.select("h1", "h2", F.explode("anchors").alias("anchor"))
     shared = spread.groupBy("anchor").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("anchor")
     chosen = spread.join(shared, "anchor").select("h1", "h2").distinct()
-    wanted = lines.join(chosen, ["h1", "h2"], "left_semi").select(F.col("first.k").alias("k"), F.struct("h1", "h2", F.col("first.line").alias("line")).alias("w"))
-    wanted = wanted.groupBy("k").agg(F.collect_list("w").alias("wanted"))
-    found = join_some(texts, wanted, "k").where("wanted is not null")
-    variants = cut(found.select("k", "text", "wanted").mapInArrow(_vary(least), "h1 long, h2 long, k long, line int, pos int, variant long, words string"), "line-variants")
-    me = F.struct("k", "line", "h1", "h2")
+    wanted = lines.join(chosen, ["h1", "h2"], "left_semi").select(F.col("first.k").alias("k"), F.col("first.t").alias("t"), F.struct("h1", "h2", F.col("first.line").alias("line")).alias("w"))
+    wanted = wanted.groupBy("k", "t").agg(F.collect_list("w").alias("wanted"))
+    found = join_some(texts, wanted, "k", "t").where("wanted is not null")
+    variants = cut(found.select("k", "t", "text", "wanted").mapInArrow(_vary(least), "h1 long, h2 long, k long, t long, line int, pos int, variant long, words string"), "line-variants")
+    me = F.struct("k", "t", "line", "h1", "h2")
     less, whole = variants.where("pos >= 0").select("variant", "pos", me.alias("me")), variants.where("pos < 0").select("variant", me.alias("me"))
     same = less.groupBy("variant", "pos").agg(F.min("me").alias("before"), F.max("me").alias("last")).where("before <> last")
     pairs = less.join(same, ["variant", "pos"]).where("before < me").select("me", "before")
@@ -154,8 +154,8 @@ def removed_lines(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     alike = F.pandas_udf(lambda a, b: a.combine(b, one_edit).astype(bool), "boolean")
     near = pairs.where(alike("me_words", "before_words")).select(F.col("me_h1").alias("h1"), F.col("me_h2").alias("h2"), F.lit(True).alias("near")).distinct()
     marked = lines.join(near, ["h1", "h2"], "left").where("n > 1 or near").select("h1", "h2", "first", "near")
-    gone = seen.join(marked, ["h1", "h2"]).where((F.col("near").isNotNull()) | (F.struct("k", "line") > F.col("first")))
-    return cut(gone.groupBy("k").agg(F.sort_array(F.collect_set("line")).alias("lines")), "lines-gone")
+    gone = seen.join(marked, ["h1", "h2"]).where((F.col("near").isNotNull()) | (F.struct("k", "t", "line") > F.col("first")))
+    return cut(gone.groupBy("k", "t").agg(F.sort_array(F.collect_set("line")).alias("lines")), "lines-gone")
 
 
 def dedup_lines(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
@@ -166,12 +166,13 @@ def dedup_lines(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     occurrence is within one word of it and the longer of the two has `least`
     words or more; before means a smaller doc_id, then a smaller line number,
     and null doc_ids come last.  Lines without words stay.  Null texts stay null with 0 lines.
-    Rows that share a doc_id are one document and lose the same line numbers.
+    Rows of equal doc_id and text are one document and lose the same line
+    numbers; different texts of a null or shared doc_id are documents of their own.
     Columns of docs named n_lines or n_removed are replaced.
     """
     own = [c for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
-    rows = docs.select(*own, F.col("text").cast("string").alias("_text"), doc_key().alias("_k"))
-    joined = join_some(rows, removed_lines(docs, least).select(F.col("k").alias("_k"), F.col("lines").alias("_lines")), "_k")
+    rows = own_keys(docs, "_k", "_t").select(*own, F.col("text").cast("string").alias("_text"), "_k", "_t")
+    joined = join_some(rows, removed_lines(docs, least).select(F.col("k").alias("_k"), F.col("t").alias("_t"), F.col("lines").alias("_lines")), "_k", "_t")
     joined = joined.select(*own, "_text", "_lines")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields if f.name in own), "text string, n_lines long, n_removed long"])
     return joined.mapInArrow(_drop, schema)

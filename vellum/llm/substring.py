@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.keyed import doc_key, join_some
+from vellum.llm.keyed import join_some, own_keys
 from vellum.llm.rolling import Spans, mix, minimisers, runs
 from vellum.session import cut, ship_package
 
@@ -28,16 +28,16 @@ GROUP = 3
 STEP_BYTES = 2_000_000
 BUCKET_BYTES = 12_000_000
 _SENT = pa.schema([("bucket", pa.int64()), ("meta", pa.binary()), ("packed", pa.binary())])
-_META = np.dtype([("k", "<i8"), ("start", "<i8"), ("n", "<i4")])
-_FOUND = pa.schema([("k", pa.int64()), ("start", pa.int64()), ("n", pa.int64())])
+_META = np.dtype([("k", "<i8"), ("t", "<i8"), ("start", "<i8"), ("n", "<i4")])
+_FOUND = pa.schema([("k", pa.int64()), ("t", pa.int64()), ("start", pa.int64()), ("n", pa.int64())])
 
 
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").split()
 
 
-def super_kmers(docs: list[tuple[int, int, list[bytes]]], size: int, group: int) -> Iterator[tuple[int, int, int, int, bytes]]:
-    """(minimiser, k, start, windows, words) for documents (k, number of the first word, words)."""
+def super_kmers(docs: list[tuple[int, int, list[bytes], int]], size: int, group: int) -> Iterator[tuple[int, int, int, int, int, bytes]]:
+    """(minimiser, k, t, start, windows, words) for documents (k, number of the first word, words, t)."""
     docs = [d for d in docs if len(d[2]) >= size]
     if not docs:
         return
@@ -55,24 +55,24 @@ def super_kmers(docs: list[tuple[int, int, list[bytes]]], size: int, group: int)
     start, length = runs(at[windows], owner)
     where = windows[start]
     for m, o, w, n, a, b in zip(value[where].tolist(), owner[start].tolist(), where.tolist(), length.tolist(), begin[where].tolist(), end[where + length + size - 2].tolist(), strict=True):
-        yield m, docs[o][0], docs[o][1] + w - int(first[o]), n, data[a:b]
+        yield m, docs[o][0], docs[o][3], docs[o][1] + w - int(first[o]), n, data[a:b]
 
 
 def _send(size: int, group: int, buckets: int):
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), _SENT, strict=True)], schema=_SENT)
 
-    def settle(docs: list[tuple[int, int, list[bytes]]], press: zstandard.ZstdCompressor) -> Iterator[pa.RecordBatch]:
+    def settle(docs: list[tuple[int, int, list[bytes], int]], press: zstandard.ZstdCompressor) -> Iterator[pa.RecordBatch]:
         first: dict[bytes, tuple] = {}
         known: list[tuple] = []
-        for m, k, start, n, packed in super_kmers(docs, size, group):
+        for m, k, t, start, n, packed in super_kmers(docs, size, group):
             old = first.get(packed)
-            if old is None or (k, start) < old[1:3]:
-                first[packed] = (m, k, start, n)
+            if old is None or (k, t, start) < old[1:4]:
+                first[packed] = (m, k, t, start, n)
                 if old:
                     known.append(old[1:])
-            elif (k, start) != old[1:3]:
-                known.append((k, start, n))
+            elif (k, t, start) != old[1:4]:
+                known.append((k, t, start, n))
         parts: dict[int, tuple[list, list]] = {}
         for packed, (m, *meta) in first.items():
             metas, texts = parts.setdefault(m % buckets, ([], []))
@@ -90,11 +90,11 @@ def _send(size: int, group: int, buckets: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                for k, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                for k, t, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     words = words_of(text)
                     step = STEP_BYTES // 8
                     for cut_at in range(0, max(1, len(words) - size + 1), step):
-                        docs.append((k, cut_at, words[cut_at : cut_at + step + size - 1]))
+                        docs.append((k, cut_at, words[cut_at : cut_at + step + size - 1], t))
                         held += sum(map(len, docs[-1][2]))
                         if held >= STEP_BYTES:
                             yield from settle(docs, press)
@@ -104,9 +104,9 @@ def _send(size: int, group: int, buckets: int):
     return send
 
 
-def repeated_windows(metas: list[np.ndarray], texts: list[bytes], size: int) -> list[tuple[int, int, int]]:
-    """(k, start, windows) of all windows in a bucket whose words also occur earlier in it."""
-    hashes, k, start, begin, end = [], [], [], [], []
+def repeated_windows(metas: list[np.ndarray], texts: list[bytes], size: int) -> list[tuple[int, int, int, int]]:
+    """(k, t, start, windows) of all windows in a bucket whose words also occur earlier in it."""
+    hashes, k, t, start, begin, end = [], [], [], [], [], []
     base = 0
     for meta, text in zip(metas, texts, strict=True):
         raw = np.frombuffer(text, np.uint8)
@@ -119,12 +119,13 @@ def repeated_windows(metas: list[np.ndarray], texts: list[bytes], size: int) ->
         wb, we = b[word], e[word + size - 1]
         hashes.append(Spans(raw).hash(wb, we))
         k.append(np.repeat(meta["k"], n))
+        t.append(np.repeat(meta["t"], n))
         start.append(np.repeat(meta["start"], n) + inside)
         begin.append(wb + base)
         end.append(we + base)
         base += len(raw) + 1
-    h, k, start, begin, end = map(np.concatenate, (hashes, k, start, begin, end))
-    order = np.lexsort((start, k, h))
+    h, k, t, start, begin, end = map(np.concatenate, (hashes, k, t, start, begin, end))
+    order = np.lexsort((start, t, k, h))
     h = h[order]
     same = np.concatenate([[False], h[1:] == h[:-1]])
     if not same.any():
@@ -137,14 +138,14 @@ def repeated_windows(metas: list[np.ndarray], texts: list[bytes], size: int) ->
         members = order[a : a + m].tolist()
         seen: dict[bytes, tuple] = {}
         for i in members:
-            w, me = data[begin[i] : end[i]], (k[i], start[i])
+            w, me = data[begin[i] : end[i]], (k[i], t[i], start[i])
             if seen.setdefault(w, me) != me:
                 later[i] = True
     got = np.flatnonzero(later)
-    got = got[np.lexsort((start[got], k[got]))]
-    k, start = k[got], start[got]
-    at, n = runs(k, start - np.arange(len(start)))
-    return list(zip(k[at].tolist(), start[at].tolist(), n.tolist(), strict=True))
+    got = got[np.lexsort((start[got], t[got], k[got]))]
+    k, t, start = k[got], t[got], start[got]
+    at, n = runs(k, t, start - np.arange(len(start)))
+    return list(zip(k[at].tolist(), t[at].tolist(), start[at].tolist(), n.tolist(), strict=True))
 
 
 def _count(size: int):
@@ -176,14 +177,14 @@ def _count(size: int):
 
 
 def repeats(docs: DataFrame, size: int = SIZE, group: int = GROUP) -> DataFrame:
-    """(k, spans): for each document with repeats, spans (start, n) of windows that also start earlier; k is doc_key()."""
+    """(k, t, spans): for each document with repeats, spans (start, n) of windows that also start earlier; k and t are those of own_keys()."""
     ship_package(docs.sparkSession)
-    texts = docs.select(doc_key().alias("k"), F.col("text").cast("string").alias("text"))
+    texts = own_keys(docs.select("doc_id", F.col("text").cast("string").alias("text"))).select("k", "t", "text")
     total = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(16, 4 * total // BUCKET_BYTES)
     sent = texts.mapInArrow(_send(size, group, buckets), "bucket long, meta binary, packed binary")
-    found = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_count(size), "k long, start long, n long")
-    return cut(found.groupBy("k").agg(F.collect_list(F.struct("start", "n")).alias("spans")), "word-repeats")
+    found = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_count(size), "k long, t long, start long, n long")
+    return cut(found.groupBy("k", "t").agg(F.collect_list(F.struct("start", "n")).alias("spans")), "word-repeats")
 
 
 def _apply(size: int):
@@ -217,13 +218,14 @@ def dedup_substrings(docs: DataFrame, size: int = SIZE, group: int = GROUP) -> D
     if its words also start earlier: in a smaller doc_id, or further left in the
     same document.  Windows are judged on the input.  A null text has no words;
     documents of fewer than `size` words keep all of theirs.  Null doc_ids come
-    last.  Rows that share a doc_id are one document: a window counts once at a
-    place, and all its rows lose the same word numbers.  Other columns are
-    ignored; an empty table gives no rows.
+    last.  Rows of equal doc_id and text are one document: a window counts once at
+    a place, and all its rows lose the same word numbers; different texts of a
+    null or shared doc_id are documents of their own.  Other columns are ignored;
+    an empty table gives no rows.
     """
     found = repeats(docs, size, group)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), doc_key().alias("k"))
-    joined = join_some(rows, found, "k").select("doc_id", "text", "spans")
+    rows = own_keys(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    joined = join_some(rows, found, "k", "t").select("doc_id", "text", "spans")
     return joined.mapInArrow(_apply(size), "doc_id long, n_words long, n_removed long, text string")
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.keyed import doc_key, join_some
+from vellum.llm.keyed import join_some, own_keys
 from vellum.llm.rolling import Spans, minimisers, runs
 from vellum.session import cut, ship_package
 
@@ -32,16 +32,16 @@ SIZE = 200
 GRAM = 32
 STEP_BYTES = 500_000
 SORT_SEGMENTS = 8_000
-_SEGMENTS = pa.schema([("anchor", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("k", pa.int64()), ("start", pa.int64()), ("n", pa.int32()), ("at", pa.int32()), ("known", pa.bool_())])
-_SEGMENTS_DDL = "anchor long, s1 long, s2 long, k long, start long, n int, at int, known boolean"
-_PICKED = pa.schema([("k", pa.int64()), ("start", pa.int64()), ("n", pa.int32()), ("anchor", pa.int64()), ("at", pa.int32()), ("known", pa.bool_())])
-_PICKED_DDL = "k long, start long, n int, anchor long, at int, known boolean"
-_CUT = pa.schema([("anchor", pa.int64()), ("k", pa.int64()), ("start", pa.int64()), ("at", pa.int32()), ("known", pa.bool_()), ("segment", pa.binary())])
-_FOUND = pa.schema([("k", pa.int64()), ("start", pa.int64()), ("n", pa.int32())])
+_SEGMENTS = pa.schema([("anchor", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("k", pa.int64()), ("t", pa.int64()), ("start", pa.int64()), ("n", pa.int32()), ("at", pa.int32()), ("known", pa.bool_())])
+_SEGMENTS_DDL = "anchor long, s1 long, s2 long, k long, t long, start long, n int, at int, known boolean"
+_PICKED = pa.schema([("k", pa.int64()), ("t", pa.int64()), ("start", pa.int64()), ("n", pa.int32()), ("anchor", pa.int64()), ("at", pa.int32()), ("known", pa.bool_())])
+_PICKED_DDL = "k long, t long, start long, n int, anchor long, at int, known boolean"
+_CUT = pa.schema([("anchor", pa.int64()), ("k", pa.int64()), ("t", pa.int64()), ("start", pa.int64()), ("at", pa.int32()), ("known", pa.bool_()), ("segment", pa.binary())])
+_FOUND = pa.schema([("k", pa.int64()), ("t", pa.int64()), ("start", pa.int64()), ("n", pa.int32())])
 
 
-def segments(docs: list[tuple[int, int, bytes]], size: int, gram: int) -> dict[str, np.ndarray]:
-    """Segments of documents (k, number of the first byte, bytes): anchor, two content hashes, k, start, windows n, anchor's place."""
+def segments(docs: list[tuple[int, int, bytes, int]], size: int, gram: int) -> dict[str, np.ndarray]:
+    """Segments of documents (k, number of the first byte, bytes, t): anchor, two content hashes, k, t, start, windows n, anchor's place."""
     docs = [d for d in docs if len(d[2]) >= size]
     if not docs:
         return {}
@@ -56,23 +56,23 @@ def segments(docs: list[tuple[int, int, bytes]], size: int, gram: int) -> dict[s
     start, length = runs(at[windows], owner)
     where = windows[start]
     end = where + length + size - 1
-    ks, offsets = (np.array([d[i] for d in docs], np.int64) for i in (0, 1))
+    ks, offsets, ts = (np.array([d[i] for d in docs], np.int64) for i in (0, 1, 3))
     o = owner[start]
-    return {"anchor": value[where], "s1": one.hash(where, end).view(np.int64), "s2": Spans(raw, 1).hash(where, end).view(np.int64), "k": ks[o], "start": offsets[o] + where - first[o], "n": length, "at": at[where] - where}
+    return {"anchor": value[where], "s1": one.hash(where, end).view(np.int64), "s2": Spans(raw, 1).hash(where, end).view(np.int64), "k": ks[o], "t": ts[o], "start": offsets[o] + where - first[o], "n": length, "at": at[where] - where}
 
 
 def _segment(size: int, gram: int):
-    def settle(docs: list[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+    def settle(docs: list[tuple[int, int, bytes, int]]) -> Iterator[pa.RecordBatch]:
         s = segments(docs, size, gram)
         if s:
-            order = np.lexsort((s["start"], s["k"], s["s2"], s["s1"]))
+            order = np.lexsort((s["start"], s["t"], s["k"], s["s2"], s["s1"]))
             s = {c: v[order] for c, v in s.items()}
             first, n = runs(s["s1"], s["s2"])
             twice = np.repeat(n > 1, n)
             head = np.zeros(len(order), bool)
             head[first] = True
             s["anchor"] = np.where(head, s["anchor"], 0)
-            s["s1"] = np.where(head, s["s1"], s["k"])  # settled rows only pass by: spread them
+            s["s1"] = np.where(head, s["s1"], s["k"] ^ s["t"])  # settled rows only pass by: spread them
             s["known"] = twice
             s["n"] = np.where(head, s["n"], -s["n"])
             yield pa.RecordBatch.from_arrays([pa.array(s[f.name].astype(f.type.to_pandas_dtype())) for f in _SEGMENTS], schema=_SEGMENTS)
@@ -82,10 +82,10 @@ def _segment(size: int, gram: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 100):
                 part = batch.slice(at, 100)
-                for k, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                for k, t, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     data = (text or "").encode("utf-8", "replace")
                     for a in range(0, max(1, len(data) - size + 1), STEP_BYTES):
-                        docs.append((k, a, data[a : a + STEP_BYTES + size - 1]))
+                        docs.append((k, a, data[a : a + STEP_BYTES + size - 1], t))
                         held += len(docs[-1][2])
                         if held >= STEP_BYTES // 2:
                             yield from settle(docs)
@@ -113,7 +113,7 @@ def _pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for mask, anchored in ((settled, False), (picked, True)):
             i = np.flatnonzero(mask)
             anchor = pa.array(c["anchor"][i], pa.int64()) if anchored else pa.nulls(len(i), pa.int64())
-            out.append(pa.RecordBatch.from_arrays([pa.array(c["k"][i]), pa.array(c["start"][i]), pa.array(np.abs(c["n"][i]).astype(np.int32)), anchor, pa.array(c["at"][i].astype(np.int32)), pa.array(whole[i])], schema=_PICKED))
+            out.append(pa.RecordBatch.from_arrays([pa.array(c["k"][i]), pa.array(c["t"][i]), pa.array(c["start"][i]), pa.array(np.abs(c["n"][i]).astype(np.int32)), anchor, pa.array(c["at"][i].astype(np.int32)), pa.array(whole[i])], schema=_PICKED))
         return pa.Table.from_batches(out).combine_chunks().to_batches()
 
     for batch in batches:
@@ -138,7 +138,7 @@ def _thin(c: dict[str, np.ndarray]):
     known = c["known"] | np.repeat(n > 1, n)
     gone = np.flatnonzero(~(head & keep_open))
     if len(gone):
-        yield pa.RecordBatch.from_arrays([pa.array(c["k"][gone]), pa.array(c["start"][gone]), pa.array(np.abs(c["n"][gone]).astype(np.int32)), pa.nulls(len(gone), pa.int64()), pa.array(c["at"][gone].astype(np.int32)), pa.array(known[gone])], schema=_PICKED)
+        yield pa.RecordBatch.from_arrays([pa.array(c["k"][gone]), pa.array(c["t"][gone]), pa.array(c["start"][gone]), pa.array(np.abs(c["n"][gone]).astype(np.int32)), pa.nulls(len(gone), pa.int64()), pa.array(c["at"][gone].astype(np.int32)), pa.array(known[gone])], schema=_PICKED)
     return {x: (known if x == "known" else v)[head & keep_open] for x, v in c.items()}
 
 
@@ -146,18 +146,18 @@ def _cut_out(size: int):
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, held = [], 0
-            for k, text, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for k, t, text, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 data = (text or "").encode("utf-8", "replace")
                 for w in wanted or ():
                     part = data[w["start"] : w["start"] + w["n"] + size - 1]
                     if len(part) == w["n"] + size - 1:
-                        out.append((w["anchor"], k, w["start"], w["at"], w["known"], part))
+                        out.append((w["anchor"], k, t, w["start"], w["at"], w["known"], part))
                         held += len(part)
                 if held > 4_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), _CUT, strict=True)], schema=_CUT)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _CUT, strict=True)], schema=_CUT)
                     out, held = [], 0
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), _CUT, strict=True)], schema=_CUT)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _CUT, strict=True)], schema=_CUT)
 
     return cut_out
 
@@ -233,11 +233,11 @@ def repeated_starts(parts: list[bytes], at: list[int], size: int, folder: str |
 def _sort(size: int):
     def found_in(rows: list[tuple]) -> pa.RecordBatch:
         out = []
-        for (_, k, start, _, known, _), hits in zip(rows, repeated_starts([r[5] for r in rows], [r[3] for r in rows], size), strict=True):
+        for (_, k, t, start, _, known, _), hits in zip(rows, repeated_starts([r[6] for r in rows], [r[4] for r in rows], size), strict=True):
             if not known and len(hits):
                 first, n = runs(hits - np.arange(len(hits)))
-                out += [(k, start + int(a), int(m)) for a, m in zip(hits[first], n, strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), _FOUND, strict=True)], schema=_FOUND) if out else pa.RecordBatch.from_pylist([], schema=_FOUND)
+                out += [(k, t, start + int(a), int(m)) for a, m in zip(hits[first], n, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _FOUND, strict=True)], schema=_FOUND) if out else pa.RecordBatch.from_pylist([], schema=_FOUND)
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
@@ -254,18 +254,18 @@ def _sort(size: int):
 
 
 def repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
-    """(k, spans): for each document with repeats, spans (start, n) of windows that also start elsewhere; k is doc_key()."""
+    """(k, t, spans): for each document with repeats, spans (start, n) of windows that also start elsewhere; k and t are those of own_keys()."""
     ship_package(docs.sparkSession)
-    texts = docs.select(doc_key().alias("k"), F.col("text").cast("string").alias("text"))
+    texts = own_keys(docs.select("doc_id", F.col("text").cast("string").alias("text"))).select("k", "t", "text")
     parts = texts.mapInArrow(_segment(size, gram), _SEGMENTS_DDL)
     parts = parts.repartition("anchor", F.when(F.col("anchor") == 0, F.col("s1"))).sortWithinPartitions("anchor", "s1", "s2")
     judged = cut(parts.mapInArrow(_pick, _PICKED_DDL), "segments")
-    wanted = judged.where("anchor is not null").groupBy("k").agg(F.collect_list(F.struct("anchor", "start", "n", "at", "known")).alias("wanted"))
-    strings = join_some(texts, wanted, "k").where("wanted is not null").select("k", "text", "wanted")
-    strings = strings.mapInArrow(_cut_out(size), "anchor long, k long, start long, at int, known boolean, segment binary")
-    found = strings.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sort(size), "k long, start long, n int")
-    every = judged.where("anchor is null").select("k", "start", "n").unionByName(found)
-    return cut(every.groupBy("k").agg(F.collect_list(F.struct("start", "n")).alias("spans")), "byte-repeats")
+    wanted = judged.where("anchor is not null").groupBy("k", "t").agg(F.collect_list(F.struct("anchor", "start", "n", "at", "known")).alias("wanted"))
+    strings = join_some(texts, wanted, "k", "t").where("wanted is not null").select("k", "t", "text", "wanted")
+    strings = strings.mapInArrow(_cut_out(size), "anchor long, k long, t long, start long, at int, known boolean, segment binary")
+    found = strings.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sort(size), "k long, t long, start long, n int")
+    every = judged.where("anchor is null").select("k", "t", "start", "n").unionByName(found)
+    return cut(every.groupBy("k", "t").agg(F.collect_list(F.struct("start", "n")).alias("spans")), "byte-repeats")
 
 
 def _apply(size: int):
@@ -302,13 +302,14 @@ def dedup_bytes(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFram
     else, in this document or another; every occurrence goes, the first too.
     Windows are judged on the input and never cross documents.  A null text has
     no bytes; one shorter than `size` stays whole.  What is kept may end inside
-    a character, so it is binary.  Rows that share a doc_id lose the same byte
-    numbers, and their windows repeat each other.  Other columns are ignored; an
+    a character, so it is binary.  Rows of equal doc_id and text lose the same byte
+    numbers, and their windows repeat each other; different texts of a null or
+    shared doc_id are documents of their own.  Other columns are ignored; an
     empty table gives no rows.
     """
     found = repeats(docs, size, gram)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), doc_key().alias("k"))
-    joined = join_some(rows, found, "k").select("doc_id", "text", "spans")
+    rows = own_keys(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    joined = join_some(rows, found, "k", "t").select("doc_id", "text", "spans")
     return joined.mapInArrow(_apply(size), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
