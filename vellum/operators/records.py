@@ -29,7 +29,7 @@ def free_keys(new: DataFrame, taken: DataFrame) -> DataFrame:
     """
     suffixes = [""] + [chr(97 + i) for i in range(26)]
     used = taken.select(F.regexp_replace("key", r"(?<=\d)[a-z]\z", "").alias("base"), "key").groupBy("base").agg(F.collect_set("key").alias("used"))
-    ranked = new.withColumn("_r", F.row_number().over(Window.partitionBy("base").orderBy("ord"))).where("_r <= 28").join(used, "base", "left")
+    ranked = new.withColumn("_r", F.row_number().over(Window.partitionBy("base").orderBy("ord"))).join(used, "base", "left")
     every = F.transform(F.array(*map(F.lit, suffixes)), lambda s: F.concat("base", s))
     free = F.array_except(every, F.coalesce("used", F.array().cast("array<string>")))
     return ranked.withColumn("key", F.try_element_at(free, F.col("_r"))).drop("_r", "used")
