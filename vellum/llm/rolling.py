@@ -50,6 +50,8 @@ def window_min(v: np.ndarray, width: int) -> np.ndarray:
 
 def minimisers(hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Value and leftmost position of the least hash in every window of `width` hashes."""
+    if len(hashes) > 1 << INDEX_BITS:
+        raise ValueError(f"{len(hashes)} hashes, more than {1 << INDEX_BITS} places")
     index = np.arange(len(hashes), dtype=np.uint64)
     low = np.uint64((1 << INDEX_BITS) - 1)
     least = window_min(hashes & ~low | index, width)

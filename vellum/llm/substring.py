@@ -26,6 +26,7 @@ from vellum.session import cut, ship_package
 SIZE = 20
 GROUP = 3
 STEP_BYTES = 2_000_000
+STEP_WORDS = 500_000
 BUCKET_BYTES = 12_000_000
 _SENT = pa.schema([("bucket", pa.int64()), ("meta", pa.binary()), ("packed", pa.binary())])
 _META = np.dtype([("k", "<i8"), ("t", "<i8"), ("start", "<i8"), ("n", "<i4")])
@@ -86,7 +87,7 @@ def _send(size: int, group: int, buckets: int):
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
-        docs, held = [], 0
+        docs, held, many = [], 0, 0
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
@@ -96,9 +97,10 @@ def _send(size: int, group: int, buckets: int):
                     for cut_at in range(0, max(1, len(words) - size + 1), step):
                         docs.append((k, cut_at, words[cut_at : cut_at + step + size - 1], t))
                         held += sum(map(len, docs[-1][2]))
-                        if held >= STEP_BYTES:
+                        many += len(docs[-1][2])
+                        if held >= STEP_BYTES or many >= STEP_WORDS:  # with a last piece, under the places that minimisers() can number
                             yield from settle(docs, press)
-                            docs, held = [], 0
+                            docs, held, many = [], 0, 0
         yield from settle(docs, press)
 
     return send
