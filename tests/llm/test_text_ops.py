@@ -30,7 +30,6 @@ def library():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokens.default_path())
-    t.encode_special_tokens = True
     return lambda s: t.encode(s or "", add_special_tokens=False).ids
 
 
@@ -96,6 +95,11 @@ def test_arrow_files(spark, docs, none, library):
     shard = arrow_tokens.Shard(first["path"], folder)
     row, mask = shard.row(0)
     assert len(row) == len(mask) == 64 and row[: min(64, first["tokens"])].tolist() == shard.ids(0, min(64, first["tokens"])).tolist() and mask.sum() == min(64, first["tokens"])
+    assert not row.flags.owndata and not mask.flags.owndata and mask.dtype == np.uint8
+    for x in manifest.collect():
+        s = arrow_tokens.Shard(x["path"], folder)
+        masks = np.concatenate([s.row(i)[1] for i in range(-(-x["tokens"] // 64))])
+        assert masks.tolist() == [1] * x["tokens"] + [0] * (-x["tokens"] % 64)
     assert arrow_tokens.op6_query(none).count() == 0
 
 
@@ -266,3 +270,21 @@ def test_pipeline(spark):
     assert kept == sorted(kept, reverse=True) and kept[-1] > 0
     pieces = p.STAGES[-1][1](spark, docs, SF)
     assert {r[0] for r in pieces.select("doc_id").distinct().collect()} == {r[0] for r in docs.select("doc_id").collect()}
+
+
+def test_special_strings_and_other_tokenizers(library):
+    import random
+
+    rng = random.Random(3)
+    parts = [" ", "  ", "\n", "\n\n", "a", "be", "'s", "é", "漢", " ", "　", ".", ",", "12", "\t", "<|endoftext|>", "\r\n", "🙂", "\x1c", "word", "Ġ", "Ċ", " the"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(14))) for _ in range(4000)]
+    enc = tokens.Encoder(tokens.default_path(), memo_pieces=500)
+    assert all(np.frombuffer(ids, "<u4").tolist() == library(t) for t, ids in zip(texts, enc.encode(texts), strict=True))
+    assert np.frombuffer(enc.encode(["x <|endoftext|> y"])[0], "<u4").tolist() == [87, 220, 50256, 331]
+    assert 50256 not in np.frombuffer(tokens.Encoder(tokens.default_path(), plain_text=True).encode(["x <|endoftext|> y"])[0], "<u4")
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    other = Tokenizer.from_file(path)
+    assert [np.frombuffer(i, "<u4").tolist() for i in tokens.Encoder(path).encode(["Two  Words", None, ""])] == [other.encode(t, add_special_tokens=False).ids for t in ("Two  Words", "", "")]

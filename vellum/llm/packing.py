@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.tokens import default_path, encoder
+from vellum.llm.tokens import default_path, encoded, encoder
 from vellum.session import ship_package
 
 WINDOW = 2048
@@ -139,16 +139,13 @@ def _packer(path: str, end_id: int, window: int, block_tokens: int, keep_memo: b
         base = TaskContext.get().partitionId() << 40
         docs: list[tuple[int | None, bytes]] = []
         held = 0
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                for doc_id, ids in zip(part.column(0).to_pylist(), enc.encode(part.column(1).to_pylist()), strict=True):
-                    docs.append((doc_id, ids + end))
-                    held += len(ids) // 4 + 1
-                if held >= block_tokens:
-                    out, n = emit(docs, base)
-                    base, docs, held = base + n, [], 0
-                    yield out
+        for doc_id, ids in encoded(batches, enc):
+            docs.append((doc_id, ids.tobytes() + end))
+            held += len(ids) + 1
+            if held >= block_tokens:
+                out, n = emit(docs, base)
+                base, docs, held = base + n, [], 0
+                yield out
         if not keep_memo:
             enc.forget()
         if docs:
