@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vellum.llm.keyed import join_hot
 from vellum.session import cut, ship_package
 
 MOST_ROUNDS = 60
@@ -54,29 +55,29 @@ def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the least node that each node of edges (u long, v long) reaches.
 
-    Large-star and small-star rounds (Kiveris et al., 2014) until nothing moves.
+    Large-star and small-star rounds (Kiveris et al., 2014) until every node
+    points at the least one of its part and no such node points further.
     Nodes without an edge to another node are not in the result; self-loops and
     repeated edges change nothing; an empty table gives an empty result.
     """
     ship_package(edges.sparkSession)
     clean = edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    now = cut(clean.mapInArrow(_local, "u long, v long"), "edges")
-    state = None
+    now = cut(clean.mapInArrow(_local, "u long, v long").distinct(), "edges")
     for _ in range(MOST_ROUNDS):
-        stars = _star(_star(now, False), True)
+        nodes = now.select(F.col("u").alias("node"), F.lit(1).alias("up")).unionByName(now.select(F.col("v").alias("node"), F.lit(0).alias("up")))
+        state = nodes.groupBy("node").agg(F.sum("up").alias("up"), F.min("up").alias("least")).agg(F.coalesce(F.sum("up"), F.lit(0)).alias("n"), F.count_if("up > 1 or up = 1 and least = 0").alias("open")).first()
+        if not state["open"]:
+            return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        stars = _star(_star(now, False, 2 * state["n"]), True, state["n"])
         now = cut(stars.mapInArrow(_local, "u long, v long").distinct(), "edges")
-        new = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if state == (new["n"], new["h"]):
-            return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
-        state = (new["n"], new["h"])
     raise RuntimeError(f"components did not settle in {MOST_ROUNDS} rounds")
 
 
-def _star(edges: DataFrame, small: bool) -> DataFrame:
+def _star(edges: DataFrame, small: bool, total: int) -> DataFrame:
     """u, v with u > v.  Large: greater neighbours link to the least; small: lesser ones and the node do."""
     both = edges if small else edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    joined = both.join(least, "u")
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+    joined = join_hot(both, least, ["u"], total)
     if small:
         out = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
     else:

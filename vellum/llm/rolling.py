@@ -13,7 +13,7 @@ def _letters(which: int) -> np.ndarray:
     return np.random.default_rng(1234 + which).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 
 
-def _powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of a base and of its inverse modulo 2**64, up to n."""
     if which not in _cache or len(_cache[which][0]) < n:
         base = _BASES[which]
@@ -32,7 +32,7 @@ class Spans:
     """Hashes of buffer[start:end] for arrays of starts and ends."""
 
     def __init__(self, data: np.ndarray, which: int = 0):
-        up, self.down = _powers(which, len(data) + 1)
+        up, self.down = powers(which, len(data) + 1)
         self.sums = np.concatenate([[np.uint64(0)], np.cumsum(_letters(which)[data] * up[:-1])])
 
     def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
