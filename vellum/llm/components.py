@@ -65,7 +65,7 @@ def components(edges: DataFrame) -> DataFrame:
     now = cut(clean.mapInArrow(_local, "u long, v long").distinct(), "edges")
     for _ in range(MOST_ROUNDS):
         nodes = now.select(F.col("u").alias("node"), F.lit(1).alias("up")).unionByName(now.select(F.col("v").alias("node"), F.lit(0).alias("up")))
-        state = nodes.groupBy("node").agg(F.sum("up").alias("up"), F.min("up").alias("least")).agg(F.coalesce(F.sum("up"), F.lit(0)).alias("n"), F.count_if("up > 1 or up = 1 and least = 0").alias("open")).first()
+        state = nodes.groupBy("node").agg(F.sum("up").alias("up"), F.min("up").alias("least")).agg(F.coalesce(F.sum("up"), F.lit(0)).alias("n"), F.count_if(F.expr("up > 1 or up = 1 and least = 0")).alias("open")).first()
         if not state["open"]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
         stars = _star(_star(now, False, 2 * state["n"]), True, state["n"])
