@@ -1,10 +1,12 @@
 """Token ids in Arrow files of fixed-size-list batches.
 
 A shard holds a run of documents in ascending doc_id order.  Their ids stand
-back to back in rows of one length, with a mask row beside each; the last row
-is padded and masked.  Every batch but the last has the same number of rows,
-so row r lies in batch r // ROWS and a memory map gives it without a copy.  An
-index file beside each shard has a row for each document.
+back to back in rows of one length, with a mask beside each; the last row is
+padded and masked.  Every batch but the last has the same number of rows, so
+row r lies in batch r // ROWS and a memory map gives it without a copy.  Masks
+are bytes, but few differ: a row points at one of the masks in the file's
+dictionary, all ones or that of the padded row.  An index file beside each
+shard has a row for each document.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from vellum.llm.tokens import default_path, encoder
+from vellum.llm.tokens import default_path, encoded, encoder
 from vellum.session import cut, scratch_path, ship_package
 
 LENGTH = 2048
@@ -37,7 +39,7 @@ def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
 
 def shard_schema(vocabulary: int, length: int) -> pa.Schema:
     kind = pa.uint16() if vocabulary <= 1 << 16 else pa.uint32()
-    return pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.bool_(), length))])
+    return pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.dictionary(pa.int8(), pa.list_(pa.uint8(), length)))])
 
 
 class ShardWriter:
@@ -50,7 +52,7 @@ class ShardWriter:
         self.schema, self.length, self.rows = shard_schema(vocabulary, length), length, rows
         self.kind = self.schema.field("ids").type.value_type.to_pandas_dtype()
         self.sinks = [self.fs.open_output_stream(f"{self.part}-{x}") for x in ("tokens", "index")]
-        self.tokens, self.index = pa.ipc.new_file(self.sinks[0], self.schema), pa.ipc.new_file(self.sinks[1], _INDEX)
+        self.tokens, self.index = pa.ipc.new_file(self.sinks[0], self.schema, options=pa.ipc.IpcWriteOptions(emit_dictionary_deltas=True)), pa.ipc.new_file(self.sinks[1], _INDEX)
         self.held: list[np.ndarray] = []
         self.entries: list[tuple] = []
         self.n_held = self.n = self.docs = 0
@@ -70,11 +72,12 @@ class ShardWriter:
         whole = np.concatenate(self.held) if self.held else np.zeros(0, self.kind)
         size = self.rows * self.length
         for at in range(0, len(whole) if last else len(whole) // size * size, size):
-            ids = whole[at : at + size]
-            mask = np.ones(len(ids), bool)
-            if pad := -len(ids) % self.length:
-                ids, mask = np.pad(ids, (0, pad)), np.pad(mask, (0, pad))
-            lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (ids, mask)]
+            ids, masks = whole[at : at + size], np.ones((1, self.length), np.uint8)
+            pad = -len(ids) % self.length
+            kind = np.zeros((len(ids) + pad) // self.length, np.int8)
+            if pad:
+                ids, masks, kind[-1] = np.pad(ids, (0, pad)), np.append(masks, [np.arange(self.length) < self.length - pad], 0).astype(np.uint8), 1
+            lists = [pa.FixedSizeListArray.from_arrays(pa.array(ids), self.length), pa.DictionaryArray.from_arrays(pa.array(kind), pa.FixedSizeListArray.from_arrays(pa.array(masks.ravel()), self.length))]
             self.tokens.write_batch(pa.RecordBatch.from_arrays(lists, schema=self.schema))
         rest = whole[len(whole) // size * size :]
         self.held, self.n_held = ([] if last else [rest]), (0 if last else len(rest))
@@ -108,11 +111,12 @@ class Shard:
         self.per_batch = self.tokens.get_batch(0).num_rows if self.tokens.num_record_batches else 0
 
     def row(self, r: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and mask of sequence r."""
+        """Ids and mask (1 for an id, 0 for padding) of sequence r, as views of the file's bytes."""
         batch = self.tokens.get_batch(r // self.per_batch)
-        at = (r % self.per_batch) * self.length
-        ids, mask = (batch.column(i).values.slice(at, self.length) for i in (0, 1))
-        return ids.to_numpy(), mask.to_numpy(zero_copy_only=False)
+        masks = batch.column(1)
+        at = r % self.per_batch
+        ids, mask = (lists.values.slice(i * self.length, self.length) for lists, i in ((batch.column(0), at), (masks.dictionary, masks.indices[at].as_py())))
+        return ids.to_numpy(), mask.to_numpy()
 
     def ids(self, start: int, n: int) -> np.ndarray:
         """The ids start..start+n of the shard, wherever its rows end."""
@@ -149,14 +153,10 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, end
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, out = encoder(path), None
-        end = np.array([end_id], "<u4").tobytes()
         shard = TaskContext.get().partitionId()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                out = out or ShardWriter(folder, shard, enc.vocabulary, length, rows)
-                for doc_id, ids in zip(part.column(0).to_pylist(), enc.encode(part.column(1).to_pylist()), strict=True):
-                    out.add(doc_id, np.frombuffer(ids + end, "<u4"))
+        for doc_id, ids in encoded(batches, enc):
+            out = out or ShardWriter(folder, shard, max(enc.vocabulary, end_id + 1), length, rows)
+            out.add(doc_id, np.append(ids, np.uint32(end_id)))
         if out:
             yield pa.RecordBatch.from_pylist([dict(zip(_MANIFEST.names, (shard, *out.close()), strict=True))], schema=_MANIFEST)
 
