@@ -3,28 +3,31 @@
 Every window of `size` bytes has an anchor, its least-hashed gram, and the
 windows that share an anchor make a segment.  Equal windows have equal grams at
 equal places, so only segments with a common anchor hash can share a window,
-and they line up at the anchor.  Segments that are equal as a whole repeat
-entirely and need no sorting.  The different segments of an anchor are sorted
-by inserting one symbol per segment each round, from the last column to the
-first: a round reorders the suffixes by their new symbol, as in an extension
-step of the collection's Burrows-Wheeler transform, and updates the common
-prefix of neighbours.  Each round's order, transform symbols and common
-prefixes go to a sequential file, which is then read once: a window whose
-suffix shares `size` bytes with a neighbour is repeated.
+and they line up at the anchor.  Segments of equal bytes repeat entirely; they
+lie side by side in byte order and one of them goes on.  The different segments
+of an anchor are sorted by inserting one symbol per segment each round, from
+the last column to the first: a round reads the order, the common prefixes and
+the transform symbols of the round before from a sequential file, deals the
+suffixes out by their transform symbol, as in an extension step of the
+collection's Burrows-Wheeler transform, takes the least prefix between new
+neighbours, and writes the next file.  A window whose suffix shares `size`
+bytes with a neighbour is repeated.
 """
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.keyed import join_some, own_keys
+from vellum.llm.keyed import join_hot, join_some, own_keys
 from vellum.llm.rolling import Spans, minimisers, runs
 from vellum.session import cut, ship_package
 
@@ -32,19 +35,18 @@ SIZE = 200
 GRAM = 32
 STEP_BYTES = 500_000
 SORT_SEGMENTS = 8_000
-_SEGMENTS = pa.schema([("anchor", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("k", pa.int64()), ("t", pa.int64()), ("start", pa.int64()), ("n", pa.int32()), ("at", pa.int32()), ("known", pa.bool_())])
-_SEGMENTS_DDL = "anchor long, s1 long, s2 long, k long, t long, start long, n int, at int, known boolean"
+SPLITS = 4
 _PICKED = pa.schema([("k", pa.int64()), ("t", pa.int64()), ("start", pa.int64()), ("n", pa.int32()), ("anchor", pa.int64()), ("at", pa.int32()), ("known", pa.bool_())])
 _PICKED_DDL = "k long, t long, start long, n int, anchor long, at int, known boolean"
-_CUT = pa.schema([("anchor", pa.int64()), ("k", pa.int64()), ("t", pa.int64()), ("start", pa.int64()), ("at", pa.int32()), ("known", pa.bool_()), ("segment", pa.binary())])
+_CUT = pa.schema([("anchor", pa.int64()), ("split", pa.bool_()), ("k", pa.int64()), ("t", pa.int64()), ("start", pa.int64()), ("at", pa.int32()), ("known", pa.bool_()), ("segment", pa.binary())])
 _FOUND = pa.schema([("k", pa.int64()), ("t", pa.int64()), ("start", pa.int64()), ("n", pa.int32())])
 
 
-def segments(docs: list[tuple[int, int, bytes, int]], size: int, gram: int) -> dict[str, np.ndarray]:
-    """Segments of documents (k, number of the first byte, bytes, t): anchor, two content hashes, k, t, start, windows n, anchor's place."""
+def segments(docs: list[tuple[int, int, bytes, int]], size: int, gram: int) -> tuple[dict[str, np.ndarray], bytes]:
+    """Segments of documents (k, number of the first byte, bytes, t): anchor, content hash, k, t, start, windows n, anchor's place, and place in the bytes that come with them."""
     docs = [d for d in docs if len(d[2]) >= size]
     if not docs:
-        return {}
+        return {}, b""
     raw = np.frombuffer(b"".join(d[2] for d in docs), np.uint8)
     counts = np.array([len(d[2]) for d in docs])
     first = np.cumsum(counts) - counts
@@ -58,24 +60,29 @@ def segments(docs: list[tuple[int, int, bytes, int]], size: int, gram: int) -> d
     end = where + length + size - 1
     ks, offsets, ts = (np.array([d[i] for d in docs], np.int64) for i in (0, 1, 3))
     o = owner[start]
-    return {"anchor": value[where], "s1": one.hash(where, end).view(np.int64), "s2": Spans(raw, 1).hash(where, end).view(np.int64), "k": ks[o], "t": ts[o], "start": offsets[o] + where - first[o], "n": length, "at": at[where] - where}
+    return {"anchor": value[where], "content": one.hash(where, end).view(np.int64), "k": ks[o], "t": ts[o], "start": offsets[o] + where - first[o], "n": length, "at": at[where] - where, "from": where, "to": end}, raw.tobytes()
 
 
 def _segment(size: int, gram: int):
     def settle(docs: list[tuple[int, int, bytes, int]]) -> Iterator[pa.RecordBatch]:
-        s = segments(docs, size, gram)
+        """Every segment with its anchor; of segments with equal bytes all are known to repeat (anchor null), and one of them also goes on."""
+        s, data = segments(docs, size, gram)
         if s:
-            order = np.lexsort((s["start"], s["t"], s["k"], s["s2"], s["s1"]))
+            order = np.lexsort((s["start"], s["t"], s["k"], s["content"]))
             s = {c: v[order] for c, v in s.items()}
-            first, n = runs(s["s1"], s["s2"])
-            twice = np.repeat(n > 1, n)
-            head = np.zeros(len(order), bool)
-            head[first] = True
-            s["anchor"] = np.where(head, s["anchor"], 0)
-            s["s1"] = np.where(head, s["s1"], s["k"] ^ s["t"])  # settled rows only pass by: spread them
-            s["known"] = twice
-            s["n"] = np.where(head, s["n"], -s["n"])
-            yield pa.RecordBatch.from_arrays([pa.array(s[f.name].astype(f.type.to_pandas_dtype())) for f in _SEGMENTS], schema=_SEGMENTS)
+            first, n = runs(s["content"])
+            twice, on = np.zeros(len(order), bool), np.ones(len(order), bool)
+            for a, m in zip(first[n > 1].tolist(), n[n > 1].tolist(), strict=True):
+                head = data[s["from"][a] : s["to"][a]]
+                same = np.array([data[f:e] == head for f, e in zip(s["from"][a : a + m].tolist(), s["to"][a : a + m].tolist(), strict=True)])
+                if same.sum() > 1:
+                    twice[a : a + m] = same
+                    on[a : a + m] = ~same
+                    on[a] = True
+            rows = np.concatenate([np.flatnonzero(twice), np.flatnonzero(on)])
+            anchor = pa.array(s["anchor"][rows], mask=np.arange(len(rows)) < twice.sum())
+            made = {"known": pa.array(twice[rows]), "anchor": anchor} | {f.name: pa.array(s[f.name][rows].astype(f.type.to_pandas_dtype())) for f in _PICKED if f.name not in ("known", "anchor")}
+            yield pa.RecordBatch.from_arrays([made[c] for c in _PICKED.names], schema=_PICKED)
 
     def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs, held = [], 0
@@ -95,54 +102,23 @@ def _segment(size: int, gram: int):
     return segment
 
 
-def _pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From segments sorted by anchor and content: those that repeat whole (anchor null), and one of each kind where an anchor has several."""
-    names, held = _SEGMENTS.names, None
-
-    def judge(c: dict[str, np.ndarray]) -> pa.RecordBatch:
-        passing = c["n"] < 0
-        first, n = runs(c["anchor"], c["s1"], c["s2"])
-        kind_first = np.zeros(len(passing), bool)
-        kind_first[first] = True
-        whole = np.repeat(np.maximum.reduceat(c["known"].astype(np.int8), first) > 0, n) | np.repeat(n > 1, n)
-        group, size = runs(c["anchor"])
-        kinds = np.repeat(np.add.reduceat(kind_first & ~passing, group), size)
-        settled = passing | whole
-        picked = kind_first & ~passing & (kinds > 1)
-        out = []
-        for mask, anchored in ((settled, False), (picked, True)):
-            i = np.flatnonzero(mask)
-            anchor = pa.array(c["anchor"][i], pa.int64()) if anchored else pa.nulls(len(i), pa.int64())
-            out.append(pa.RecordBatch.from_arrays([pa.array(c["k"][i]), pa.array(c["t"][i]), pa.array(c["start"][i]), pa.array(np.abs(c["n"][i]).astype(np.int32)), anchor, pa.array(c["at"][i].astype(np.int32)), pa.array(whole[i])], schema=_PICKED))
-        return pa.Table.from_batches(out).combine_chunks().to_batches()
-
-    for batch in batches:
-        now = {n: batch.column(i).to_numpy(zero_copy_only=False) for i, n in enumerate(names)}
-        held = now if held is None else {n: np.concatenate([held[n], now[n]]) for n in names}
-        ready = int(np.searchsorted(held["anchor"], held["anchor"][-1]))
-        if ready:
-            yield from judge({n: v[:ready] for n, v in held.items()})
-            held = {n: v[ready:] for n, v in held.items()}
-        elif len(held["anchor"]) > 200_000:
-            held = yield from _thin(held)
-    if held is not None and len(held["anchor"]):
-        yield from judge(held)
-
-
-def _thin(c: dict[str, np.ndarray]):
-    """Of one anchor's rows, settle all but the first of each kind, so that a hot anchor stays small."""
-    keep_open = c["n"] > 0
-    first, n = runs(c["s1"], c["s2"])
-    head = np.zeros(len(keep_open), bool)
-    head[first] = True
-    known = c["known"] | np.repeat(n > 1, n)
-    gone = np.flatnonzero(~(head & keep_open))
-    if len(gone):
-        yield pa.RecordBatch.from_arrays([pa.array(c["k"][gone]), pa.array(c["t"][gone]), pa.array(c["start"][gone]), pa.array(np.abs(c["n"][gone]).astype(np.int32)), pa.nulls(len(gone), pa.int64()), pa.array(c["at"][gone].astype(np.int32)), pa.array(known[gone])], schema=_PICKED)
-    return {x: (known if x == "known" else v)[head & keep_open] for x, v in c.items()}
-
-
-def _cut_out(size: int):
+def contexts(part: bytes, at: int, size: int, gram: int) -> list[int]:
+    """Keys of which two segments with a common window share one: hashes of the anchor with its surroundings, cut SPLITS ways.
+
+    A window holds size - gram bytes besides the anchor, so many to its left and
+    the others to its right.
+    """
+    rest = size - gram
+    step = max(1, rest // SPLITS)
+    out = []
+    for i, left in enumerate(range(0, rest + 1, step)):
+        right = max(0, rest - step - left)
+        if at >= left and at + gram + right <= len(part):
+            out.append(xxhash.xxh64_intdigest(part[at - left : at + gram + right], i) - (1 << 63))
+    return out
+
+
+def _cut_out(size: int, gram: int):
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, held = [], 0
@@ -150,12 +126,12 @@ def _cut_out(size: int):
                 data = (text or "").encode("utf-8", "replace")
                 for w in wanted or ():
                     part = data[w["start"] : w["start"] + w["n"] + size - 1]
-                    if len(part) == w["n"] + size - 1:
-                        out.append((w["anchor"], k, t, w["start"], w["at"], w["known"], part))
+                    for key in contexts(part, w["at"], size, gram) if w["hot"] else [w["anchor"]]:
+                        out.append((key, w["hot"], k, t, w["start"], w["at"], w["known"], part))
                         held += len(part)
-                if held > 4_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _CUT, strict=True)], schema=_CUT)
-                    out, held = [], 0
+                    if held > 4_000_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _CUT, strict=True)], schema=_CUT)
+                        out, held = [], 0
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _CUT, strict=True)], schema=_CUT)
 
@@ -178,6 +154,27 @@ def _range_least(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.nd
         k += 1
 
 
+class Rounds:
+    """The sequential file of a round: order, common prefixes and transform symbols (0: no symbol before), read once and replaced."""
+
+    def __init__(self, folder: str | None):
+        self.folder, self.n = folder, 0
+        self.now = tempfile.TemporaryFile(dir=folder)
+
+    def read(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        self.now.seek(0)
+        return tuple(np.frombuffer(self.now.read(self.n * np.dtype(kind).itemsize), kind) for kind in (np.int32, np.int32, np.uint16))
+
+    def write(self, order: np.ndarray, common: np.ndarray, transform: np.ndarray) -> None:
+        self.now.seek(0)
+        for block, kind in ((order, np.int32), (common, np.int32), (transform, np.uint16)):
+            self.now.write(block.astype(kind, copy=False).tobytes())
+        self.n = len(order)
+
+    def close(self) -> None:
+        self.now.close()
+
+
 def repeated_starts(parts: list[bytes], at: list[int], size: int, folder: str | None = None) -> list[np.ndarray]:
     """For byte strings lined up at their anchors `at`: the starts whose next `size` bytes also start in another one at the same distance from its anchor."""
     length = np.array([len(p) for p in parts])
@@ -185,86 +182,120 @@ def repeated_starts(parts: list[bytes], at: list[int], size: int, folder: str |
     most = int(left.max())
     columns = most + int(right.max())
     begin = most - left
-    symbols = np.zeros((columns, len(parts)), np.uint8)
-    for i, p in enumerate(parts):
-        symbols[begin[i] : begin[i] + len(p), i] = np.frombuffer(p, np.uint8)
     last = begin + length - 1
-    joining = np.argsort(-last, kind="stable")
-    order, common, joined = np.zeros(0, np.int32), np.zeros(0, np.int32), 0
-    sizes = np.zeros(columns, np.int64)
-    with tempfile.TemporaryFile(dir=folder) as file:
+    joining = np.argsort(-last, kind="stable").astype(np.int32)
+    joined, hits = 0, []
+    state, text = Rounds(folder), tempfile.TemporaryFile(dir=folder)
+    with contextlib.closing(state), text:
+        symbols = np.zeros((columns, len(parts)), np.uint8)
+        for i, p in enumerate(parts):
+            symbols[begin[i] : begin[i] + len(p), i] = np.frombuffer(p, np.uint8)
+        text.write(symbols[::-1].tobytes())  # columns in the order of the rounds
+        del symbols
+        text.seek(0)
+        following = np.frombuffer(text.read(len(parts)), np.uint8)
         for c in range(columns - 1, -1, -1):
+            column, following = following, np.frombuffer(text.read(len(parts)), np.uint8) if c else np.zeros(len(parts), np.uint8)
+            order, common, transform = state.read()
             n = joined + int(np.searchsorted(-last[joining[joined:]], -c, "right"))
-            if n > joined:  # suffixes that begin here have no earlier symbol: they stand first and share nothing
-                fresh = joining[joined:n].astype(np.int32)
-                order, common = np.concatenate([fresh, order]), np.concatenate([np.zeros(len(fresh), np.int32), common])
+            if n > joined:  # strings that end here have an empty suffix: they stand first and share nothing
+                fresh = joining[joined:n]
+                common = np.concatenate([np.zeros(len(fresh), np.int32), common])
                 common[len(fresh) : len(fresh) + 1] = 0
+                order, transform = np.concatenate([fresh, order]), np.concatenate([column[fresh].astype(np.uint16) + 1, transform])
                 joined = n
-            here = begin[order] <= c
-            if not here.all():  # a string whose first symbol has been inserted leaves; neighbours meet over the gap
-                keep = np.flatnonzero(here)
+            keep = np.flatnonzero(transform)
+            if len(keep) < len(order):  # a string whose first symbol has been inserted leaves; neighbours meet over the gap
                 common = _range_least(common, np.concatenate([[0], keep[:-1] + 1]), keep) if len(keep) else common[:0]
-                order = order[keep]
-            if not len(order):
-                continue
-            new = symbols[c, order]
-            by = np.argsort(new, kind="stable")
-            same = new[by][1:] == new[by][:-1]
+                order, transform = order[keep], transform[keep]
+            by = np.argsort(transform, kind="stable")
+            same = transform[by][1:] == transform[by][:-1]
             least = np.zeros(len(by), np.int32)
             pairs = np.flatnonzero(same)
-            least[pairs + 1] = 1 + _range_least(common, by[pairs] + 1, by[pairs + 1]) if len(pairs) else 0
-            order, common = order[by], least
-            sizes[c] = len(order)
-            before = symbols[c - 1, order] if c else np.zeros(len(order), np.uint8)
-            for block in (order, common, before):
-                file.write(block.tobytes())
-        file.seek(0)
-        flags = np.zeros(symbols.shape, bool)
-        for c in range(columns - 1, -1, -1):
-            if n := int(sizes[c]):
-                order, common = np.frombuffer(file.read(4 * n), np.int32), np.frombuffer(file.read(4 * n), np.int32)
-                file.read(n)
-                long_ = common >= size
-                flags[c, order[long_]] = True
-                flags[c, order[np.flatnonzero(long_) - 1]] = True
-    return [np.flatnonzero(flags[begin[i] : begin[i] + len(p), i]) for i, p in enumerate(parts)]
+            if len(pairs):
+                least[pairs + 1] = 1 + _range_least(common, by[pairs] + 1, by[pairs + 1])
+            order = order[by]
+            state.write(order, least, np.where(begin[order] < c, following[order].astype(np.uint16) + 1, 0))
+            long_ = np.flatnonzero(least >= size)
+            if len(long_):
+                found = np.unique(order[np.concatenate([long_, long_ - 1])])
+                hits.append((found, np.full(len(found), c)))
+    if not hits:
+        return [np.zeros(0, np.int64) for _ in parts]
+    who, where = (np.concatenate(x) for x in zip(*hits, strict=True))
+    by = np.lexsort((where, who))
+    who, where = who[by], where[by] - begin[who[by]]
+    edge = np.searchsorted(who, np.arange(len(parts) + 1))
+    return [where[a:b] for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
 
 
 def _sort(size: int):
-    def found_in(rows: list[tuple]) -> pa.RecordBatch:
+    def found_in(rows: list[list]) -> list[tuple]:
         out = []
-        for (_, k, t, start, _, known, _), hits in zip(rows, repeated_starts([r[6] for r in rows], [r[4] for r in rows], size), strict=True):
-            if not known and len(hits):
-                first, n = runs(hits - np.arange(len(hits)))
-                out += [(k, t, start + int(a), int(m)) for a, m in zip(hits[first], n, strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _FOUND, strict=True)], schema=_FOUND) if out else pa.RecordBatch.from_pylist([], schema=_FOUND)
+        if len(rows) > 1:
+            for (_, _, k, t, start, _, known, _), hits in zip(rows, repeated_starts([r[7] for r in rows], [r[5] for r in rows], size), strict=True):
+                if not known and len(hits):
+                    first, n = runs(hits - np.arange(len(hits)))
+                    out += [(k, t, start + int(a), int(m)) for a, m in zip(hits[first], n, strict=True)]
+        return out
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
+        """Rows come by anchor, then by bytes: equal ones repeat whole and one goes on; an anchor that was split is sorted on its own, as others may hold the same segment."""
+        rows: list[list] = []  # whole anchors with different segments
+        group: list[list] = []  # the different segments of the present anchor
+        out: list[tuple] = []
+
+        def close() -> None:
+            nonlocal rows, group
+            if len(group) > 1:
+                if group[0][1]:
+                    out.extend(found_in(group))
+                else:
+                    rows += group
+                    if len(rows) >= SORT_SEGMENTS:
+                        out.extend(found_in(rows))
+                        rows = []
+            group = []
+
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if len(rows) >= SORT_SEGMENTS and row[0] != rows[-1][0]:
-                    yield found_in(rows)
-                    rows = []
-                rows.append(row)
-        if rows:
-            yield found_in(rows)
+                row = list(row)
+                if group and row[0] != group[0][0]:
+                    close()
+                if group and row[7] == group[-1][7]:
+                    for r in (group[-1], row):
+                        if not r[6]:
+                            out.append((r[2], r[3], r[4], len(r[7]) - size + 1))
+                    group[-1][6] = True
+                else:
+                    group.append(row)
+            if len(out) > 20_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _FOUND, strict=True)], schema=_FOUND)
+                out.clear()
+        close()
+        out.extend(found_in(rows))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _FOUND, strict=True)], schema=_FOUND)
 
     return sort
 
 
-def repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
-    """(k, t, spans): for each document with repeats, spans (start, n) of windows that also start elsewhere; k and t are those of own_keys()."""
+def repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, hot: int = SORT_SEGMENTS) -> DataFrame:
+    """(k, t, spans): for each document with repeats, spans (start, n) of windows that also start elsewhere; k and t are those of own_keys().
+
+    Anchors of over `hot` segments are split by what surrounds them.
+    """
     ship_package(docs.sparkSession)
     texts = own_keys(docs.select("doc_id", F.col("text").cast("string").alias("text"))).select("k", "t", "text")
-    parts = texts.mapInArrow(_segment(size, gram), _SEGMENTS_DDL)
-    parts = parts.repartition("anchor", F.when(F.col("anchor") == 0, F.col("s1"))).sortWithinPartitions("anchor", "s1", "s2")
-    judged = cut(parts.mapInArrow(_pick, _PICKED_DDL), "segments")
-    wanted = judged.where("anchor is not null").groupBy("k", "t").agg(F.collect_list(F.struct("anchor", "start", "n", "at", "known")).alias("wanted"))
+    parts = cut(texts.mapInArrow(_segment(size, gram), _PICKED_DDL), "segments")
+    open_ = parts.where("anchor is not null")
+    shared = open_.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").withColumn("hot", F.col("n") > hot)
+    met = join_hot(open_, shared, ["anchor"], open_.count(), some=True)
+    wanted = met.groupBy("k", "t").agg(F.collect_list(F.struct("anchor", "start", "n", "at", "known", "hot")).alias("wanted"))
     strings = join_some(texts, wanted, "k", "t").where("wanted is not null").select("k", "t", "text", "wanted")
-    strings = strings.mapInArrow(_cut_out(size), "anchor long, k long, t long, start long, at int, known boolean, segment binary")
-    found = strings.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sort(size), "k long, t long, start long, n int")
-    every = judged.where("anchor is null").select("k", "t", "start", "n").unionByName(found)
+    strings = strings.mapInArrow(_cut_out(size, gram), "anchor long, split boolean, k long, t long, start long, at int, known boolean, segment binary")
+    found = strings.repartition("anchor").sortWithinPartitions("anchor", "segment").mapInArrow(_sort(size), "k long, t long, start long, n int")
+    every = parts.where("anchor is null").select("k", "t", "start", "n").unionByName(found)
     return cut(every.groupBy("k", "t").agg(F.collect_list(F.struct("start", "n")).alias("spans")), "byte-repeats")
 
 
