@@ -16,16 +16,18 @@ ROOT = Path(__file__).resolve().parent.parent
 _SHIPPED: set[str] = set()
 _OWN_SHARED: dict[str, str] = {}
 BATCH_BYTES = "4m"
+DEFAULT_BATCH_BYTES = (None, "-1", "67108864b")  # a session that never set it
 
 
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable in Python workers (once an application), and keep Arrow batches small.
 
     Texts vary from a word to megabytes, so batches are bounded by bytes
-    (BATCH_BYTES), not by rows alone.  Workers that inherit a PYTHONPATH holding the repository need nothing;
+    (BATCH_BYTES), not by rows alone, unless the session has a bound of its own.  Workers that inherit a PYTHONPATH holding the repository need nothing;
     otherwise a zip of the sources goes out through Spark's file server.
     """
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) in DEFAULT_BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     app = spark.sparkContext.applicationId
     paths = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
     if app in _SHIPPED or str(ROOT) in paths:
@@ -41,12 +43,15 @@ def ship_package(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where the setting is absent (tests, a laptop) is a folder of our own
-    taken, which is then removed at exit.
+    Only a local master without the setting (tests, a laptop) gets a folder of
+    our own, which is removed at exit; on a cluster executors would each write
+    to a disk of theirs and rows would be missing without notice.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_SHARED:
         own = tempfile.mkdtemp(prefix="spark-vellum-")
@@ -55,8 +60,19 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN_SHARED[app]
 
 
+def scratch_root(spark: SparkSession) -> str:
+    """Where this application's intermediate tables and files lie."""
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> bool:
+    """Remove the intermediate tables and files of this application; results that were not written elsewhere go with them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    return bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
