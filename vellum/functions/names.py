@@ -73,6 +73,21 @@ def parse_names(authors: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([parse_list(a or "") for a in authors], columns=["names", "error"])
 
 
+@F.pandas_udf(T.StructType([T.StructField(n, T.StringType()) for n in ("author", "editor")]))
+def name_errors(author: pd.Series, editor: pd.Series) -> pd.DataFrame:
+    """Why author and editor lists can't be read, in one call; null where they can, or are empty."""
+    why = lambda s: [parse_list(x)["error"] if x else None for x in s]
+    return pd.DataFrame({"author": why(author), "editor": why(editor)})
+
+
+def last_name(authors: Column) -> Column:
+    """The decoded last name of the first author; empty if the list is empty or can't be read."""
+    from vellum.functions import tex
+
+    first = F.try_element_at(parse_names(authors)["names"], F.lit(1))
+    return F.coalesce(tex.decode(first["last"]), F.lit(""))
+
+
 def full_name(name: Column) -> Column:
     blank = lambda c: F.nullif(c, F.lit(""))
     return F.concat_ws(", ", F.concat_ws(" ", blank(name["first"]), blank(name["von"]), blank(name["last"])), blank(name["jr"]))

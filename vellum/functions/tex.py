@@ -65,24 +65,54 @@ def unknown_macros(text: Column) -> Column:
 
 
 @cache
-def _bases() -> tuple[str, str]:
-    """Characters that decompose to one character and marks, with that character; capital sigma goes to its plain small form."""
-    source, target = ["Σ"], ["σ"]
-    for c in map(chr, range(0xA0, 0x30000)):
+def _bases() -> tuple[str, str, dict[str, str]]:
+    """Characters that decompose to one character and marks, with that character; those that decompose to several; capital sigma goes to its plain small form.
+
+    Hangul syllables are left to _jamo().
+    """
+    source, target, several = ["Σ"], ["σ"], {}
+    for c in map(chr, [*range(0xA0, 0xAC00), *range(0xD7A4, 0xD800), *range(0xE000, 0x30000)]):
         d = [x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x) != "Mn"] if unicodedata.decomposition(c) else [c]
         if len(d) == 1 and d[0] != c:
             source.append(c)
             target.append("σ" if d[0] == "Σ" else d[0])
-    return "".join(source), "".join(target)
+        elif len(d) > 1:
+            several[c] = "".join(d)
+    return "".join(source), "".join(target), several
 
 
-def fold(text: Column) -> Column:
-    """Decoded text without accents, in lower case, with ß æ ø ł and the hard space spelled plainly."""
-    plain = decode(text)
-    plain = F.when(plain.rlike(r"[^\x00-\x7f]"), F.regexp_replace(F.translate(plain, *_bases()), r"\p{Mn}+", "")).otherwise(plain)
+def _jamo(c: Column) -> Column:
+    """The two or three letters that a Hangul syllable is built of, by the arithmetic of the Unicode standard."""
+    at = F.ascii(c) - 0xAC00
+    letters = lambda first, n: F.array(*(F.lit(chr(first + i)) for i in range(n)))
+    part = lambda first, n, i: F.element_at(letters(first, n), (F.floor(i) + 1).cast("int"))
+    tail = F.array(F.lit(""), *(F.lit(chr(0x11A8 + i)) for i in range(27)))
+    return F.concat(part(0x1100, 19, at / 588), part(0x1161, 21, at % 588 / 28), F.element_at(tail, (at % 28 + 1).cast("int")))
+
+
+def _decomposed(text: Column) -> Column:
+    one, base, several = _bases()
+    plain = F.translate(text, one, base)
+    letter = lambda c: F.when(c.between("\uac00", "\ud7a3"), _jamo(c)).otherwise(F.coalesce(F.try_element_at(_map(several), c), c))
+    rare = "[" + "".join(several) + "\uac00-\ud7a3]"
+    return F.when(plain.rlike(rare), F.array_join(F.transform(F.split(plain, ""), letter), "")).otherwise(plain)
+
+
+def _lowered(decoded: Column) -> Column:
+    plain = F.when(decoded.rlike(r"[^\x00-\x7f]"), F.regexp_replace(_decomposed(decoded), r"\p{Mn}+", "")).otherwise(decoded)
     return reduce(lambda c, kv: F.replace(c, F.lit(kv[0]), F.lit(kv[1])), (("ß", "ss"), ("æ", "ae"), ("ø", "o"), ("ł", "l"), ("\u00a0", " ")), F.lower(plain))
 
 
+def fold(text: Column) -> Column:
+    """Decoded text without accents, in lower case, with ß æ ø ł and the hard space spelled plainly; composed characters stand as what they decompose to."""
+    return once(decode(text), _lowered)
+
+
+def once(value: Column, use) -> Column:
+    """use(value) with value evaluated a single time, however often the expression holds it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def words(text: Column) -> Column:
     """Runs of letters and digits of the folded text."""
     return F.regexp_extract_all(fold(text), F.lit(r"([\p{L}\p{Nd}]+)"), F.lit(1))
@@ -129,13 +159,22 @@ def encode(text: pd.Series) -> pd.Series:
 
 
 def brace_title(title: Column) -> Column:
-    """Braces around words with a capital after their first letter, outside groups and formulas."""
-    step = lambda s, w: F.struct(
-        (s["depth"] + F.length(F.regexp_replace(w, r"[^{]", "")) - F.length(F.regexp_replace(w, r"[^}]", ""))).alias("depth"),
-        ((s["math"] + F.length(F.regexp_replace(w, r"[^$]", ""))) % 2).alias("math"),
-        F.array_append(s["out"], F.when((s["depth"] == 0) & (s["math"] == 0) & ~F.substring(w, 1, 1).isin("{", "$") & w.rlike(r"\A[^{$]+[^{$]*\z") & w.rlike(r"\A.[^{$]*\p{Lu}"), F.concat(F.lit("{"), w, F.lit("}"))).otherwise(w)).alias("out"),
+    """Braces around words with a capital after their first character, outside groups and formulas.
+
+    A word stays bare if a group or formula is open before or after it, or if it
+    begins one itself; a closing brace without an opening one counts as nothing.
+    """
+    zero = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("math"))
+    walk = lambda s, c: F.struct(
+        F.when(c == "{", s["depth"] + 1).when((c == "}") & (s["depth"] > 0), s["depth"] - 1).otherwise(s["depth"]).alias("depth"),
+        F.when(c == "$", ~s["math"]).otherwise(s["math"]).alias("math"),
     )
-    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("math"), F.array().cast("array<string>").alias("out"))
+    free = lambda s: (s["depth"] == 0) & ~s["math"]
+    braced = lambda s, w, e: F.when(free(s) & free(e) & ~F.substring(w, 1, 1).isin("{", "$") & w.rlike(r"(?s)\A.[\s\S]*\p{Lu}"), F.concat(F.lit("{"), w, F.lit("}"))).otherwise(w)
+    marks = lambda w: F.regexp_extract_all(w, F.lit(r"([{}$])"), F.lit(1))
+    state = lambda s: F.struct(s["depth"].alias("depth"), s["math"].alias("math"))
+    step = lambda s, w: F.transform(F.array(F.aggregate(marks(w), state(s), walk)), lambda e: F.struct(e["depth"].alias("depth"), e["math"].alias("math"), F.array_append(s["out"], braced(s, w, e)).alias("out")))[0]
+    start = F.struct(zero["depth"].alias("depth"), zero["math"].alias("math"), F.array().cast("array<string>").alias("out"))
     return F.aggregate(F.split(title, " "), start, step, lambda s: F.array_join(s["out"], " "))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from vellum.functions import tex
 from vellum.functions.names import parse_names
-from vellum.operators.records import SIMILAR, make_key
+from vellum.operators.records import SIMILAR, add_pending, make_key, merge
 from vellum.sources import services
 
 LEAST_TOKENS = 4
@@ -38,6 +38,46 @@ def published_drafts(works: DataFrame) -> DataFrame:
     return named.withColumn("error", error).select(*works.columns, "error", made.alias("_d")).select(*works.columns, "error", "_d.*")
 
 
+PENDING = "complete and check the metadata"
+
+
+def preprint_drafts(entries: DataFrame) -> DataFrame:
+    """entries (entry as services.ENTRY, other columns kept) with error, and base key, type, fields, arxiv, abstract and doi of a draft where it is null."""
+    e = F.col("entry")
+    raw = entries.withColumn("_title", tex.encode(F.coalesce(e["title"], F.lit("")))).withColumn("_authors", tex.encode(F.coalesce(services.arxiv_authors(e["authors"]), F.lit(""))))
+    named = raw.withColumn("_names", parse_names("_authors"))
+    year = F.coalesce(e["year"], F.lit(0))
+    base = make_key(F.try_element_at(F.col("_names.names"), F.lit(1))["last"], year.cast("string"))
+    error = F.when(F.col("_title") == "", "missing title").when(F.coalesce(F.size(e["authors"]), F.lit(0)) <= 0, "missing authors").when(year == 0, "missing year").when(base.isNull(), "no key")
+    fields = _filled({"author": F.col("_authors"), "title": tex.brace_title(F.col("_title")), "year": year.cast("string"), "eprint": e["id"], "archiveprefix": F.lit("arXiv"), "primaryclass": e["primary_class"]})
+    arxiv = F.struct(e["id"].alias("id"), e["version"].alias("version"))
+    made = F.when(F.col("error").isNull(), F.struct(base.alias("base"), F.lit("misc").alias("type"), fields.alias("fields"), arxiv.alias("arxiv"), e["summary"].alias("abstract"), F.nullif(e["doi"], F.lit("")).alias("doi")))
+    return named.withColumn("error", error).select(*entries.columns, "error", made.alias("_d")).select(*entries.columns, "error", "_d.*")
+
+
+def merge_published(preprints: DataFrame, works: DataFrame) -> DataFrame:
+    """preprints (id, base, type, fields, arxiv, abstract, doi, pending) with the published record of their DOI where works (doi, status, work) has one.
+
+    The published record is the entry: its key, type and fields, with the
+    preprint's identifiers laid over them, its arXiv reference and its abstract.
+    Where the lookup failed or the record is unusable, the preprint stays and
+    pending says why.
+    """
+    asked = preprints.where("doi is not null").select("doi").distinct().join(works, "doi")
+    published = published_drafts(asked.where("status = 200").select(F.col("doi").alias("asked"), "work"))
+    facts = works.select(F.col("doi").alias("asked"), "status").join(published.select("asked", F.struct("error", "base", "type", "fields", "doi").alias("p")), "asked", "left")
+    joined = preprints.join(facts.select(F.col("asked").alias("_asked"), F.struct("status", "p").alias("_said")), F.col("doi") == F.col("_asked"), "left")
+    p = F.col("_said.p")
+    good = F.coalesce(p.isNotNull() & p["error"].isNull(), F.lit(False))
+    failed = F.concat(F.lit("lookup of "), F.col("doi"), F.lit(" failed ("), F.coalesce(F.col("_said.status").cast("string"), F.lit("no answer")), F.lit("); published metadata is missing"))
+    unusable = F.concat(F.lit("record "), F.col("doi"), F.lit(" is unusable ("), p["error"], F.lit("); published metadata is missing"))
+    note = F.when(F.col("doi").isNotNull() & ~good, F.when(p.isNull(), failed).otherwise(unusable))
+    pick = lambda n, own=None: F.when(good, p[n]).otherwise(F.col(n) if own is None else own).alias(n)
+    fields = F.when(good, merge(p["fields"], F.col("fields"))).otherwise(F.col("fields")).alias("fields")
+    own = [c for c in preprints.columns if c not in ("base", "type", "fields", "doi", "pending")]
+    return joined.select(*own, pick("base"), pick("type"), fields, pick("doi", F.lit(None).cast("string")), add_pending(F.col("pending"), note).alias("pending"))
+
+
 def unseen_in_batch(papers: DataFrame) -> DataFrame:
     """papers (ord, doi, arxiv_id, more) with first: the smallest ord of the batch with the same DOI, whatever its case, or arXiv id.
 

@@ -80,15 +80,92 @@ def bib_entry(key: Column, kind: Column, fields: Column) -> Column:
     return F.concat(F.lit("@"), kind, F.lit("{"), key, F.lit(",\n"), F.array_join(lines, ""), F.lit("}\n"))
 
 
+def metadata_values(subject: Column, keywords: Column, custom: Column, packet: Column) -> Column:
+    """The metadata texts that identification reads: subject, keywords, custom entries by name, the packet's text; empty ones go."""
+    entries = F.transform(F.array_sort(F.map_entries(F.coalesce(custom, F.create_map().cast("map<string,string>")))), lambda e: e["value"])
+    return F.filter(F.concat(F.array(subject, keywords), entries, F.array(packet)), lambda v: F.coalesce(v, F.lit("")) != "")
+
+
 def identify(typed_doi: Column, values: Column, pages: Column) -> Column:
-    """struct<doi, arxiv_id, tier>: a typed DOI, then identifiers in metadata values, then in page texts."""
+    """struct<doi, arxiv_id, tier, version>: a typed DOI, then identifiers in metadata values, then in page texts; a DOI anywhere in a tier precedes arXiv stamps.
+
+    tier is 0 and the others null where nothing is found.
+    """
     first = lambda texts, f: F.try_element_at(F.filter(F.transform(texts, f), lambda x: x.isNotNull()), F.lit(1))
-    typed, doi1, ax1, doi2, ax2 = F.nullif(typed_doi, F.lit("")), first(values, refs.find_doi), first(values, refs.find_arxiv), first(pages, refs.find_doi), first(pages, refs.find_arxiv)
+    typed, doi1, ax1, doi2, ax2 = F.nullif(typed_doi, F.lit("")), first(values, refs.find_doi), first(values, refs.find_arxiv_id), first(pages, refs.find_doi), first(pages, refs.find_arxiv_id)
     doi = F.coalesce(typed, doi1)
     tier = F.when(doi.isNotNull() | ax1.isNotNull(), 1).when(doi2.isNotNull() | ax2.isNotNull(), 2).otherwise(0)
     doi = F.when(tier == 1, doi).otherwise(doi2)
     arxiv = F.when(doi.isNull(), F.when(tier == 1, ax1).otherwise(ax2))
-    return F.struct(doi.alias("doi"), arxiv.alias("arxiv_id"), tier.alias("tier"))
+    return F.struct(doi.alias("doi"), arxiv["id"].alias("arxiv_id"), tier.alias("tier"), arxiv["version"].alias("version"))
+
+
+def best_hits(guesses: DataFrame, hits: DataFrame) -> DataFrame:
+    """(id, title, doi, score) for guesses (id, title): the hit (query, pos, doi, title) of a guess's title whose title is most like it, the first of equal ones."""
+    met = guesses.join(hits.select(F.col("query").alias("title"), "pos", "doi", F.col("title").alias("theirs")), "title")
+    score = tex.similarity(tex.words(F.col("title")), tex.words(F.col("theirs")))
+    best = F.min_by(F.struct("doi", "score"), F.struct(-F.col("score"), "pos"))
+    return met.withColumn("score", score).groupBy("id", "title").agg(best.alias("b")).select("id", "title", "b.*")
+
+
+def identify_by_title(papers: DataFrame, hits: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """papers (id, ident as identify() gives it, guess) with ident completed by tier 3 and with title: the guess of papers that nothing else identified.
+
+    A guess is kept where no hit is like it enough; an empty one is no guess.
+    """
+    open_ = papers.where((F.col("ident.tier") == 0) & (F.coalesce("guess", F.lit("")) != "")).select("id", F.col("guess").alias("title"))
+    found = best_hits(open_, hits).where(F.col("score") >= least).select("id", F.col("doi").alias("_doi"))
+    joined = papers.join(found, "id", "left")
+    third = F.struct(F.col("_doi").alias("doi"), F.col("ident.arxiv_id").alias("arxiv_id"), F.lit(3).alias("tier"), F.col("ident.version").alias("version"))
+    title = F.when(F.col("ident.tier") == 0, F.nullif("guess", F.lit("")))
+    return joined.withColumn("_title", title).withColumn("ident", F.when(F.col("_doi").isNotNull(), third).otherwise(F.col("ident"))).select(*papers.columns, F.col("_title").alias("title"))
+
+
+def verify_into(doi: Column, arxiv: Column, title: Column, ident: Column, file_title: Column) -> Column:
+    """struct<file, arxiv> if a file's ident and title fit a record (doi, arxiv struct<id, version>, title), else null.
+
+    They fit by the same arXiv id, the same DOI whatever its case, or a title
+    that is alike.  file is the name to store it under; arxiv is the record's
+    reference afterwards, taken from the file where the record had none.
+    """
+    text = lambda c: F.coalesce(c, F.lit(""))
+    same_arxiv = (text(ident["arxiv_id"]) != "") & (text(arxiv["id"]) == ident["arxiv_id"])
+    same_doi = (text(ident["doi"]) != "") & (F.lower(text(doi)) == F.lower(ident["doi"]))
+    same_title = tex.similarity(tex.words(text(title)), tex.words(text(file_title))) >= SIMILAR
+    version = F.coalesce(ident["version"], F.lit(0))
+    known = F.when(F.coalesce(same_arxiv, F.lit(False)) & (version <= 0), F.coalesce(arxiv["version"], F.lit(0))).otherwise(version)
+    name = F.when(text(ident["arxiv_id"]) == "", "published.pdf").otherwise(F.concat(refs.arxiv_file_base(ident["arxiv_id"], known), F.lit(".pdf")))
+    taken = F.struct(ident["arxiv_id"].alias("id"), version.cast("int").alias("version"))
+    after = F.when(arxiv.isNull() & (text(ident["arxiv_id"]) != ""), taken).otherwise(arxiv)
+    return F.when(F.coalesce(same_arxiv | same_doi | same_title, F.lit(False)), F.struct(name.alias("file"), after.alias("arxiv")))
+
+
+def add_pending(pending: Column, note: Column) -> Column:
+    """Notes that wait for somebody, one after another."""
+    return F.concat_ws("; ", F.nullif(pending, F.lit("")), F.nullif(note, F.lit("")))
+
+
+def append_log(log: Column, when: Column, action: Column, detail: Column) -> Column:
+    entry = F.struct(when.alias("when"), action.alias("action"), detail.alias("detail"))
+    return F.concat(F.coalesce(log, F.array().cast("array<struct<when:string,action:string,detail:string>>")), F.array(entry))
+
+
+def missing_keys(spark, keys: list[str], records: DataFrame) -> DataFrame:
+    """(key) of the asked keys, each once, that records lack."""
+    return spark.createDataFrame([(k,) for k in dict.fromkeys(keys)], "key string").join(records.select("key"), "key", "left_anti")
+
+
+def gate(new: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """new (id, doi, arxiv_id, more) parted: rows that no stored record knows, and the others with the key that does."""
+    known = find_duplicates(new.select("id", "doi", "arxiv_id"), stored)
+    return new.join(known, "id", "left_anti"), new.join(known, "id")
+
+
+def batch_summary(outcomes: DataFrame) -> DataFrame:
+    """One row for a batch (input, outcome, detail): how many there were, how many failed, and each failure's input and detail in order."""
+    failed = F.col("outcome") != "ok"
+    failures = F.sort_array(F.collect_list(F.when(failed, F.struct("input", "outcome", "detail"))))
+    return outcomes.agg(F.count("*").alias("total"), F.count_if(failed).alias("failed"), failures.alias("failures")).withColumn("line", F.when(F.col("failed") > 0, F.concat_ws(" ", F.col("failed").cast("string"), F.lit("of"), F.col("total").cast("string"), F.lit("left in place"))))
 
 
 def similar_titles(left: DataFrame, right: DataFrame, least: float = SIMILAR) -> DataFrame:

@@ -1,46 +1,85 @@
-"""Scored conjunctive search over records."""
+"""Scored conjunctive search over records, and what it prints."""
 
 from __future__ import annotations
 
-import unicodedata
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions import tex
+from vellum.functions.names import last_name
+from vellum.operators.drafts import hit_flags
 
+# What a match in a field is worth, and the length of a hit's line.
 WEIGHTS = {"key": 5.0, "doi": 5.0, "arxiv": 5.0, "author": 3.0, "title": 2.0, "year": 2.0, "venue": 1.0, "abstract": 1.0}
+LINE = 100
+AS_WRITTEN = ("doi", "arxiv")
+
 
+def record_fields(records: DataFrame) -> DataFrame:
+    """records (RECORD) with the columns of WEIGHTS that a search looks at; the venue is journal and booktitle.
 
-def fold_term(term: str) -> str:
-    """What tex.fold does, for a term without commands, once on the driver."""
-    plain = "".join(c for c in unicodedata.normalize("NFD", term.replace("{", "").replace("}", "").replace("~", " ")) if unicodedata.category(c) != "Mn").lower()
-    return reduce(lambda s, kv: s.replace(*kv), (("ß", "ss"), ("æ", "ae"), ("ø", "o"), ("ł", "l"), ("\u00a0", " ")), plain)
+    Columns of records that already have such a name, key and doi, stay as they
+    are; arxiv becomes its id.
+    """
+    field = lambda n: F.coalesce(F.try_element_at("bibtex.fields", F.lit(n)), F.lit(""))
+    made = {"arxiv": F.col("arxiv.id"), "author": field("author"), "title": field("title"), "year": field("year"), "venue": F.trim(F.concat_ws(" ", field("journal"), field("booktitle")))}
+    return records.withColumns(made)
 
 
 def _weight(term: str, f: Column) -> Column:
-    folded, low = fold_term(term), term.lower()
+    """The largest weight of the folded fields f that hold the term, null if none does."""
+    folded, low = tex.fold(F.lit(term)), term.lower()
     rules = []
     for name, w in WEIGHTS.items():
-        if name in ("doi", "arxiv"):
+        if name in AS_WRITTEN:
             hit = F.contains(f[name], F.lit(low)) if low else F.lit(False)
         else:
-            hit = (f[name] == folded if name == "year" else F.contains(f[name], F.lit(folded))) if folded else F.lit(False)
+            hit = (folded != "") & (f[name] == folded if name == "year" else F.contains(f[name], folded))
         rules.append(F.when(hit, F.lit(w)))
     return F.greatest(*rules)
 
 
+def _total(scores: Column) -> Column:
+    """The sum of the terms' scores, null if a term has none."""
+    return F.aggregate(scores, F.lit(0.0), lambda a, b: a + b)
+
+
 def search(records: DataFrame, terms: list[str]) -> DataFrame:
     """records that match every term in some field, with score, the best first.
 
-    records has the columns of WEIGHTS as strings.  The fields of a row are
-    folded once; a term takes its best field and the score is the sum.
+    records has the columns of WEIGHTS as strings.  A term is folded as fields
+    are, TeX included; it takes its best field and the score is the sum.  The
+    score is made inside one generator, so that a filter on it folds no field a
+    second time.
     """
-    wanted = [F.coalesce(F.col(n), F.lit("")) for n in WEIGHTS]
-    fields = F.struct(*((F.lower(c) if n in ("doi", "arxiv") else tex.fold(c)).alias(n) for n, c in zip(WEIGHTS, wanted, strict=True)))
-    folded = records.withColumn("_f", fields)
-    scores = F.array(*(_weight(t, F.col("_f")) for t in terms)) if terms else F.array(F.lit(0.0))
-    scored = folded.withColumn("_s", scores).where(F.forall("_s", lambda s: s.isNotNull()))
-    total = F.aggregate("_s", F.lit(0.0), lambda a, b: a + b)
-    return scored.withColumn("score", total).drop("_f", "_s").orderBy(F.desc("score"), "key")
+    wanted = {n: F.coalesce(F.col(n), F.lit("")) for n in WEIGHTS}
+    fields = F.struct(*((F.lower(c) if n in AS_WRITTEN else tex.fold(c)).alias(n) for n, c in wanted.items()))
+    score = lambda f: _total(F.array(*(_weight(t, f) for t in terms)) if terms else F.array(F.lit(0.0)))
+    found = F.filter(F.transform(F.array(fields), score), lambda s: s.isNotNull())
+    return records.select("*", F.explode(found).alias("score")).orderBy(F.desc("score"), "key")
+
+
+def who_year(who: Column, year: Column) -> Column:
+    """`Name (year)`, or what is known of it."""
+    who, year = F.coalesce(who, F.lit("")), F.coalesce(year, F.lit(""))
+    return F.concat_ws(" ", F.nullif(who, F.lit("")), F.when(year != "", F.concat(F.lit("("), year, F.lit(")"))))
+
+
+def hit_line(key: Column, who: Column, year: Column, title: Column, holdings: Column, flags: Column) -> Column:
+    """One line of LINE characters at most for a hit; only the title is cut, so many flags may make it longer."""
+    said = who_year(who, year)
+    head = F.concat(key, F.lit("  "), F.when(said != "", F.concat(said, F.lit("  "))).otherwise(""))
+    tail = F.concat(F.lit("  ["), holdings, F.lit("]"), F.array_join(F.transform(flags, lambda f: F.concat(F.lit(" ["), f, F.lit("]"))), ""))
+    room = F.lit(LINE) - F.length(head) - F.length(tail)
+    shown = F.when(room <= 0, "").when(F.length(title) > room, F.concat(F.substring(title, F.lit(1), room - 1), F.lit("…"))).otherwise(title)
+    return F.concat(head, shown, tail)
+
+
+def hit_report(hits: DataFrame) -> DataFrame:
+    """(key, score, line, json) of hits: records with record_fields() and score."""
+    title = tex.decode(F.col("title"))
+    flags = hit_flags(F.col("status"), F.col("versions"))
+    line = hit_line(F.col("key"), last_name(F.col("author")), F.col("year"), title, F.coalesce("holdings", F.lit("")), flags)
+    shown = F.struct("key", "score", tex.decode(F.col("author")).alias("authors"), title.alias("title"), "year", "venue", "doi", "arxiv", "status", "holdings", flags.alias("flags"))
+    return hits.select("key", "score", line.alias("line"), F.to_json(shown).alias("json"))
+
