@@ -1,9 +1,9 @@
 """SimHash near-duplicates with bit-sliced comparison.
 
 A fingerprint's bits are the majority of its shingles' hash bits.  Equal
-fingerprints collapse to one.  By the pigeonhole principle two of them within
-radius r agree on one of r + 1 blocks of bits, so each is dealt to the buckets
-of its blocks.  Inside a bucket the fingerprints stand vertically, one bit
+fingerprints collapse to one.  Bits are cut into r + 2 blocks; two fingerprints
+within radius r differ in r of them at most and agree on the other two, so each
+is dealt to the buckets of its pairs of blocks, whose keys have 24 bits or more.  Inside a bucket the fingerprints stand vertically, one bit
 plane a row, 64 of them to a machine word; a probe is compared with all of
 them at once by adding mismatch planes into carry-save counters, and words
 whose every lane is beyond the radius are left behind.
@@ -12,6 +12,7 @@ whose every lane is beyond the radius are left behind.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -20,11 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm.components import components, forest
+from vellum.llm.keyed import maybe
 from vellum.session import cut, ship_package
 
 RADIUS = 3
 SHINGLE = 5
 CHUNK = 2048
+LARGE_BUCKETS = 50_000
 SEED = 42
 _ZERO, _ALL = np.uint64(0), ~np.uint64(0)
 
@@ -156,19 +159,27 @@ def _compare(radius: int, held: int = 50_000):
     return compare
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
+def links(distinct: DataFrame, radius: int = RADIUS, chunk: int = CHUNK, spare: int = 2) -> DataFrame:
     """Edges (u, v) that connect exactly the fingerprints (fp) within radius of each other, directly or in steps.
 
+    Fingerprints share a bucket if they agree on `spare` of radius + spare blocks.
     Buckets over `chunk` fingerprints are cut into chunks, and each pair of
     chunks is a unit of work of its own, so no task holds a whole hot bucket.
+    The list of these buckets is broadcast; chunks grow where it would pass
+    LARGE_BUCKETS rows.
     """
-    blocks = radius + 1
-    width = 64 // blocks
-    block = lambda i: F.concat(F.lit(f"{i}:"), F.shiftrightunsigned("fp", i * width).bitwiseAND(F.lit((1 << (width if i < blocks - 1 else 64 - width * i)) - 1)).cast("string"))
-    dealt = distinct.select("fp", F.explode(F.array(*(F.xxhash64(block(i)) for i in range(blocks)))).alias("bucket"))
-    sizes = dealt.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").withColumn("chunks", F.ceil(F.col("n") / chunk).cast("int"))
+    blocks = radius + spare
+    edges = [64 * i // blocks for i in range(blocks + 1)]
+    masks = [sum(((1 << edges[i + 1]) - (1 << edges[i])) for i in chosen) for chosen in combinations(range(blocks), spare)]
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    keys = F.array(*(F.xxhash64(F.col("fp").bitwiseAND(F.lit(m)), F.lit(i)) for i, m in enumerate(signed)))
+    dealt = distinct.select("fp", F.explode(keys).alias("bucket"))
+    sizes = cut(dealt.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "fingerprint-buckets")
+    chunk = max(chunk, sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // LARGE_BUCKETS + 1)
+    large = sizes.where(F.col("n") > chunk).select("bucket", F.ceil(F.col("n") / chunk).cast("int").alias("chunks"))
     own = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("chunks")).cast("int")
-    work = dealt.join(sizes, "bucket").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    work = maybe(dealt, sizes, "bucket").where("may").join(F.broadcast(large), "bucket", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    work = work.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     pair = F.least("own", "other") * F.col("chunks").cast("long") + F.greatest("own", "other")
     work = work.select("bucket", pair.alias("pair"), (F.col("own") > F.col("other")).cast("int").alias("right"), "fp")
     return work.repartition("bucket", "pair").sortWithinPartitions("bucket", "pair").mapInArrow(_compare(radius), "u long, v long")
