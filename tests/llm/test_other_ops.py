@@ -50,6 +50,12 @@ def test_chat(spark):
         loss = "".join(t for r, t in turns if r == "assistant")
         assert got[c]["n_turns"] == len(turns) and got[c]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
         assert got[c]["loss_chars"] == len(loss) and got[c]["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
+    for c, r in got.items():
+        if c in (1, 2, 3):
+            spans = chat.format_chat(df).where(f"conv_id = {c}").collect()
+            assert r["formatted_chars"] == sum(len(w["text"]) for w in spans)
+    lost = spark.createDataFrame([(None, 1, "user", "a"), (None, 1, "user", "a"), (None, 2, "assistant", "b")], "conv_id long, turn long, role string, text string")
+    assert sorted((r["n_turns"], r["loss_chars"]) for r in chat.op10_query(lost).collect() if r["conv_id"] is None) == [(1, 0), (1, 0), (1, 1)]
     windows = chat.format_chat(df, budget=700).where("conv_id = 1").orderBy("window").collect()
     assert len(windows) > 1 and all(chat.read_turns(w["text"])[0] == ("system", "be kind") for w in windows)
     assert all(w["n_tokens"] <= 700 or w["n_turns"] == 1 for w in windows)

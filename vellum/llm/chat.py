@@ -108,7 +108,7 @@ def format_chat(conversations: DataFrame, budget: int = BUDGET, history: int = H
     """Windows of conversations (conv_id, turn, role, text): WINDOWS, loss as code-point spans of text.
 
     Turns go by turn number, equal ones by role and text.  A null text or role
-    is empty.  Rows with a null conv_id are one conversation of their own.  A
+    is empty.  Each row with a null conv_id is a conversation of its own.  A
     turn that alone exceeds the budget has a window to itself, with the system
     turn.  Repeated rows are turns of their own; other columns are ignored; an
     empty table gives no window.  A conversation is streamed in turn order, so
@@ -128,7 +128,7 @@ def format_chat(conversations: DataFrame, budget: int = BUDGET, history: int = H
             turns = [write_turn(r or "", t or "") for r, t in zip(roles, texts, strict=True)]
             tokens = [len(x) // 4 for x in enc.encode([t for t, _ in turns])]
             for conv, role, text, (turn, at), n in zip(ids, roles, texts, turns, tokens, strict=True):
-                if key != (conv,):
+                if key != (conv,) or conv is None:
                     if state:
                         out.append((key[0], *state.close()))
                     key, state = (conv,), Windows(budget, history)
@@ -144,7 +144,8 @@ def format_chat(conversations: DataFrame, budget: int = BUDGET, history: int = H
             yield batch_of(out)
 
     turns = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
-    return turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(rows, WINDOWS)
+    alone = F.when(F.col("conv_id").isNull(), F.xxhash64("turn", "role", "text"))
+    return turns.repartition("conv_id", alone).sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(rows, WINDOWS)
 
 
 def read_chat(windows: DataFrame) -> DataFrame:
@@ -160,7 +161,7 @@ def read_chat(windows: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for conv, _, context, text, loss in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if key != (conv,):
+                if key != (conv,) or conv is None:
                     out += [row(key, state)] if state else []
                     key, state = (conv,), [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
                 for role, said in read_turns(text)[context:]:
@@ -176,7 +177,7 @@ def read_chat(windows: DataFrame) -> DataFrame:
         if state:
             yield pa.RecordBatch.from_arrays([pa.array([c], t.type) for c, t in zip(row(key, state), _DIGESTS, strict=True)], schema=_DIGESTS)
 
-    parts = windows.select("conv_id", "window", "n_context", "text", "loss").repartition("conv_id").sortWithinPartitions("conv_id", "window")
+    parts = windows.select("conv_id", "window", "n_context", "text", "loss").repartition("conv_id", F.when(F.col("conv_id").isNull(), F.xxhash64("text"))).sortWithinPartitions("conv_id", "window")
     return parts.mapInArrow(rows, DIGESTS)
 
 
