@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from vellum.functions import refs
+from vellum.functions import refs, tex
 
 # The Symbol font's characters at 0x20-0x7e and 0xa0-0xef, 0xf1-0xfe, in its order.
 SYMBOL_LOW = " !∀#∃%&∋()∗+,−./0123456789:;<=>?≅ΑΒΧ∆ΕΦΓΗΙϑΚΛΜΝΟΠΘΡΣΤΥςΩΞΨΖ[∴]⊥_‾αβχδεφγηιϕκλµνοπθρστυϖωξψζ{|}∼"
@@ -65,13 +65,17 @@ def prism(versions: dict[str, Column], pdfx_doi: Column) -> Column:
     """
     given = lambda v: F.exists(F.array(*(F.coalesce(v[n], F.lit("")) for n in PRISM_TEXTS)), lambda x: x != "")
     chosen = F.coalesce(*(F.when(given(versions[v]), versions[v]) for v in PRISM_VERSIONS if v in versions))
-    info = F.struct(
-        _first(normal_doi(chosen["doi"]), normal_doi(pdfx_doi)).alias("doi"), _text(chosen, "publicationName").alias("publication"), _first(_text(chosen, "issn"), _text(chosen, "eIssn")).alias("issn"),
-        _text(chosen, "volume").alias("volume"), _first(_text(chosen, "number"), _text(chosen, "issueIdentifier")).alias("number"), prism_pages(chosen).alias("pages"),
-        _text(chosen, "coverDate").alias("cover_date"), _text(chosen, "aggregationType").alias("aggregation"),
+    texts = ("doi", "publication", "issn", "volume", "number", "pages", "cover_date", "aggregation")
+    said = lambda info: F.exists(F.array(*(info[n] for n in texts)), lambda x: x != "")
+    return tex.once(tex.once(chosen, lambda v: _publisher(v, pdfx_doi)), lambda info: F.when(said(info), info))
+
+
+def _publisher(v: Column, pdfx_doi: Column) -> Column:
+    return F.struct(
+        _first(normal_doi(v["doi"]), normal_doi(pdfx_doi)).alias("doi"), _text(v, "publicationName").alias("publication"), _first(_text(v, "issn"), _text(v, "eIssn")).alias("issn"),
+        _text(v, "volume").alias("volume"), _first(_text(v, "number"), _text(v, "issueIdentifier")).alias("number"), prism_pages(v).alias("pages"),
+        _text(v, "coverDate").alias("cover_date"), _text(v, "aggregationType").alias("aggregation"),
     )
-    said = F.exists(F.array(*(info[n] for n in ("doi", "publication", "issn", "volume", "number", "pages", "cover_date", "aggregation"))), lambda x: x != "")
-    return F.when(said, info)
 
 
 def stated_doi(info: Column, identifier: Column) -> Column:

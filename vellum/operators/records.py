@@ -161,11 +161,16 @@ def gate(new: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
     return new.join(known, "id", "left_anti"), new.join(known, "id")
 
 
-def batch_summary(outcomes: DataFrame) -> DataFrame:
-    """One row for a batch (input, outcome, detail): how many there were, how many failed, and each failure's input and detail in order."""
+def batch_summaries(outcomes: DataFrame, *by: str) -> DataFrame:
+    """One row for each batch (columns by) of outcomes (input, outcome, detail): how many there were, how many failed, each failure's input and detail in order, and a line where any failed."""
     failed = F.col("outcome") != "ok"
     failures = F.sort_array(F.collect_list(F.when(failed, F.struct("input", "outcome", "detail"))))
-    return outcomes.agg(F.count("*").alias("total"), F.count_if(failed).alias("failed"), failures.alias("failures")).withColumn("line", F.when(F.col("failed") > 0, F.concat_ws(" ", F.col("failed").cast("string"), F.lit("of"), F.col("total").cast("string"), F.lit("left in place"))))
+    told = F.concat_ws(" ", F.col("failed").cast("string"), F.lit("of"), F.col("total").cast("string"), F.lit("left in place"))
+    return outcomes.groupBy(*by).agg(F.count("*").alias("total"), F.count_if(failed).alias("failed"), failures.alias("failures")).withColumn("line", F.when(F.col("failed") > 0, told))
+
+
+def batch_summary(outcomes: DataFrame) -> DataFrame:
+    return batch_summaries(outcomes)
 
 
 def similar_titles(left: DataFrame, right: DataFrame, least: float = SIMILAR) -> DataFrame:

@@ -3,28 +3,17 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.functions import names, refs, tex
 from vellum.operators import check, records, search
+from vellum.plans.registry import QUERIES, SQL, registered
 from vellum.session import ship_package, table
+from vellum.streaming import events as event_jobs
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def registered(sql: str | None = None):
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+__all__ = ["QUERIES", "SQL"]
 
 
 def _sql_fold(c: str) -> str:
@@ -149,50 +138,6 @@ def holdings_recompute(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.select("p_brand", "p_size", records.holdings(F.col("names")).alias("holdings"))
 
 
-_SQL_RECORDS = (
-    "(select 'doc' || doc_id as key, string_split(text, chr(10))[1] as title, case when doc_id % 7 = 0 then 'draft' when doc_id % 11 = 0 then 'odd' else 'clean' end as status, "
-    "case when doc_id % 5 = 0 then 'essay' else 'article' end as kind, case when doc_id % 3 = 0 then '10.12/' || doc_id else '10.1234/' || doc_id end as doi, case when doc_id % 4 = 0 then '' else source end as journal, "
-    "case when doc_id % 2 = 0 then '1-' || n_chars else '1--' || n_chars end as pages from documents)"
-)
-_SQL_PROBLEMS = (
-    f"select key, 'R1' as rule, 'error' as severity, 'unknown entry type ' || kind as msg from {_SQL_RECORDS} where kind = 'essay' "
-    f"union all select key, 'R2', 'error', 'missing ' || g from {_SQL_RECORDS} r, (values ('title'), ('journal')) v(g) where kind = 'article' and ((g = 'title' and title = '') or (g = 'journal' and journal = '')) "
-    f"union all select key, 'R5a', 'warning', 'raw ' || unnest(list_distinct(list_filter(regexp_extract_all(title, '(\\\\[\\s\\S]|\\$[^$]*\\$|[\\s\\S])'), lambda t: t in ('&', '%')))) || ' in title' from {_SQL_RECORDS} "
-    f"union all select key, 'R6', 'error', 'bad DOI ' || doi from {_SQL_RECORDS} where not regexp_matches(doi, '^10\\.\\d{{4,9}}/\\S+$') "
-    f"union all select key, 'R8', 'error', 'bad status ' || status from {_SQL_RECORDS} where status = 'odd' "
-    f"union all select key, 'R9', 'warning', 'page range with a single hyphen' from {_SQL_RECORDS} where regexp_matches(pages, '[0-9]-[0-9]') "
-    f"union all select key, 'R10', 'warning', 'capital outside braces: ' || w from (select key, unnest(string_split(regexp_replace(title, '\\{{[^{{}}]*\\}}|\\$[^$]*\\$', '', 'g'), ' ')[2:]) as w from {_SQL_RECORDS}) where regexp_matches(w, '\\p{{Lu}}') "
-    f"union all select key, 'R12', 'warning', 'draft' from {_SQL_RECORDS} where status = 'draft'"
-)
-
-
-def _paper_records(docs: DataFrame) -> DataFrame:
-    e = lambda s: F.expr(s)
-    fields = F.create_map(F.lit("author"), F.concat(F.lit("Smith, "), F.upper("lang")), F.lit("title"), F.substring_index("text", "\n", 1), F.lit("journal"), e("case when doc_id % 4 = 0 then '' else source end"), F.lit("year"), F.lit("2001"), F.lit("pages"), e("case when doc_id % 2 = 0 then '1-' || n_chars else '1--' || n_chars end"))
-    return docs.select(F.concat(F.lit("doc"), "doc_id").alias("key"), e("case when doc_id % 7 = 0 then 'draft' when doc_id % 11 = 0 then 'odd' else 'clean' end").alias("status"), F.lit("").alias("pending"), F.struct(e("case when doc_id % 5 = 0 then 'essay' else 'article' end").alias("type"), fields.alias("fields")).alias("bibtex"), e("case when doc_id % 3 = 0 then '10.12/' || doc_id else '10.1234/' || doc_id end").alias("doi"), F.lit(None).cast("struct<id:string,version:int>").alias("arxiv"), F.lit("none").alias("holdings"))
-
-
-def _problems(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    ship_package(spark)
-    papers = _paper_records(table(spark, sf_dir, "documents"))
-    return papers, check.problems(papers)
-
-
-@registered(_SQL_PROBLEMS)
-def check_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _problems(spark, sf_dir)[1].select("key", "rule", "severity", "msg")
-
-
-@registered(f"select key, count(*) filter (severity = 'error') as errors, count(*) as problems from ({_SQL_PROBLEMS}) group by key")
-def check_error_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return check.error_counts(_problems(spark, sf_dir)[1])
-
-
-@registered(f"select key from {_SQL_RECORDS} where status = 'draft' and key not in (select key from ({_SQL_PROBLEMS}) where severity = 'error')")
-def promote_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return check.promotable(*_problems(spark, sf_dir))
-
-
 def _files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     versions = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.explode(F.expr("sequence(1, 3)")).alias("i")).select("key", F.concat(F.lit("line"), "i").alias("name"))
     return versions, table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("key"), F.concat(F.lit("line"), "l_linenumber").alias("name")).distinct()
@@ -239,7 +184,7 @@ def bib_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registered(
-    "select page_id, case page_id % 4 when 0 then '10.1111/t.' || page_id when 1 then '10.2222/v.' || page_id when 2 then '10.3333/p.' || page_id end as doi, case page_id % 4 when 3 then 'math/' || lpad(cast(page_id % 10000000 as varchar), 7, '0') || 'v1' end as arxiv_id, case page_id % 4 when 2 then 2 when 3 then 2 else 1 end as tier from pages"
+    "select page_id, case page_id % 4 when 0 then '10.1111/t.' || page_id when 1 then '10.2222/v.' || page_id when 2 then '10.3333/p.' || page_id end as doi, case page_id % 4 when 3 then 'math/' || lpad(cast(page_id % 10000000 as varchar), 7, '0') end as arxiv_id, case page_id % 4 when 2 then 2 when 3 then 2 else 1 end as tier, case page_id % 4 when 3 then 1 end as version from pages"
 )
 def identify_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = lambda s: F.expr(s)
@@ -248,10 +193,15 @@ def identify_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", records.identify(typed, F.array(value), F.array(text)).alias("i")).select("page_id", "i.*")
 
 
-@registered("select event_type as command, case when cast(json_extract_string(props, '$.k') as int) < 50 then 'ok' else 'error' end as outcome, count(*) as events, count(distinct user_id) as users from events group by all")
+@registered(
+    """select date_trunc('hour', ts) as hour, event_type as command, case when cast(json_extract_string(props, '$.k') as int) < 50 then 'ok' else 'error' end as outcome, count(*) as events,
+    avg(cast(json_extract_string(props, '$.k') as int)) as mean_ms from events group by all"""
+)
 def event_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The windowed outcomes of the event log, as the streaming job makes them, over a table."""
     k = F.get_json_object("props", "$.k").cast("int")
-    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("command"), F.when(k < 50, "ok").otherwise("error").alias("outcome")).agg(F.count("*").alias("events"), F.countDistinct("user_id").alias("users"))
+    log = table(spark, sf_dir, "events").select(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("when"), F.col("event_type").alias("command"), F.when(k < 50, "ok").otherwise("error").alias("outcome"), k.alias("duration_ms"))
+    return event_jobs.outcomes(log).select(F.col("window.start").alias("hour"), "command", "outcome", "events", "mean_ms")
 
 
 @registered("select doc_id, case when length(text) > 100 then substr(text, 1, 99) || '…' else text end as line from documents")
@@ -281,6 +231,4 @@ def parse_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select("c_custkey", F.size("n").alias("n_names"), names.full_name(F.col("n")[0]).alias("first_full"), names.full_name(F.col("n")[1]).alias("second_full"))
 
 
-@registered()
-def brace_title(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", tex.brace_title(F.substring_index("text", "\n", 1)).alias("title"))
+from vellum.plans import papers  # noqa: E402, F401  (registers its queries)
