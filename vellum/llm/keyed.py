@@ -19,6 +19,11 @@ def wrapped(docs: DataFrame, *replaced: str) -> DataFrame:
     return docs.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"), F.col("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def unwrapped(rows: DataFrame, columns: list[str], **made: Column) -> DataFrame:
+    """The columns of docs again, from rows of wrapped(docs, ...); those of `made` have new values."""
+    return rows.select(*((made[c.lower()] if c.lower() in made else F.col("row")[c]).alias(c) for c in columns))
+
+
 def doc_key(column: str = "doc_id") -> Column:
     """doc_id as a join key and an order; a null one stands after all others."""
     return F.coalesce(F.col(column).cast("long"), F.lit(NO_ID))
