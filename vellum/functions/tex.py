@@ -92,10 +92,11 @@ def _jamo(c: Column) -> Column:
 
 def _decomposed(text: Column) -> Column:
     one, base, several = _bases()
-    plain = F.translate(text, one, base)
     letter = lambda c: F.when(c.between("\uac00", "\ud7a3"), _jamo(c)).otherwise(F.coalesce(F.try_element_at(_map(several), c), c))
-    rare = "[" + "".join(several) + "\uac00-\ud7a3]"
-    return F.when(plain.rlike(rare), F.array_join(F.transform(F.split(plain, ""), letter), "")).otherwise(plain)
+    rare = r"[\x{0900}-\x{0dff}\x{1b00}-\x{1bff}\x{ac00}-\x{d7a3}\x{11000}-\x{11fff}\x{1d100}-\x{1d1ff}]"  # all of them are in here
+    whole = lambda plain: F.array_join(F.transform(F.split(plain, ""), letter), "")
+    plain = F.when(text.rlike(r"[\x{0900}-\x{10ffff}]") & text.rlike(rare), whole(text)).otherwise(text)
+    return F.translate(plain, one, base)
 
 
 def _lowered(decoded: Column) -> Column:

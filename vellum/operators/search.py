@@ -26,15 +26,15 @@ def record_fields(records: DataFrame) -> DataFrame:
     return records.withColumns(made)
 
 
-def _weight(term: str, f: Column) -> Column:
+def _weight(term: str, folded: str, f: Column) -> Column:
     """The largest weight of the folded fields f that hold the term, null if none does."""
-    folded, low = tex.fold(F.lit(term)), term.lower()
+    low = term.lower()
     rules = []
     for name, w in WEIGHTS.items():
         if name in AS_WRITTEN:
             hit = F.contains(f[name], F.lit(low)) if low else F.lit(False)
         else:
-            hit = (folded != "") & (f[name] == folded if name == "year" else F.contains(f[name], folded))
+            hit = (f[name] == folded if name == "year" else F.contains(f[name], F.lit(folded))) if folded else F.lit(False)
         rules.append(F.when(hit, F.lit(w)))
     return F.greatest(*rules)
 
@@ -52,9 +52,10 @@ def search(records: DataFrame, terms: list[str]) -> DataFrame:
     score is made inside one generator, so that a filter on it folds no field a
     second time.
     """
+    folded = records.sparkSession.range(1).select(*(tex.fold(F.lit(t)) for t in terms)).first() if terms else []
     wanted = {n: F.coalesce(F.col(n), F.lit("")) for n in WEIGHTS}
     fields = F.struct(*((F.lower(c) if n in AS_WRITTEN else tex.fold(c)).alias(n) for n, c in wanted.items()))
-    score = lambda f: _total(F.array(*(_weight(t, f) for t in terms)) if terms else F.array(F.lit(0.0)))
+    score = lambda f: _total(F.array(*(_weight(t, w, f) for t, w in zip(terms, folded, strict=True))) if terms else F.array(F.lit(0.0)))
     found = F.filter(F.transform(F.array(fields), score), lambda s: s.isNotNull())
     return records.select("*", F.explode(found).alias("score")).orderBy(F.desc("score"), "key")
 
