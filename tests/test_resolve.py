@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from vellum.operators import drafts, records, resolve
+from vellum.operators import drafts, records, reports, resolve
 from vellum.sources import services
 
 
@@ -43,7 +43,7 @@ def test_fetch(spark, answers):
     assert [tuple(d) for d in got[5]["downloads"]] == [("https://arxiv.org/pdf/2001.00001v3", "arxiv-2001.00001v3.pdf"), ("https://arxiv.org/e-print/2001.00001v3", "arxiv-2001.00001v3/")]
     assert got[6]["fields"]["author"] == "Roe, Jane van and Plato" and got[6]["fields"]["title"] == "A Preprint on {NATO}" and got[6]["type"] == "misc" and got[6]["pending"] == drafts.PENDING
     assert got[7]["downloads"][0]["name"] == "arxiv-math-0101001.pdf" and "404" in got[7]["pending"] and got[7]["pending"].startswith(drafts.PENDING + "; ")
-    assert [tuple(d) for d in got[0]["downloads"]] == [("http://x/a.pdf", "published.pdf")] and got[3]["detail"].startswith("unpaywall: is_oa=false")
+    assert [tuple(d) for d in got[0]["downloads"]] == [("http://x/a.pdf", "published.pdf")] and got[3]["detail"].split("\n")[0] == "authors: Jane Doe" and got[3]["detail"].endswith("unpaywall: is_oa=false, no open-access location on record")
     assert got[12]["candidates"] == ["10.1000/a (9.0)", "10.1000/d (8.0)"] and got[14]["candidates"] is None
     rows = {(r["input"], r["outcome"], r["source"]) for r in resolve.events(out, "2024-01-01T00:00:00", "fetch").collect()}
     assert {("doi", "ok", "crossref"), ("arxiv", "ok", "arxiv"), ("text", "ambiguous", "crossref")} <= rows
@@ -57,3 +57,19 @@ def test_ingest(spark, answers):
     assert [(got[i]["outcome"], got[i]["tier"], got[i]["title"]) for i in range(6)] == [("ok", 1, None), ("ok", 2, None), ("ok", 3, "clear words"), ("unidentified", 0, "no such title"), ("unidentified", 0, None), ("ok", 1, None)]
     told = records.batch_summary(out.select(F.col("id").cast("string").alias("input"), "outcome", "detail")).first()
     assert (told["total"], told["failed"], told["line"]) == (6, 2, "2 of 6 left in place") and [f["input"] for f in told["failures"]] == ["3", "4"]
+
+
+def test_attach_and_reports(spark, answers):
+    ddl = "key string, path string, ident struct<doi:string,arxiv_id:string,tier:int,version:int>, file_title string"
+    files = spark.createDataFrame([("a", "1.pdf", ("10.1/A", None, 1, None), ""), ("b", "2.pdf", (None, "2001.1", 1, 2), "Other"), ("c", "3.pdf", None, ""), ("c", "4.pdf", None, "")], ddl)
+    facts = reports.file_facts(F.col("ident"), F.lit(""), F.lit(None).cast("string"), F.col("file_title"), F.col("file_title") != "")
+    rows = spark.createDataFrame([("a", "10.1/a", None, "T", "A"), ("b", "", ("2001.9", 1), "T", "A"), ("c", "", None, "T", "A")], "key string, doi string, arxiv struct<id:string,version:int>, title string, author string")
+    got = {r["path"]: r for r in resolve.attach_into(rows, files.withColumn("facts", facts)).collect()}
+    assert (got["1.pdf"]["outcome"], got["1.pdf"]["file"], got["1.pdf"]["detail"]) == ("ok", "published.pdf", None)
+    assert got["2.pdf"]["outcome"] == "mismatch" and got["2.pdf"]["detail"] == "What the file says:\narxiv: 2001.1v2\ntitle_guess: Other\nWhat the record says:\ndoi: (none recorded)\narxiv: 2001.9v1\ntitle: T\nauthor: A"
+    assert got["3.pdf"]["outcome"] == "error" and got["4.pdf"]["detail"].endswith("3.pdf, 4.pdf")
+    w = answers["works"].where("doi = '10.1000/a'").select(reports.work_candidate(F.col("work")).alias("c"))
+    r = w.select(reports.candidate_line(F.col("c")), reports.example_doi(F.array("c")), reports.example_doi(F.array().cast("array<struct<doi:string>>"))).first()
+    assert tuple(r) == ("crossref; Jane Doe; 2001; On Größe; doi 10.1000/a", "10.1000/a", "10.1000/182")
+    e = answers["entries"].where("arxiv_id = '2001.00001'").select(reports.entry_facts(F.col("entry")), reports.entry_label(F.col("entry"))).first()
+    assert e[0].split("\n")[3:] == ["arxiv: https://arxiv.org/abs/2001.00001v3", "primary_class: math.PR", "doi: https://doi.org/10.1000/p"] and e[1] == "2001.00001"

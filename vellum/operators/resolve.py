@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from vellum.functions import refs
 from vellum.operators.drafts import PENDING, merge_published, preprint_drafts, published_drafts
-from vellum.operators.records import auto_accept, find_duplicates, free_keys, identify_by_title
+from vellum.operators.records import auto_accept, find_duplicates, free_keys, identify_by_title, verify_into
+from vellum.operators.reports import entry_label, mismatch, record_facts, work_facts, work_label
 from vellum.schema import EVENT_FIELDS
 from vellum.sources import services
 
@@ -55,7 +56,7 @@ def resolve_dois(requests: DataFrame, stored: DataFrame, works: DataFrame, oa: D
     lost = answered.where("coalesce(status, 0) <> 200 or work is null")
     failed = _outcome(lost, "error", doi=F.col("doi"), detail=F.concat(F.lit("lookup of "), "doi", F.lit(" failed: "), F.coalesce(F.col("status").cast("string"), F.lit("no answer"))))
     drafts = published_drafts(answered.where("status = 200 and work is not null").select("id", F.col("doi").alias("asked"), "work"))
-    unusable = _outcome(drafts.where("error is not null"), "error", doi=F.col("asked"), detail=F.concat(F.lit("work "), "asked", F.lit(": "), "error"))
+    unusable = _outcome(drafts.where("error is not null"), "error", doi=F.col("asked"), detail=F.concat(F.lit("work "), work_label(F.col("work")), F.lit(": "), "error"))
     routed = drafts.where("error is null").join(oa.select(F.col("doi").alias("asked"), F.col("status").alias("said"), "answer"), "asked", "left")
     route = services.unpaywall_route(F.col("said"), F.col("answer"))
     routed = routed.withColumn("route", route)
@@ -63,7 +64,8 @@ def resolve_dois(requests: DataFrame, stored: DataFrame, works: DataFrame, oa: D
     downloads = F.when(found, F.array(F.struct(F.col("route.url").alias("url"), F.lit("published.pdf").alias("name"))))
     made = _outcome(
         routed, F.when(found, "ok").otherwise("no-oa-route"), base=F.col("base"), type=F.col("type"), fields=F.col("fields"), doi=F.coalesce("doi", "asked"),
-        pending=F.lit(PENDING), downloads=downloads, detail=F.concat(F.lit("unpaywall: "), "route.verdict"),
+        pending=F.lit(PENDING), downloads=downloads,
+        detail=F.when(found, F.concat(F.lit("unpaywall: "), "route.verdict")).otherwise(work_facts(F.col("work"), F.col("route.verdict"))),
     )
     return _outcome(known, "duplicate", known=F.col("known"), doi=F.col("doi")).unionByName(failed).unionByName(unusable).unionByName(made)
 
@@ -78,7 +80,7 @@ def resolve_preprints(requests: DataFrame, stored: DataFrame, entries: DataFrame
     lost = answered.where("coalesce(status, 0) <> 200 or entry is null")
     failed = _outcome(lost, "error", detail=F.concat(F.lit("arXiv "), "arxiv_id", F.lit(" not found")))
     drafts = preprint_drafts(answered.where("status = 200 and entry is not null").select("id", "arxiv_id", "asked", "entry"))
-    unusable = _outcome(drafts.where("error is not null"), "error", detail=F.concat(F.lit("arXiv entry "), "arxiv_id", F.lit(": "), "error"))
+    unusable = _outcome(drafts.where("error is not null"), "error", detail=F.concat(F.lit("arXiv entry "), entry_label(F.col("entry")), F.lit(": "), "error"))
     free, published = _parted(drafts.where("error is null"), stored, "doi", None)
     merged = merge_published(free.withColumn("pending", F.lit(PENDING)).select("id", "asked", "base", "type", "fields", "arxiv", "abstract", "doi", "pending"), works)
     version = F.when(F.col("arxiv.version") > 0, F.col("arxiv.version")).otherwise(F.coalesce("asked", F.lit(0)))
@@ -128,6 +130,22 @@ def ingest(files: DataFrame, stored: DataFrame, works: DataFrame, entries: DataF
     return found.unionByName(resolve_preprints(papers, stored, entries, works)).unionByName(none).join(known.select("id", "tier", "title"), "id")
 
 
+def attach_into(records: DataFrame, files: DataFrame) -> DataFrame:
+    """(key, path, outcome, file, arxiv, detail) of files meant for a record each: attached under a name, or a mismatch with both sides.
+
+    records: key, doi, arxiv, title, author.  files: key, path, ident, file_title
+    and facts.  A key with another number of files than one attaches none.
+    """
+    many = files.groupBy("key").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("path")).alias("paths"))
+    met = files.join(many, "key").join(records, "key")
+    fits = verify_into(F.col("doi"), F.col("arxiv"), F.col("title"), F.col("ident"), F.col("file_title"))
+    judged = met.withColumn("v", F.when(F.col("n") == 1, fits))
+    outcome = F.when(F.col("n") > 1, "error").when(F.col("v").isNull(), "mismatch").otherwise("ok")
+    several = F.concat(F.lit("exactly one file is needed, but these are left: "), F.array_join("paths", ", "))
+    detail = F.when(F.col("n") > 1, several).otherwise(mismatch(F.col("v"), F.col("facts"), record_facts(F.col("doi"), F.col("arxiv"), F.col("title"), F.col("author"))))
+    return judged.select("key", "path", outcome.alias("outcome"), F.col("v.file").alias("file"), F.col("v.arxiv").alias("arxiv"), detail.alias("detail"))
+
+
 def with_keys(outcomes: DataFrame, stored: DataFrame, order: str = "id") -> DataFrame:
     """outcomes with key: a free one for each draft, given out in the order of a column; a preview of what a real run would write."""
     keys = free_keys(outcomes.where("base is not null").select("base", F.col(order).alias("ord"), "id"), stored.select("key")).select("id", "key")

@@ -57,7 +57,8 @@ def search(records: DataFrame, terms: list[str]) -> DataFrame:
     fields = F.struct(*((F.lower(c) if n in AS_WRITTEN else tex.fold(c)).alias(n) for n, c in wanted.items()))
     score = lambda f: _total(F.array(*(_weight(t, w, f) for t, w in zip(terms, folded, strict=True))) if terms else F.array(F.lit(0.0)))
     found = F.filter(F.transform(F.array(fields), score), lambda s: s.isNotNull())
-    return records.select("*", F.explode(found).alias("score")).orderBy(F.desc("score"), "key")
+    hits = records.select("*", F.explode(found).alias("score"))
+    return hits.repartition("key").orderBy(F.desc("score"), "key")  # the sort samples its input first: it reads the hits twice, not the folding
 
 
 def who_year(who: Column, year: Column) -> Column:
