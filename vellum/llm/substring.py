@@ -28,6 +28,7 @@ GROUP = 3
 STEP_BYTES = 2_000_000
 STEP_WORDS = 500_000
 BUCKET_BYTES = 12_000_000
+BUCKET_LIMIT = 24_000_000
 _SENT = pa.schema([("bucket", pa.int64()), ("meta", pa.binary()), ("packed", pa.binary())])
 _META = np.dtype([("k", "<i8"), ("t", "<i8"), ("start", "<i8"), ("n", "<i4")])
 _FOUND = pa.schema([("k", pa.int64()), ("t", pa.int64()), ("start", pa.int64()), ("n", pa.int64())])
@@ -106,8 +107,8 @@ def _send(size: int, group: int, buckets: int):
     return send
 
 
-def repeated_windows(metas: list[np.ndarray], texts: list[bytes], size: int) -> list[tuple[int, int, int, int]]:
-    """(k, t, start, windows) of all windows in a bucket whose words also occur earlier in it."""
+def later_windows(metas: list[np.ndarray], texts: list[bytes], size: int) -> tuple[np.ndarray, ...]:
+    """All windows of some super-k-mers in their order: k, t, start, the super-k-mer's number, and whether its words also occur earlier among them."""
     hashes, k, t, start, begin, end = [], [], [], [], [], []
     base = 0
     for meta, text in zip(metas, texts, strict=True):
@@ -127,36 +128,71 @@ def repeated_windows(metas: list[np.ndarray], texts: list[bytes], size: int) ->
         end.append(we + base)
         base += len(raw) + 1
     h, k, t, start, begin, end = map(np.concatenate, (hashes, k, t, start, begin, end))
+    owner = np.repeat(np.arange(sum(map(len, metas))), np.concatenate([m["n"] for m in metas]))
     order = np.lexsort((start, t, k, h))
-    h = h[order]
-    same = np.concatenate([[False], h[1:] == h[:-1]])
-    if not same.any():
-        return []
-    data = b"\n".join(texts)
+    at, n = runs(h[order])
     later = np.zeros(len(order), bool)
-    at, n = runs(h)
-    many = n > 1
-    for a, m in zip(at[many].tolist(), n[many].tolist(), strict=True):
-        members = order[a : a + m].tolist()
-        seen: dict[bytes, tuple] = {}
-        for i in members:
-            w, me = data[begin[i] : end[i]], (k[i], t[i], start[i])
-            if seen.setdefault(w, me) != me:
-                later[i] = True
-    got = np.flatnonzero(later)
-    got = got[np.lexsort((start[got], t[got], k[got]))]
-    k, t, start = k[got], t[got], start[got]
+    if (n > 1).any():
+        data = b"\n".join(texts)
+        for a, m in zip(at[n > 1].tolist(), n[n > 1].tolist(), strict=True):
+            seen: dict[bytes, tuple] = {}
+            for i in order[a : a + m].tolist():
+                me = (k[i], t[i], start[i])
+                if seen.setdefault(data[begin[i] : end[i]], me) != me:
+                    later[i] = True
+    return k, t, start, owner, later
+
+
+def spans_of(k: np.ndarray, t: np.ndarray, start: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """(k, t, start, windows) of windows, neighbours as one."""
+    if not len(k):
+        return []
+    order = np.lexsort((start, t, k))
+    k, t, start = k[order], t[order], start[order]
     at, n = runs(k, t, start - np.arange(len(start)))
     return list(zip(k[at].tolist(), t[at].tolist(), start[at].tolist(), n.tolist(), strict=True))
 
 
-def _count(size: int):
+class Bucket:
+    """The super-k-mers of a bucket.  When many are held, repeats are told and super-k-mers without a first window go, so that a hot bucket stays small."""
+
+    def __init__(self, size: int, limit: int):
+        self.size, self.limit, self.most = size, limit, limit
+        self.metas: list[np.ndarray] = []
+        self.texts: list[bytes] = []
+        self.held = 0
+
+    def add(self, meta: np.ndarray, text: bytes) -> list[tuple[int, int, int, int]]:
+        self.metas.append(meta)
+        self.texts.append(text)
+        self.held += len(text)
+        return self.thin() if self.held > self.most else []
+
+    def thin(self) -> list[tuple[int, int, int, int]]:
+        k, t, start, owner, later = later_windows(self.metas, self.texts, self.size)
+        meta, text = np.concatenate(self.metas), b"\n".join(self.texts).split(b"\n")
+        keep = np.unique(owner[~later])
+        self.metas, self.texts = [meta[keep]], [b"\n".join([text[i] for i in keep.tolist()])]
+        self.held = len(self.texts[0])
+        self.most = max(self.limit, 2 * self.held)
+        return spans_of(k[later], t[later], start[later])
+
+    def close(self) -> list[tuple[int, int, int, int]]:
+        out = []
+        if self.metas:
+            k, t, start, _, later = later_windows(self.metas, self.texts, self.size)
+            out = spans_of(k[later], t[later], start[later])
+        self.metas, self.texts, self.held, self.most = [], [], 0, self.limit
+        return out
+
+
+def _count(size: int, limit: int = BUCKET_LIMIT):
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=_FOUND)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_ = zstandard.ZstdDecompressor()
-        now, metas, texts = None, [], []
+        now, here = None, Bucket(size, limit)
         for batch in batches:
             out = []
             for bucket, meta, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -164,15 +200,13 @@ def _count(size: int):
                 if packed is None:
                     out += meta.tolist()
                     continue
-                if bucket != now and metas:
-                    out += repeated_windows(metas, texts, size)
-                    metas, texts = [], []
-                now = bucket
-                metas.append(meta)
-                texts.append(open_.decompress(packed))
+                if bucket != now:
+                    out += here.close()
+                    now = bucket
+                out += here.add(meta, open_.decompress(packed))
             if out:
                 yield batch_of(out)
-        if metas and (out := repeated_windows(metas, texts, size)):
+        if out := here.close():
             yield batch_of(out)
 
     return count
