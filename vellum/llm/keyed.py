@@ -10,7 +10,7 @@ from vellum.session import cut
 SLOTS = 1 << 18
 NO_ID = (1 << 63) - 1
 HOT_KEYS = 2000
-LEAST_HOT = 2000
+LEAST_HOT = 100
 
 
 def wrapped(docs: DataFrame, *replaced: str) -> DataFrame:
