@@ -40,10 +40,11 @@ def arxiv_downloads(id_: Column, version: Column) -> Column:
     return F.array(one("pdf", F.concat(base, F.lit(".pdf"))), one("e-print", F.concat(base, F.lit("/"))))
 
 
-def _parted(rows: DataFrame, stored: DataFrame, doi: str | None, arxiv: str | None) -> tuple[DataFrame, DataFrame]:
+def _known(rows: DataFrame, stored: DataFrame, name: str, doi: Column | None = None, arxiv: Column | None = None) -> DataFrame:
+    """(id, name): the stored key of rows whose DOI or arXiv id is stored."""
     none = F.lit(None).cast("string")
-    known = find_duplicates(rows.select("id", (F.col(doi) if doi else none).alias("doi"), (F.col(arxiv) if arxiv else none).alias("arxiv_id")), stored).withColumnRenamed("key", "known")
-    return rows.join(known.select("id"), "id", "left_anti"), rows.join(known, "id")
+    asked = rows.select("id", (none if doi is None else doi).alias("doi"), (none if arxiv is None else arxiv).alias("arxiv_id"))
+    return find_duplicates(asked, stored).withColumnRenamed("key", name)
 
 
 def resolve_dois(requests: DataFrame, stored: DataFrame, works: DataFrame, oa: DataFrame) -> DataFrame:
@@ -51,23 +52,21 @@ def resolve_dois(requests: DataFrame, stored: DataFrame, works: DataFrame, oa: D
 
     stored: key, doi, arxiv_id.  works: doi, status, work.  oa: doi, status, answer.
     """
-    new, known = _parted(requests.select("id", "doi"), stored, "doi", None)
-    answered = new.join(works, "doi", "left")
-    lost = answered.where("coalesce(status, 0) <> 200 or work is null")
-    failed = _outcome(lost, "error", doi=F.col("doi"), detail=F.concat(F.lit("lookup of "), "doi", F.lit(" failed: "), F.coalesce(F.col("status").cast("string"), F.lit("no answer"))))
-    drafts = published_drafts(answered.where("status = 200 and work is not null").select("id", F.col("doi").alias("asked"), "work"))
-    unusable = _outcome(drafts.where("error is not null"), "error", doi=F.col("asked"), detail=F.concat(F.lit("work "), work_label(F.col("work")), F.lit(": "), "error"))
-    routed = drafts.where("error is null").join(oa.select(F.col("doi").alias("asked"), F.col("status").alias("said"), "answer"), "asked", "left")
-    route = services.unpaywall_route(F.col("said"), F.col("answer"))
-    routed = routed.withColumn("route", route)
-    found = F.col("route.url").isNotNull()
-    downloads = F.when(found, F.array(F.struct(F.col("route.url").alias("url"), F.lit("published.pdf").alias("name"))))
-    made = _outcome(
-        routed, F.when(found, "ok").otherwise("no-oa-route"), base=F.col("base"), type=F.col("type"), fields=F.col("fields"), doi=F.coalesce("doi", "asked"),
-        pending=F.lit(PENDING), downloads=downloads,
-        detail=F.when(found, F.concat(F.lit("unpaywall: "), "route.verdict")).otherwise(work_facts(F.col("work"), F.col("route.verdict"))),
+    rows = requests.select("id", F.col("doi").alias("asked")).join(_known(requests, stored, "known", doi=F.col("doi")), "id", "left")
+    rows = rows.join(works.select(F.col("doi").alias("asked"), "status", "work"), "asked", "left")
+    rows = rows.join(oa.select(F.col("doi").alias("asked"), F.col("status").alias("said"), "answer"), "asked", "left")
+    drafted = published_drafts(rows).withColumn("route", services.unpaywall_route(F.col("said"), F.col("answer")))
+    stored_, lost, bad, open_ = F.col("known").isNotNull(), F.coalesce(F.col("status") != 200, F.lit(True)) | F.col("work").isNull(), F.col("error").isNotNull(), F.col("route.url").isNotNull()
+    outcome = F.when(stored_, "duplicate").when(lost | bad, "error").when(open_, "ok").otherwise("no-oa-route")
+    made = lambda c: F.when(~stored_ & ~lost & ~bad, c)
+    failed = F.concat(F.lit("lookup of "), "asked", F.lit(" failed: "), F.coalesce(F.col("status").cast("string"), F.lit("no answer")))
+    unusable = F.concat(F.lit("work "), work_label(F.col("work")), F.lit(": "), "error")
+    told = F.when(open_, F.concat(F.lit("unpaywall: "), "route.verdict")).otherwise(work_facts(F.col("work"), F.col("route.verdict")))
+    copy = F.when(open_, F.array(F.struct(F.col("route.url").alias("url"), F.lit("published.pdf").alias("name"))))
+    return _outcome(
+        drafted, outcome, known=F.col("known"), base=made(F.col("base")), type=made(F.col("type")), fields=made(F.col("fields")), doi=F.coalesce(made(F.col("doi")), "asked"),
+        pending=made(F.lit(PENDING)), downloads=made(copy), detail=F.when(stored_, None).when(lost, failed).when(bad, unusable).otherwise(told),
     )
-    return _outcome(known, "duplicate", known=F.col("known"), doi=F.col("doi")).unionByName(failed).unionByName(unusable).unionByName(made)
 
 
 def resolve_preprints(requests: DataFrame, stored: DataFrame, entries: DataFrame, works: DataFrame) -> DataFrame:
@@ -75,21 +74,24 @@ def resolve_preprints(requests: DataFrame, stored: DataFrame, entries: DataFrame
 
     entries: arxiv_id, status, entry.  A preprint whose DOI is stored is a duplicate too.
     """
-    new, known = _parted(requests.select("id", "arxiv_id", F.col("version").alias("asked")), stored, None, "arxiv_id")
-    answered = new.join(entries, "arxiv_id", "left")
-    lost = answered.where("coalesce(status, 0) <> 200 or entry is null")
-    failed = _outcome(lost, "error", detail=F.concat(F.lit("arXiv "), "arxiv_id", F.lit(" not found")))
-    drafts = preprint_drafts(answered.where("status = 200 and entry is not null").select("id", "arxiv_id", "asked", "entry"))
-    unusable = _outcome(drafts.where("error is not null"), "error", detail=F.concat(F.lit("arXiv entry "), entry_label(F.col("entry")), F.lit(": "), "error"))
-    free, published = _parted(drafts.where("error is null"), stored, "doi", None)
-    merged = merge_published(free.withColumn("pending", F.lit(PENDING)).select("id", "asked", "base", "type", "fields", "arxiv", "abstract", "doi", "pending"), works)
+    rows = requests.select("id", "arxiv_id", F.col("version").alias("asked")).join(_known(requests, stored, "known", arxiv=F.col("arxiv_id")), "id", "left")
+    rows = rows.join(entries, "arxiv_id", "left")
+    rows = rows.join(_known(rows.where("entry is not null"), stored, "published", doi=F.col("entry.doi")), "id", "left")
+    drafted = preprint_drafts(rows)
+    lost = F.coalesce(F.col("status") != 200, F.lit(True)) | F.col("entry").isNull()
+    stored_, bad = F.coalesce("known", "published").isNotNull(), F.col("error").isNotNull()
+    drafted = drafted.withColumn("stored", stored_).withColumn("failed", F.when(lost, F.concat(F.lit("arXiv "), "arxiv_id", F.lit(" not found"))).when(bad, F.concat(F.lit("arXiv entry "), entry_label(F.col("entry")), F.lit(": "), "error")))
+    good = ~F.col("stored") & F.col("failed").isNull()
+    drafted = drafted.withColumn("named", F.col("doi")).withColumn("doi", F.when(good, F.col("doi"))).withColumn("pending", F.lit(PENDING))
+    merged = merge_published(drafted.select("id", "asked", "known", "published", "stored", "failed", "named", "base", "type", "fields", "arxiv", "abstract", "doi", "pending"), works)
+    made = lambda c: F.when(good, c)
     version = F.when(F.col("arxiv.version") > 0, F.col("arxiv.version")).otherwise(F.coalesce("asked", F.lit(0)))
-    made = _outcome(
-        merged, "ok", base=F.col("base"), type=F.col("type"), fields=F.col("fields"), doi=F.col("doi"), arxiv=F.col("arxiv"), abstract=F.col("abstract"), pending=F.col("pending"),
-        downloads=arxiv_downloads(F.col("arxiv.id"), version), detail=F.concat(F.lit("arXiv record "), refs.eprint_id(F.col("arxiv.id"), version)),
+    return _outcome(
+        merged, F.when(F.col("stored"), "duplicate").when(F.col("failed").isNotNull(), "error").otherwise("ok"), known=F.coalesce("known", "published"), base=made(F.col("base")), type=made(F.col("type")),
+        fields=made(F.col("fields")), doi=F.when(F.col("published").isNotNull(), F.col("named")).otherwise(made(F.col("doi"))), arxiv=made(F.col("arxiv")), abstract=made(F.col("abstract")),
+        pending=made(F.col("pending")), downloads=made(arxiv_downloads(F.col("arxiv.id"), version)),
+        detail=F.when(~F.col("stored"), F.coalesce("failed", F.concat(F.lit("arXiv record "), refs.eprint_id(F.col("arxiv.id"), version)))),
     )
-    out = _outcome(known, "duplicate", known=F.col("known")).unionByName(_outcome(published, "duplicate", known=F.col("known"), doi=F.col("doi")))
-    return out.unionByName(failed).unionByName(unusable).unionByName(made)
 
 
 def _years(text: Column) -> Column:
