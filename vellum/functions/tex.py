@@ -174,9 +174,10 @@ def brace_title(title: Column) -> Column:
     braced = lambda s, w, e: F.when(free(s) & free(e) & ~F.substring(w, 1, 1).isin("{", "$") & w.rlike(r"(?s)\A.[\s\S]*\p{Lu}"), F.concat(F.lit("{"), w, F.lit("}"))).otherwise(w)
     marks = lambda w: F.regexp_extract_all(w, F.lit(r"([{}$])"), F.lit(1))
     state = lambda s: F.struct(s["depth"].alias("depth"), s["math"].alias("math"))
-    step = lambda s, w: F.transform(F.array(F.aggregate(marks(w), state(s), walk)), lambda e: F.struct(e["depth"].alias("depth"), e["math"].alias("math"), F.array_append(s["out"], braced(s, w, e)).alias("out")))[0]
-    start = F.struct(zero["depth"].alias("depth"), zero["math"].alias("math"), F.array().cast("array<string>").alias("out"))
-    return F.aggregate(F.split(title, " "), start, step, lambda s: F.array_join(s["out"], " "))
+    step = lambda s, w: F.transform(F.array(F.aggregate(marks(w), state(s), walk)), lambda e: F.struct(e["depth"].alias("depth"), e["math"].alias("math"), F.concat(s["out"], F.lit(" "), braced(s, w, e)).alias("out")))[0]
+    start = F.struct(zero["depth"].alias("depth"), zero["math"].alias("math"), F.lit("").alias("out"))
+    whole = F.aggregate(F.split(title, " "), start, step, lambda s: F.substr(s["out"], F.lit(2)))
+    return F.when(title.rlike(r"(?s).\p{Lu}"), whole).otherwise(title)
 
 
 def normalize_pages(pages: Column) -> Column:
