@@ -21,11 +21,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vellum.llm.keyed import join_hot, join_some, maybe, own_keys, wrapped
-from vellum.llm.rolling import Spans, mix, powers
+from vellum.llm.rolling import Spans, inverse_powers, mix, powers
 from vellum.session import cut, ship_package
 
 LEAST_WORDS = 5
-STEP_CHARS = 2_000_000
+STEP_CHARS = 500_000
 STEP_VARIANTS = 200_000
 SALTS = 32
 _ONE_SPACE = bytes(32 if c in b"\t\x0b\x0c\r" else c for c in range(256))
@@ -54,13 +54,15 @@ class Lines:
         first, last = np.append(0, gaps + 1), np.append(gaps, len(raw))
         real = last > first
         word = Spans(raw).hash(first[real], last[real]) if real.any() else np.zeros(0, np.uint64)
-        up, self.down = powers(1, len(word) + 2)
-        self.sums = np.append(np.uint64(0), np.cumsum(word * up[: len(word)]))
+        self.sums = np.append(np.uint64(0), np.cumsum(word * powers(1, len(word))))
         self.start = np.searchsorted(first[real], self.begin)
         self.n = np.searchsorted(first[real], self.end) - self.start
 
+    def down(self, at: np.ndarray) -> np.ndarray:
+        return inverse_powers(1, at, len(self.sums) + 1)
+
     def run(self, start: np.ndarray, n: np.ndarray) -> np.ndarray:
-        return (self.sums[start + n] - self.sums[start]) * self.down[start]
+        return (self.sums[start + n] - self.sums[start]) * self.down(start)
 
     def digests(self, which: np.ndarray) -> np.ndarray:
         d = self.data
@@ -85,7 +87,7 @@ class Lines:
         line = np.repeat(np.arange(len(self.n)), many)
         pos = np.arange(len(line)) - np.repeat(np.cumsum(many) - many, many)
         s, e = self.start[line], self.start[line] + self.n[line]
-        less = (self.sums[s + pos] - self.sums[s]) * self.down[s] + (self.sums[e] - self.sums[s + pos + 1]) * self.down[s + 1]
+        less = (self.sums[s + pos] - self.sums[s]) * self.down(s) + (self.sums[e] - self.sums[s + pos + 1]) * self.down(s + 1)
         less = mix(less + mix((self.n[line] - 1).astype(np.uint64)))
         whole = mix(self.run(self.start, self.n) + mix(self.n.astype(np.uint64)))
         out = np.append(np.arange(len(self.n)), line), np.append(np.full(len(self.n), -1), pos), np.append(whole, less).view(np.int64)

@@ -17,11 +17,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.tokens import default_path, encoded, encoder
+from vellum.llm.tokens import MEMO_PIECES, default_path, encoded, encoder
 from vellum.session import ship_package
 
 WINDOW = 2048
-BLOCK_TOKENS = 4_000_000
+BLOCK_TOKENS = 1_000_000
+SMALL_MEMO = 150_000
 LEAST_CUT = 64
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
@@ -136,6 +137,7 @@ def _packer(path: str, end_id: int, window: int, block_tokens: int, keep_memo: b
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
+        enc.memo_pieces = MEMO_PIECES if keep_memo else SMALL_MEMO
         base = TaskContext.get().partitionId() << 40
         docs: list[tuple[int | None, bytes]] = []
         held = 0
@@ -161,8 +163,8 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int =
     end id.  Each input row is a document of its own, repeated and null doc_ids
     too; other columns are ignored.  An empty table gives no rows.  A sequence is
     filled from offset 0 without gaps and padded by its reader to `window`,
-    unless its length is a power of two.  keep_memo keeps encoded parts for a
-    worker's next task; without it other stages have that memory.
+    unless its length is a power of two.  keep_memo keeps many encoded pieces, for
+    a worker's next task too; without it other stages have that memory.
     """
     ship_package(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))

@@ -6,20 +6,35 @@ import numpy as np
 
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 INDEX_BITS = 20
-_cache: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_LOW = 4096
+_tables: dict[tuple[int, bool, int], tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _letters(which: int) -> np.ndarray:
     return np.random.default_rng(1234 + which).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 
 
-def powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of a base and of its inverse modulo 2**64, up to n."""
-    if which not in _cache or len(_cache[which][0]) < n:
-        base = _BASES[which]
-        size = max(1 << 16, 1 << (n - 1).bit_length())
-        _cache[which] = tuple(np.concatenate([[np.uint64(1)], np.cumprod(np.full(size - 1, b, np.uint64))]) for b in (base, pow(base, -1, 1 << 64)))
-    return tuple(x[:n] for x in _cache[which])
+def _parts(which: int, inverse: bool, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0 to _LOW - 1 of a base, or of its inverse modulo 2**64, and those of its _LOW-th power for places below n; their products are all powers."""
+    high = 1 << max(8, ((n >> 12) + 1).bit_length())
+    key = (which, inverse, high)
+    if key not in _tables:
+        base = pow(_BASES[which], -1, 1 << 64) if inverse else _BASES[which]
+        row = lambda b, m: np.concatenate([[np.uint64(1)], np.cumprod(np.full(m - 1, b, np.uint64))])
+        _tables[key] = row(base, _LOW), row(pow(base, _LOW, 1 << 64), high)
+    return _tables[key]
+
+
+def powers(which: int, n: int) -> np.ndarray:
+    """Powers 0 to n - 1 of a base."""
+    low, high = _parts(which, False, n)
+    return (high[: -(-n // _LOW), None] * low).ravel()[:n]
+
+
+def inverse_powers(which: int, at: np.ndarray, n: int) -> np.ndarray:
+    """Powers of the inverse of a base at places below n."""
+    low, high = _parts(which, True, n)
+    return high[at >> 12] * low[at & (_LOW - 1)]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -32,11 +47,14 @@ class Spans:
     """Hashes of buffer[start:end] for arrays of starts and ends."""
 
     def __init__(self, data: np.ndarray, which: int = 0):
-        up, self.down = powers(which, len(data) + 1)
-        self.sums = np.concatenate([[np.uint64(0)], np.cumsum(_letters(which)[data] * up[:-1])])
+        self.which, self.n = which, len(data) + 1
+        terms = _letters(which)[data]
+        terms *= powers(which, len(data))
+        self.sums = np.zeros(self.n, np.uint64)
+        np.cumsum(terms, out=self.sums[1:])
 
     def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))
+        return mix((self.sums[end] - self.sums[start]) * inverse_powers(self.which, start, self.n) + (end - start).astype(np.uint64))
 
 
 def window_min(v: np.ndarray, width: int) -> np.ndarray:
