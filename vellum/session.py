@@ -3,41 +3,51 @@
 from __future__ import annotations
 
 import atexit
-import os
+import py_compile
 import shutil
 import tempfile
 import uuid
+import weakref
 import zipfile
 from pathlib import Path
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parent.parent
-_SHIPPED: set[str] = set()
+_SHIPPED: weakref.WeakSet[SparkContext] = weakref.WeakSet()
 _OWN_SHARED: dict[str, str] = {}
 BATCH_BYTES = "4m"
 DEFAULT_BATCH_BYTES = (None, "-1", "67108864b")  # a session that never set it
 
 
+def _source_zip() -> str:
+    """A zip of the package: sources, and compiled modules so that no worker compiles them again."""
+    folder = Path(tempfile.mkdtemp(prefix="vellum-ship-"))
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    with zipfile.ZipFile(folder / "vellum_src.zip", "w") as z:
+        for f in sorted((ROOT / "vellum").rglob("*.py")):
+            name = f.relative_to(ROOT)
+            compiled = py_compile.compile(str(f), str(folder / "m.pyc"), doraise=True, invalidation_mode=py_compile.PycInvalidationMode.UNCHECKED_HASH)
+            z.write(compiled, name.with_suffix(".pyc").as_posix())
+            z.write(f, name.as_posix())
+    return str(folder / "vellum_src.zip")
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable in Python workers (once an application), and keep Arrow batches small.
 
     Texts vary from a word to megabytes, so batches are bounded by bytes
-    (BATCH_BYTES), not by rows alone, unless the session has a bound of its own.  Workers that inherit a PYTHONPATH holding the repository need nothing;
-    otherwise a zip of the sources goes out through Spark's file server.
+    (BATCH_BYTES), not by rows alone, unless the session has a bound of its own.
+    A zip of the sources goes out through Spark's file server whatever the
+    driver's own path or PYTHONPATH says, since neither tells what JVMs that
+    already run, or executors on other machines, can import.
     """
     if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) in DEFAULT_BATCH_BYTES:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-    app = spark.sparkContext.applicationId
-    paths = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if app in _SHIPPED or str(ROOT) in paths:
-        return
-    target = Path(tempfile.mkdtemp(prefix="vellum-ship-")) / "vellum_src.zip"
-    with zipfile.ZipFile(target, "w") as z:
-        for f in sorted((ROOT / "vellum").rglob("*.py")):
-            z.write(f, f.relative_to(ROOT).as_posix())
-    spark.sparkContext.addPyFile(str(target))
-    _SHIPPED.add(app)
+    if spark.sparkContext not in _SHIPPED:
+        spark.sparkContext.addPyFile(_source_zip())
+        _SHIPPED.add(spark.sparkContext)
 
 
 def shared_dir(spark: SparkSession) -> str:
