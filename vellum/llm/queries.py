@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm import arrow_tokens, chat, decontaminate, embeddings, lines, packing, simhash, substring, suffix, toxicity
+from vellum.llm import arrow_tokens, chat, decontaminate, embeddings, lines, packing, resample, simhash, substring, suffix, toxicity
 from vellum.session import table
 
 
@@ -50,7 +50,11 @@ def op10_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.op10_query(table(spark, sf_dir, "conversations"))
 
 
-OPERATORS = (op1_decontaminate, op2_simhash, op3_toxicity, op4_packing, op5_substring_dedup, op6_arrow_tokens, op7_embedding_dedup, op8_suffix_dedup, op9_line_dedup, op10_chat_windows)
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.op11_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OPERATORS = (op1_decontaminate, op2_simhash, op3_toxicity, op4_packing, op5_substring_dedup, op6_arrow_tokens, op7_embedding_dedup, op8_suffix_dedup, op9_line_dedup, op10_chat_windows, op11_importance_resampling)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -60,5 +64,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """None of the ten can be stated in SQL at these sizes; tests hold them against brute force."""
+    """None of them can be stated in SQL at these sizes; tests hold them against brute force."""
     return {}
