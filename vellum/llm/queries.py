@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm import arrow_tokens, chat, decontaminate, embeddings, lines, packing, resample, simhash, substring, suffix, toxicity
+from vellum.llm import arrow_tokens, chat, decontaminate, embeddings, lines, packing, quality, resample, simhash, substring, suffix, toxicity, variants
 from vellum.session import table
 
 
@@ -54,7 +54,15 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.op11_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-OPERATORS = (op1_decontaminate, op2_simhash, op3_toxicity, op4_packing, op5_substring_dedup, op6_arrow_tokens, op7_embedding_dedup, op8_suffix_dedup, op9_line_dedup, op10_chat_windows, op11_importance_resampling)
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.op12_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.op13_query(table(spark, sf_dir, "documents"))
+
+
+OPERATORS = (op1_decontaminate, op2_simhash, op3_toxicity, op4_packing, op5_substring_dedup, op6_arrow_tokens, op7_embedding_dedup, op8_suffix_dedup, op9_line_dedup, op10_chat_windows, op11_importance_resampling, op12_quality, op13_spelling_variants)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
