@@ -11,8 +11,9 @@ looked up among the prefix grams of all others.
 Position limits make the meeting sharp.  One edit stands before or behind a
 gram that it leaves alone, so either all that comes up to the gram is equal in
 both words and the gram is at the same place, or all from the gram on is and
-its place moves with the difference in length.  The key of a meeting is the
-equal part, the side and the length; what meets is then verified.
+its place moves with the difference in length.  The rest, which holds the edit,
+is equal in its first or its last half.  The key of a meeting is the equal part,
+the half, the side and the length; what meets is then verified.
 """
 
 from __future__ import annotations
@@ -25,7 +26,6 @@ from collections.abc import Iterator
 from itertools import pairwise
 
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,7 +41,7 @@ HELD_WORDS = 200_000
 LONG_WORD = 64
 MOST_STEPS = 64
 LETTERS = "A-Za-zÀ-ÿ"
-_MASK = (1 << 64) - 1
+_PRIME, _BASE = (1 << 61) - 1, 0x1B873593CC9E2D51 % ((1 << 61) - 1)
 
 
 def words_of(doc_id: int | None, text: str | None, least: int = LEAST_LETTERS, drop: int = DROP) -> Counter[str]:
@@ -106,35 +106,47 @@ def pivots_of(prefix: list[tuple[int, str, int]], edits: int = EDITS) -> list[in
     return list(best[-1][1]) if best[-1] else []
 
 
-def _signed(h: int) -> int:
-    h &= _MASK
-    return h - (1 << 64) if h >> 63 else h
+class _Parts:
+    """Hashes of any part of a word, by powers of one base, so that words of any length take time in proportion."""
 
+    powers = [1]
 
-def keys_of(word: str, places: list[int]) -> tuple[dict[int, int], dict[int, int]]:
-    """Hashes of the parts up to and from the gram at each place, in one walk over the word each."""
-    upto, beyond = {}, {}
-    h, at = xxhash.xxh64(seed=1), 0
-    for i in sorted(places):
-        h.update(word[at : i + 2].encode())
-        at = i + 2
-        upto[i] = h.intdigest()
-    h, at, back = xxhash.xxh64(seed=2), 0, word[::-1]
-    for i in sorted(places, reverse=True):
-        h.update(back[at : len(word) - i].encode())
-        at = len(word) - i
-        beyond[i] = h.intdigest()
-    return upto, beyond
+    def __init__(self, word: str):
+        h, self.sums = 0, [0]
+        for c in word:
+            h = (h * _BASE + ord(c)) % _PRIME
+            self.sums.append(h)
+        while len(self.powers) <= len(word):
+            self.powers.append(self.powers[-1] * _BASE % _PRIME)
+
+    def __call__(self, start: int, end: int) -> int:
+        return (self.sums[end] - self.sums[start] * self.powers[end - start]) % _PRIME
+
+
+def _keys(part: _Parts, n: int, before: bool, place: int, length: int) -> list[int]:
+    """Meeting keys of a word of n letters, a gram at `place`, and an edit before or behind it, with indexed words of `length`.
+
+    Half of the indexed word's rest, less one letter, is equal at one end of the
+    rest or at the other.
+    """
+    equal, start, end = (part(place, n), 0, place) if before else (part(0, place + 2), place + 2, n)
+    half = (end - start + length - n - 1) // 2
+    if half <= 0:
+        return [hash((before, length, equal))] if end - start + length - n >= 0 else []
+    return [hash((before, length, equal, 0, part(start, start + half))), hash((before, length, equal, 1, part(end - half, end)))]
 
 
 def meetings_of(word: str, freq: dict[str, int]) -> tuple[list[int], list[int]]:
-    """(index keys, probe keys) of a word: of its prefix grams for its length, of its pivots for lengths an edit away."""
-    prefix = prefix_of(word, freq)
-    upto, beyond = keys_of(word, [i for _, _, i in prefix])
-    key = lambda side, h, length: _signed(h * 31 + side * 0x9E3779B97F4A7C15 + length * 0xC2B2AE3D27D4EB4F)
-    index = [key(side, h, len(word)) for side, part in enumerate((upto, beyond)) for h in part.values()]
-    probe = [key(side, part[i], len(word) + d) for side, part in enumerate((upto, beyond)) for i in pivots_of(prefix) for d in (-EDITS, 0, EDITS)]
-    return index, probe
+    """(index keys, probe keys) of a word: of its prefix grams, and of its pivots for words up to an edit longer or shorter.
+
+    An edit that touches the second pivot or comes after it is behind the first;
+    any other one is before the second.
+    """
+    prefix, part, n = prefix_of(word, freq), _Parts(word), len(word)
+    index = {k for _, _, i in prefix for before in (False, True) for k in _keys(part, n, before, i, n)}
+    first, second = pivots_of(prefix)
+    probe = {k for before, i in ((False, first), (True, second)) for d in (-EDITS, 0, EDITS) for k in _keys(part, n, before, i, n + d)}
+    return list(index), list(probe)
 
 
 def _named(word: str) -> str:
@@ -179,8 +191,8 @@ def near_pairs(words: DataFrame) -> DataFrame:
     """(a, b), a < b: the pairs of words (word; distinct, of letters) that differ by one inserted, deleted or replaced code point."""
     freq = gram_counts(words)
     met = cut(words.select("word").mapInArrow(_met(freq), "name string, key long, probe boolean"), "pivots")
-    index = met.where("not probe").select("key", F.col("name").alias("right")).distinct()
-    probe = met.where("probe").select("key", F.col("name").alias("left")).distinct()
+    index = met.where("not probe").select("key", F.col("name").alias("right"))
+    probe = met.where("probe").select("key", F.col("name").alias("left"))
     whole = ~F.col("left").startswith("#") & ~F.col("right").startswith("#")
     near = F.when(whole, F.levenshtein("left", "right", EDITS) == 1).otherwise(F.col("left") != F.col("right"))
     pairs = probe.join(index, "key").where(near).select(F.least("left", "right").alias("a"), F.greatest("left", "right").alias("b")).distinct()
