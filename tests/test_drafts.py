@@ -29,9 +29,9 @@ def test_published_drafts(spark):
 
 
 def test_batch(spark):
-    df = spark.createDataFrame([(1, "10.1/A", None), (2, "10.1/a", "x"), (3, "", "x"), (4, None, None), (5, None, "")], "ord int, doi string, arxiv_id string")
+    df = spark.createDataFrame([(1, "10.1/A", None), (2, "10.1/a", "x"), (3, "", "x"), (4, None, None), (5, None, ""), (6, "10.1/b", "x")], "ord int, doi string, arxiv_id string")
     got = {r["ord"]: r["first"] for r in drafts.unseen_in_batch(df).collect()}
-    assert got == {1: 1, 2: 1, 3: 2, 4: 4, 5: 5}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 3}  # 2 is never created, so 3 is new
 
 
 def test_title_guess(spark):

@@ -1,11 +1,12 @@
 """References and files resolved against answers that were fetched before."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from vellum.operators import drafts, records, reports, resolve
+from vellum.operators import batch, drafts, records, reports, resolve
 from vellum.sources import services
 
 
@@ -36,9 +37,11 @@ def test_fetch(spark, answers):
     requests = spark.createDataFrame(list(enumerate(asked)), "id int, ref string")
     out = resolve.with_keys(resolve.fetch(requests, **answers), answers["stored"]).cache()
     got = {r["id"]: r for r in out.collect()}
-    assert [got[i]["outcome"] for i in range(len(asked))] == ["ok", "error", "error", "no-oa-route", "duplicate", "ok", "ok", "ok", "duplicate", "duplicate", "error", "ok", "ambiguous", "ambiguous", "ambiguous"]
+    assert [got[i]["outcome"] for i in range(len(asked))] == ["ok", "error", "error", "no-oa-route", "duplicate", "ok", "ok", "ok", "duplicate", "duplicate", "error", "duplicate", "ambiguous", "ambiguous", "ambiguous"]
     assert (got[4]["known"], got[8]["known"], got[9]["known"]) == ("doe_2001", "doe_2001", "roe_1999")
-    assert [got[i]["key"] for i in (0, 3, 11)] == ["doe_2001a", "doe_2001b", "doe_2001d"]  # 5 takes c: its published record has the same base
+    assert [got[i]["key"] for i in (0, 3)] == ["doe_2001a", "doe_2001b"]
+    assert (got[11]["first"], got[11]["known"], got[11]["key"], got[11]["fields"], got[11]["doi"]) == (0, "doe_2001a", None, None, "10.1000/a")  # the text names what the batch has made
+    assert all(r["first"] is None for i, r in got.items() if i != 11)
     assert got[5]["key"] == "doe_2001c" and got[5]["fields"]["title"] == "The Published One" and got[5]["fields"]["eprint"] == "2001.00001" and got[5]["fields"]["primaryclass"] == "math.PR" and got[5]["abstract"] == "An abstract" and got[5]["arxiv"]["version"] == 3
     assert [tuple(d) for d in got[5]["downloads"]] == [("https://arxiv.org/pdf/2001.00001v3", "arxiv-2001.00001v3.pdf"), ("https://arxiv.org/e-print/2001.00001v3", "arxiv-2001.00001v3/")]
     assert got[6]["fields"]["author"] == "Roe, Jane van and Plato" and got[6]["fields"]["title"] == "A Preprint on {NATO}" and got[6]["type"] == "misc" and got[6]["pending"] == drafts.PENDING
@@ -54,9 +57,48 @@ def test_ingest(spark, answers):
     files = files.select("id", F.struct("doi", "arxiv_id", "tier", "version").alias("ident"), "guess")
     out = resolve.ingest(files, **answers)
     got = {r["id"]: r for r in out.collect()}
-    assert [(got[i]["outcome"], got[i]["tier"], got[i]["title"]) for i in range(6)] == [("ok", 1, None), ("ok", 2, None), ("ok", 3, "clear words"), ("unidentified", 0, "no such title"), ("unidentified", 0, None), ("ok", 1, None)]
+    assert [(got[i]["outcome"], got[i]["tier"], got[i]["title"]) for i in range(6)] == [("ok", 1, None), ("ok", 2, None), ("duplicate", 3, "clear words"), ("unidentified", 0, "no such title"), ("unidentified", 0, None), ("ok", 1, None)]
     told = records.batch_summary(out.select(F.col("id").cast("string").alias("input"), "outcome", "detail")).first()
-    assert (told["total"], told["failed"], told["line"]) == (6, 2, "2 of 6 left in place") and [f["input"] for f in told["failures"]] == ["3", "4"]
+    assert (told["total"], told["failed"], told["line"]) == (6, 3, "3 of 6 left in place") and [f["input"] for f in told["failures"]] == ["2", "3", "4"]
+
+
+def test_what_a_batch_makes_counts_for_later_requests(spark, answers):
+    asked = ["10.1000/c", "10.1000/c", "2001.00001", "10.1000/P", "arXiv:2001.00001v2", "10.1000/p", "math/0101001", "10.1000/b", "math/0101001", "10.1000/d", "10.1000/D"]
+    got = {r["id"]: r for r in resolve.fetch(spark.createDataFrame(list(enumerate(asked)), "id int, ref string"), **answers).collect()}
+    # a failed request makes nothing; a preprint with its published record holds both identifiers, without it the arXiv id alone
+    assert [(got[i]["outcome"], got[i]["first"]) for i in range(len(asked))] == [("error", None), ("error", None), ("ok", None), ("duplicate", 2), ("duplicate", 2), ("duplicate", 2), ("ok", None), ("error", None), ("duplicate", 6), ("no-oa-route", None), ("duplicate", 9)]
+    made = resolve.with_keys(resolve.fetch(spark.createDataFrame(list(enumerate(asked)), "id int, ref string"), **answers), answers["stored"])
+    rows = {r["key"]: r for r in resolve.draft_records(made, "2024-01-01T00:00:00Z", "fetch").collect()}
+    assert len(rows) == 3 and all(r["status"] == "draft" and len(r["log"]) == 1 and r["log"][0]["action"] == "fetch" for r in rows.values())
+    assert {r["arxiv"]["id"] for r in rows.values() if r["arxiv"]} == {"2001.00001", "math/0101001"}
+
+
+def in_turn(rows):
+    """(ord, first) row by row."""
+    made, out = {}, {}
+    for ord_, asks, holds in sorted(rows):
+        first = min((made[i] for i in asks or [] if i in made), default=None)
+        if first is None:
+            for i in holds or []:
+                made.setdefault(i, ord_)
+        else:
+            out[ord_] = first
+    return out
+
+
+@pytest.mark.parametrize("kind", ["random", "chain", "hot", "empty"])
+def test_first_holders_against_a_loop(spark, kind):
+    rng = random.Random(4)
+    some = lambda n, k: [f"i{rng.randrange(n)}" for _ in range(rng.randrange(k))]
+    rows = {
+        "random": [(i * 3 - 50, some(60, 4), some(60, 3)) for i in range(200)] + [(1001, None, None), (1002, ["i1", None], ["i1", "i1"])],
+        "chain": [(i, [f"c{i}", f"c{i + 1}"], [f"c{i}", f"c{i + 1}"]) for i in range(9)],
+        "hot": [(i, ["hot"] if i % 3 else some(30, 3), ["hot"] if i % 3 else some(30, 3)) for i in range(300)],
+        "empty": [],
+    }[kind]
+    rng.shuffle(rows)
+    got = {r["ord"]: r["first"] for r in batch.first_holders(spark.createDataFrame(rows, "ord long, asks array<string>, holds array<string>")).collect()}
+    assert got == in_turn([(o, [a for a in asks or [] if a], holds) for o, asks, holds in rows])
 
 
 def test_attach_and_reports(spark, answers):

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from vellum.functions import tex
 from vellum.functions.names import parse_names
+from vellum.operators.batch import first_holders, identifiers
 from vellum.operators.records import SIMILAR, add_pending, make_key, merge
 from vellum.sources import services
 
@@ -79,17 +79,16 @@ def merge_published(preprints: DataFrame, works: DataFrame) -> DataFrame:
 
 
 def unseen_in_batch(papers: DataFrame) -> DataFrame:
-    """papers (ord, doi, arxiv_id, more) with first: the smallest ord of the batch with the same DOI, whatever its case, or arXiv id.
+    """papers (ord, doi, arxiv_id, more) with first: the ord of the row of the batch that creates the record.
 
-    A paper whose first is its own ord is new; the others would be duplicates of
-    a record that the batch itself creates.  Empty identifiers match nothing.
+    A paper whose first is its own ord is new; another one repeats a record that
+    an earlier row creates, with the same DOI, whatever its case, or the same
+    arXiv id.  A row that repeats creates nothing, so its identifiers don't count
+    for those after it.  Empty identifiers match nothing.
     """
-    known = lambda c: F.coalesce(c, F.lit("")) != ""
-    least = lambda c: F.when(known(c), F.min("ord").over(Window.partitionBy(c)))
-    doi = F.coalesce(F.lower("doi"), F.lit(""))
-    lone = F.concat(F.lit("\n"), F.col("ord").cast("string"))  # rows without an identifier form no group
-    one = papers.withColumn("_d", F.when(known(doi), doi).otherwise(lone)).withColumn("_a", F.when(known(F.col("arxiv_id")), F.col("arxiv_id")).otherwise(lone))
-    return one.withColumn("first", F.least(least(F.col("_d")), least(F.col("_a")))).drop("_d", "_a")
+    given = identifiers(F.col("doi"), F.col("arxiv_id"))
+    found = first_holders(papers.select("ord", given.alias("asks"), given.alias("holds"))).withColumnRenamed("first", "_first")
+    return papers.join(found, "ord", "left").select(*papers.columns, F.coalesce("_first", "ord").alias("first"))
 
 
 def title_guess(lines: Column, sizes: Column) -> Column:

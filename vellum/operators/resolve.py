@@ -2,19 +2,23 @@
 
 Every step is a join with answers that were fetched before; nothing here talks
 to a service.  A request ends in one outcome: ok, duplicate, ambiguous,
-unidentified, no-oa-route or error.
+unidentified, no-oa-route or error.  Requests of a batch follow each other by
+id: what one creates, those after it find.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from vellum.functions import refs
+from vellum.operators.batch import first_holders, identifiers
 from vellum.operators.drafts import PENDING, merge_published, preprint_drafts, published_drafts
-from vellum.operators.records import auto_accept, find_duplicates, free_keys, identify_by_title, verify_into
+from vellum.operators.records import append_log, auto_accept, find_duplicates, free_keys, identify_by_title, verify_into
 from vellum.operators.reports import entry_label, mismatch, record_facts, work_facts, work_label
-from vellum.schema import EVENT_FIELDS
+from vellum.schema import EVENT_FIELDS, RECORD, RECORD_FIELDS
+from vellum.session import cut
 from vellum.sources import services
 
 _DOWNLOADS = "array<struct<url:string,name:string>>"
@@ -27,10 +31,29 @@ _TYPES = {
 }
 
 
+CREATING = ("ok", "no-oa-route")  # the outcomes that leave a record behind
+
+
 def _outcome(rows: DataFrame, outcome: str | Column, **values: Column) -> DataFrame:
-    """rows (id, ...) as OUTCOME; columns that are not given are null."""
+    """rows (id, ...) as OUTCOME with asks, the identifiers that the request was looked up by; columns that are not given are null."""
     made = {"outcome": F.lit(outcome) if isinstance(outcome, str) else outcome, **values}
-    return rows.select("id", *((made[n] if n in made else F.lit(None)).cast(_TYPES.get(n, "string")).alias(n) for n in OUTCOME[1:]))
+    asks = values.get("asks", F.array()).cast("array<string>").alias("asks")
+    return rows.select("id", *((made[n] if n in made else F.lit(None)).cast(_TYPES.get(n, "string")).alias(n) for n in OUTCOME[1:]), asks)
+
+
+def in_order(outcomes: DataFrame) -> DataFrame:
+    """outcomes of a batch (OUTCOME, asks) with first in place of asks: the id of the request that creates what this one asks for again.
+
+    Such a request is a duplicate and makes nothing.  Requests that found a
+    stored record stay as they are and have no first.
+    """
+    outcomes = cut(outcomes, "outcomes")
+    open_ = F.col("outcome") != "duplicate"
+    holds = F.when(F.col("outcome").isin(*CREATING), identifiers(F.col("doi"), F.col("arxiv.id")))
+    first = first_holders(outcomes.select(F.col("id").alias("ord"), F.when(open_, F.col("asks")).alias("asks"), holds.alias("holds"))).select(F.col("ord").alias("id"), "first")
+    again, lost = F.col("first").isNotNull(), ("base", "type", "fields", "arxiv", "abstract", "pending", "downloads", "detail")
+    met = outcomes.join(first, "id", "left").withColumn("outcome", F.when(again, "duplicate").otherwise(F.col("outcome")))
+    return met.select(*(F.when(~again, F.col(n)).alias(n) if n in lost else F.col(n) for n in OUTCOME), "first")
 
 
 def arxiv_downloads(id_: Column, version: Column) -> Column:
@@ -65,7 +88,7 @@ def resolve_dois(requests: DataFrame, stored: DataFrame, works: DataFrame, oa: D
     copy = F.when(open_, F.array(F.struct(F.col("route.url").alias("url"), F.lit("published.pdf").alias("name"))))
     return _outcome(
         drafted, outcome, known=F.col("known"), base=made(F.col("base")), type=made(F.col("type")), fields=made(F.col("fields")), doi=F.coalesce(made(F.col("doi")), "asked"),
-        pending=made(F.lit(PENDING)), downloads=made(copy), detail=F.when(stored_, None).when(lost, failed).when(bad, unusable).otherwise(told),
+        pending=made(F.lit(PENDING)), downloads=made(copy), detail=F.when(stored_, None).when(lost, failed).when(bad, unusable).otherwise(told), asks=identifiers(F.col("asked"), F.lit("")),
     )
 
 
@@ -83,14 +106,15 @@ def resolve_preprints(requests: DataFrame, stored: DataFrame, entries: DataFrame
     drafted = drafted.withColumn("stored", stored_).withColumn("failed", F.when(lost, F.concat(F.lit("arXiv "), "arxiv_id", F.lit(" not found"))).when(bad, F.concat(F.lit("arXiv entry "), entry_label(F.col("entry")), F.lit(": "), "error")))
     good = ~F.col("stored") & F.col("failed").isNull()
     drafted = drafted.withColumn("named", F.col("doi")).withColumn("doi", F.when(good, F.col("doi"))).withColumn("pending", F.lit(PENDING))
-    merged = merge_published(drafted.select("id", "asked", "known", "published", "stored", "failed", "named", "base", "type", "fields", "arxiv", "abstract", "doi", "pending"), works)
+    drafted = drafted.withColumn("asks", identifiers(F.col("named"), F.col("arxiv_id")))
+    merged = merge_published(drafted.select("id", "asks", "asked", "known", "published", "stored", "failed", "named", "base", "type", "fields", "arxiv", "abstract", "doi", "pending"), works)
     made = lambda c: F.when(good, c)
     version = F.when(F.col("arxiv.version") > 0, F.col("arxiv.version")).otherwise(F.coalesce("asked", F.lit(0)))
     return _outcome(
         merged, F.when(F.col("stored"), "duplicate").when(F.col("failed").isNotNull(), "error").otherwise("ok"), known=F.coalesce("known", "published"), base=made(F.col("base")), type=made(F.col("type")),
         fields=made(F.col("fields")), doi=F.when(F.col("published").isNotNull(), F.col("named")).otherwise(made(F.col("doi"))), arxiv=made(F.col("arxiv")), abstract=made(F.col("abstract")),
         pending=made(F.col("pending")), downloads=made(arxiv_downloads(F.col("arxiv.id"), version)),
-        detail=F.when(~F.col("stored"), F.coalesce("failed", F.concat(F.lit("arXiv record "), refs.eprint_id(F.col("arxiv.id"), version)))),
+        detail=F.when(~F.col("stored"), F.coalesce("failed", F.concat(F.lit("arXiv record "), refs.eprint_id(F.col("arxiv.id"), version)))), asks=F.col("asks"),
     )
 
 
@@ -99,7 +123,7 @@ def _years(text: Column) -> Column:
 
 
 def fetch(requests: DataFrame, stored: DataFrame, works: DataFrame, entries: DataFrame, hits: DataFrame, oa: DataFrame) -> DataFrame:
-    """OUTCOME, kind and source of requests (id, ref): references as people type them.
+    """OUTCOME, first, kind and source of requests (id, ref): references as people type them, one after another by id.
 
     DOIs, arXiv ids and free texts are three plans; a text whose first hit (hits:
     query, pos, doi, score, year, label) is clear goes on as that DOI, another
@@ -115,13 +139,13 @@ def fetch(requests: DataFrame, stored: DataFrame, works: DataFrame, entries: Dat
     several = mine.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", label.alias("label")))), lambda x: x["label"]).alias("candidates"))
     unclear = texts.join(chosen, "id", "left_anti").join(several, "id", "left")
     ambiguous = _outcome(unclear, "ambiguous", detail=F.concat(F.lit("no clear answer for "), "text"), candidates=F.col("candidates"))
-    out = resolve_dois(dois, stored, works, oa).unionByName(resolve_preprints(papers, stored, entries, works)).unionByName(ambiguous)
+    out = in_order(resolve_dois(dois, stored, works, oa).unionByName(resolve_preprints(papers, stored, entries, works)).unionByName(ambiguous))
     source = F.when(F.col("kind") == "arxiv", "arxiv").otherwise("crossref")
     return out.join(asked.select("id", "kind", source.alias("source")), "id")
 
 
 def ingest(files: DataFrame, stored: DataFrame, works: DataFrame, entries: DataFrame, hits: DataFrame, oa: DataFrame) -> DataFrame:
-    """OUTCOME, tier and title of files (id, ident as identify() gives it, guess): identified, completed by title, then resolved."""
+    """OUTCOME, first, tier and title of files (id, ident as identify() gives it, guess): identified, completed by title, then resolved one after another by id."""
     known = identify_by_title(files.select("id", "ident", "guess"), hits).select("id", "ident.*", "title")
     dois = known.where("doi is not null").select("id", "doi")
     papers = known.where("doi is null and arxiv_id is not null").select("id", "arxiv_id", "version")
@@ -129,7 +153,8 @@ def ingest(files: DataFrame, stored: DataFrame, works: DataFrame, entries: DataF
     none = _outcome(lost, "unidentified", detail=F.concat(F.lit("no identifier found; title guess: "), F.coalesce("title", F.lit("none"))))
     found = resolve_dois(dois, stored, works, oa)
     found = found.withColumn("outcome", F.when(F.col("outcome") == "no-oa-route", "ok").otherwise(F.col("outcome")))  # the file is there already
-    return found.unionByName(resolve_preprints(papers, stored, entries, works)).unionByName(none).join(known.select("id", "tier", "title"), "id")
+    out = in_order(found.unionByName(resolve_preprints(papers, stored, entries, works)).unionByName(none))
+    return out.join(known.select("id", "tier", "title"), "id")
 
 
 def attach_into(records: DataFrame, files: DataFrame) -> DataFrame:
@@ -149,9 +174,25 @@ def attach_into(records: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def with_keys(outcomes: DataFrame, stored: DataFrame, order: str = "id") -> DataFrame:
-    """outcomes with key: a free one for each draft, given out in the order of a column; a preview of what a real run would write."""
+    """outcomes with key: a free one for each draft, given out in the order of a column; a preview of what a real run would write.
+
+    Requests that repeat an earlier one of the batch know the key of its draft.
+    """
     keys = free_keys(outcomes.where("base is not null").select("base", F.col(order).alias("ord"), "id"), stored.select("key")).select("id", "key")
-    return outcomes.join(keys, "id", "left")
+    keyed = outcomes.join(keys, "id", "left")
+    if "first" not in outcomes.columns:
+        return keyed
+    return keyed.join(keys.select(F.col("id").alias("first"), F.col("key").alias("_known")), "first", "left").withColumn("known", F.coalesce("known", "_known")).select(*keyed.columns)
+
+
+def draft_records(outcomes: DataFrame, when: str, action: str) -> DataFrame:
+    """RECORD rows of the drafts among outcomes of with_keys(), each with a first log entry; rows without a free key are left out."""
+    log = append_log(F.lit(None).cast("array<struct<when:string,action:string,detail:string>>"), F.lit(when), F.lit(action), F.coalesce("detail", F.lit("")))
+    given = {
+        "key": F.col("key"), "status": F.lit("draft"), "pending": F.col("pending"), "bibtex": F.struct("type", "fields"), "doi": F.col("doi"), "arxiv": F.col("arxiv"), "abstract": F.col("abstract"), "holdings": F.lit("none"), "log": log,
+    }
+    types = {f.name: f.dataType for f in StructType.fromDDL(RECORD).fields}
+    return outcomes.where("base is not null and key is not null").select(*((given[n] if n in given else F.lit(None)).cast(types[n]).alias(n) for n in RECORD_FIELDS))
 
 
 def events(outcomes: DataFrame, when: str, command: str) -> DataFrame:

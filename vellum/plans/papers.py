@@ -180,28 +180,54 @@ _HITS = "select n_name as query, s_suppkey as pos, '10.1234/p' || s_suppkey as d
 _STORED = "select c_name as key, '10.1234/P' || c_custkey as doi, '2101.' || lpad(cast(c_custkey + 7 as string), 5, '0') as arxiv_id from customer where c_custkey % 20 = 0"
 
 
-@registered(
-    f"""with w as ({_WORKS}), e as ({_ENTRIES}), r as ({_REQUESTS}), h as ({_HITS}), s as ({_STORED}),
+_FETCHED = f"""w as ({_WORKS}), e as ({_ENTRIES}), r as ({_REQUESTS}), h as ({_HITS}), s as ({_STORED}),
     t as (select *, row_number() over (partition by query order by pos) as n, lead(score) over (partition by query order by pos) as nxt from h),
     picked as (select query, doi from t where n = 1 and score > 0 and (nxt is null or score >= 1.3 * nxt)),
     a as (select id, case id % 5 when 0 then ref when 1 then rtrim(replace(ref, 'https://doi.org/', ''), '.') when 3 then (select doi from picked where query = ref) end as doi, case when id % 5 = 2 then replace(ref, 'arXiv:', '') end as arxiv_id from r),
     j as (select a.*, w.p_partkey, w.status, e.s_suppkey, (select min(key) from s where lower(s.doi) = lower(a.doi) or s.arxiv_id = a.arxiv_id) as stored,
-      (select min(key) from s where e.s_suppkey % 2 = 0 and lower(s.doi) = '10.1234/p' || e.s_suppkey) as published, pw.status as pstatus, pw.p_partkey as ppart
-      from a left join w on w.doi = a.doi left join e on e.arxiv_id = a.arxiv_id left join w pw on e.s_suppkey % 2 = 0 and pw.p_partkey = e.s_suppkey)
-    select id, case when doi is null and arxiv_id is null then 'ambiguous' when coalesce(stored, published) is not null then 'duplicate' when arxiv_id is not null then case when s_suppkey is null then 'error' else 'ok' end
-      when status is null or status = 404 or p_partkey % 11 = 0 then 'error' when p_partkey % 2 = 0 then 'ok' else 'no-oa-route' end as outcome, coalesce(stored, published) as known,
-      case when coalesce(stored, published) is null and (arxiv_id is not null and s_suppkey is not null or doi is not null and status = 200 and p_partkey % 11 <> 0) then case when arxiv_id is null or pstatus = 200 and ppart % 11 <> 0 then 'article' else 'misc' end end as type
-    from j"""
-)
-def fetch_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What becomes of DOIs, arXiv ids and texts against answers of services and stored records."""
+      (select min(key) from s where e.s_suppkey % 2 = 0 and lower(s.doi) = '10.1234/p' || e.s_suppkey) as published, coalesce(pw.status = 200 and pw.p_partkey % 11 <> 0, false) as merged, pw.p_partkey as ppart
+      from a left join w on w.doi = a.doi left join e on e.arxiv_id = a.arxiv_id left join w pw on e.s_suppkey % 2 = 0 and pw.p_partkey = e.s_suppkey),
+    o as (select *, coalesce(stored, published) as known, case when doi is null and arxiv_id is null then 'ambiguous' when coalesce(stored, published) is not null then 'duplicate' when arxiv_id is not null then case when s_suppkey is null then 'error' else 'ok' end
+      when status is null or status = 404 or p_partkey % 11 = 0 then 'error' when p_partkey % 2 = 0 then 'ok' else 'no-oa-route' end as alone from j),
+    q as (select *, row_number() over (order by id) as n, case when alone = 'duplicate' then [] when arxiv_id is null then ['doi:' || doi] when s_suppkey % 2 = 0 then ['arxiv:' || arxiv_id, 'doi:10.1234/p' || s_suppkey] else ['arxiv:' || arxiv_id] end as asks,
+      case when alone not in ('ok', 'no-oa-route') then [] when arxiv_id is null then ['doi:' || doi] when merged then ['arxiv:' || arxiv_id, 'doi:10.1234/p' || s_suppkey] else ['arxiv:' || arxiv_id] end as holds from o),
+    v as (select 0::bigint as n, []::varchar[] as held, []::bigint[] as holder, null::bigint as first
+      union all select x.n, case when x.f is null then x.held || x.holds else x.held end, case when x.f is null then x.holder || [x.id for i in x.holds] else x.holder end, x.f
+      from (select q.*, v.held, v.holder, list_min([z[2] for z in list_zip(v.held, v.holder) if list_contains(q.asks, z[1])]) as f from v join q on q.n = v.n + 1) x),
+    fetched as (select q.*, v.first, case when v.first is null then alone else 'duplicate' end as outcome, v.first is null and alone in ('ok', 'no-oa-route') as made from q join v on v.n = q.n)"""
+
+
+def _fetched(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     ship_package(spark)
     works = rows_of(spark, sf_dir, _WORKS, "part")
     entries = rows_of(spark, sf_dir, _ENTRIES, "supplier").select("arxiv_id", F.lit(200).alias("status"), services.arxiv_entry(F.col("body")).alias("entry"))
     oa = works.select("doi", F.lit(200).alias("status"), services.unpaywall(F.col("oa")).alias("answer"))
     works = works.select("doi", "status", F.when(F.col("status") == 200, services.crossref_work(F.col("body"))).alias("work"))
     requests, hits, stored = rows_of(spark, sf_dir, _REQUESTS, "documents"), rows_of(spark, sf_dir, _HITS, "supplier", "nation"), rows_of(spark, sf_dir, _STORED, "customer")
-    return resolve.fetch(requests, stored, works, entries, hits, oa).select("id", "outcome", "known", "type")
+    return resolve.fetch(requests, stored, works, entries, hits, oa), stored
+
+
+@registered(
+    f"""with recursive {_FETCHED} select id, outcome, known, first, case when made then case when arxiv_id is null or merged then 'article' else 'misc' end end as type from fetched"""
+)
+def fetch_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What becomes of DOIs, arXiv ids and texts, one after another, against answers of services, stored records and those that the batch makes."""
+    return _fetched(spark, sf_dir)[0].select("id", "outcome", "known", "first", "type")
+
+
+@registered(
+    rf"""with recursive {_FETCHED}, m as (select f.*, p.p_brand, p.p_size, p.p_name, su.s_name from fetched f left join part p on p.p_partkey = case when arxiv_id is null then f.p_partkey when merged then f.ppart end left join supplier su on su.s_suppkey = f.s_suppkey where made),
+    b as (select *, case when p_name is null then 'writer_2021' else 'brand_' || (1990 + p_size) end as base from m), k as (select *, row_number() over (partition by base order by id) as nth from b)
+    select case when nth = 1 then base else base || chr((95 + nth)::int) end as key, 'draft' as status, case when p_name is null then 'misc' else 'article' end as type, case when p_name is null then replace(s_name, '#', '\#') else p_name end as title,
+      case when p_name is null then 'Writer, Jo' else replace(p_brand, '#', '\#') || ', J' end as author, case when p_name is null then '2021' else cast(1990 + p_size as varchar) end as year,
+      case when arxiv_id is null then doi when merged then '10.1234/p' || ppart end as doi, arxiv_id, arxiv_id as eprint, 'fetch' as action from k where nth <= 27"""
+)
+def fetch_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The draft records that a batch of requests leaves behind: key, fields, identifiers and first log entry."""
+    outcomes, stored = _fetched(spark, sf_dir)
+    made = resolve.draft_records(resolve.with_keys(outcomes, stored), "2024-01-01T00:00:00Z", "fetch")
+    field = lambda n: F.try_element_at("bibtex.fields", F.lit(n)).alias(n)
+    return made.select("key", "status", "bibtex.type", field("title"), field("author"), field("year"), "doi", F.col("arxiv.id").alias("arxiv_id"), field("eprint"), F.try_element_at("log", F.lit(1))["action"].alias("action"))
 
 
 _TOLD = """
