@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.schema import EVENT, EVENT_FIELDS, RECORD, RECORD_FIELDS
-
+from vellum.session import cut
+from vellum.sources import directory
 
 _TEXT, _OBJECT, _LIST, _NUMBER, _FLAG = "STRING", "OBJECT", "ARRAY", "BIGINT", "BOOLEAN"
 _MEMBERS = {
@@ -53,12 +54,21 @@ def load_error(value: Column) -> Column:
 def scan_records(spark: SparkSession, root: str, keys: list[str] | None = None, strict: bool = True) -> DataFrame:
     """Rows of RECORD with dir_key and load_error, one for each <root>/<key>/paper.json.
 
-    keys prunes the paths that are read.  A document that is no record has a
-    load_error; with strict the whole scan fails on it when it is used.
+    keys are looked up one by one by the store's data source, with nothing
+    listed.  A document that is no record has a load_error; with strict the
+    whole scan fails on it when it is used.
     """
-    names = "{" + ",".join(sorted(set(keys))) + "}" if keys else "*"
-    raw = spark.read.text(f"{root}/{names}/paper.json", wholetext=True).select("value", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("dir_key"))
-    loaded = raw.select("dir_key", load_error(F.col("value")).alias("load_error"), F.from_json("value", RECORD).alias("r"))
+    if keys:
+        raw = directory.read_directories(spark, root, keys).where("value is not null or failure is not null").select("value", "dir_key", "failure")
+    else:
+        raw = spark.read.text(f"{root}/*/paper.json", wholetext=True).select("value", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("dir_key"), F.lit(None).cast("string").alias("failure"))
+    return load_records(raw, strict)
+
+
+def load_records(documents: DataFrame, strict: bool = True) -> DataFrame:
+    """RECORD rows with dir_key and load_error of documents (dir_key, value, failure): what could not be read has its failure as load_error."""
+    error = F.coalesce("failure", load_error(F.col("value")))
+    loaded = documents.select("dir_key", error.alias("load_error"), F.from_json("value", RECORD).alias("r"))
     if strict:
         loaded = loaded.withColumn("r", F.when(F.col("load_error").isNull(), F.col("r")).otherwise(F.raise_error(F.concat("dir_key", F.lit(": "), "load_error"))))
     return loaded.select("dir_key", "load_error", "r.*")
@@ -90,22 +100,23 @@ def entry_files(records: DataFrame, paths: DataFrame) -> DataFrame:
     return inside.join(records.select(F.col("dir_key").alias("key")), "key", "left_semi")
 
 
-def ingest_files(spark: SparkSession, paths: list[str], since: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """The files (path, modificationTime, length) that were asked for and are not too old, and (path, detail) of those that can't be taken."""
-    found, failed = [], []
-    for p in dict.fromkeys(paths):
-        at = spark._jvm.org.apache.hadoop.fs.Path(p)
-        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
-        if not fs.exists(at):
-            failed.append((p, "no such file"))
-        elif fs.getFileStatus(at).isDirectory():
-            failed.append((p, "is a directory"))
-        else:
-            found.append(p)
-    failures = spark.createDataFrame(failed, "path string, detail string")
-    if found:
-        return recent_files(spark, found, since), failures
-    return spark.createDataFrame([], "path string, modificationTime timestamp, length long"), failures
+def ingest_files(spark: SparkSession, paths: list[str] | DataFrame, since: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The files (path, modificationTime, length) that were asked for and are not too old, and (path, detail) of those that can't be taken.
+
+    paths is a list, or a table (path) of any size; tasks ask for their status.
+    """
+    asked = spark.createDataFrame([(p,) for p in paths], "path string") if isinstance(paths, list) else paths
+    status = cut(directory.file_status(asked), "asked-files")
+    found = status.where("kind = 'file'").select("path", F.col("modified").alias("modificationTime"), "length")
+    if since is not None:
+        found = found.where(F.col("modificationTime") >= _cutoff(since))
+    why = F.when(F.col("kind") == "missing", "no such file").when(F.col("kind") == "directory", "is a directory").otherwise("cannot be reached")
+    return found, status.where("kind <> 'file'").select("path", why.alias("detail"))
+
+
+def _cutoff(since: str) -> Column:
+    time = F.coalesce(F.try_to_timestamp(F.lit(since), F.lit("yyyy-MM-dd'T'HH:mm:ssXXX")), F.try_to_timestamp(F.lit(since), F.lit("yyyy-MM-dd'T'HH:mm:ss")))
+    return F.coalesce(time, F.raise_error(F.lit(f"not a time: {since}")).cast("timestamp"))
 
 
 def recent_files(spark: SparkSession, path: str | list[str], since: str | None = None) -> DataFrame:
@@ -113,8 +124,7 @@ def recent_files(spark: SparkSession, path: str | list[str], since: str | None =
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "modificationTime", "length")
     if since is None:
         return files
-    cutoff = F.coalesce(F.try_to_timestamp(F.lit(since), F.lit("yyyy-MM-dd'T'HH:mm:ssXXX")), F.try_to_timestamp(F.lit(since), F.lit("yyyy-MM-dd'T'HH:mm:ss")))
-    return files.where(F.col("modificationTime") >= F.coalesce(cutoff, F.raise_error(F.lit(f"not a time: {since}")).cast("timestamp")))
+    return files.where(F.col("modificationTime") >= _cutoff(since))
 
 
 def write_records(records: DataFrame, path: str) -> None:
