@@ -90,7 +90,7 @@ def test_a_killed_write_leaves_the_last_version(spark, tmp_path, monkeypatch):
     broken = rows(spark, ("a", "new"), ("b", "new")).withColumn("status", F.when(F.col("key") == "b", F.raise_error(F.lit("stop"))).otherwise(F.col("status")))
     with pytest.raises(Exception, match="stop"):
         snapshots.commit(spark, root, broken)
-    monkeypatch.setattr(snapshots, "_publish", lambda *a: (_ for _ in ()).throw(KeyboardInterrupt()))  # killed between data and manifest
+    monkeypatch.setattr(snapshots, "publish", lambda *a: (_ for _ in ()).throw(KeyboardInterrupt()))  # killed between data and manifest
     with pytest.raises(KeyboardInterrupt):
         snapshots.commit(spark, root, rows(spark, ("a", "new")))
     monkeypatch.undo()

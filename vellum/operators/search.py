@@ -44,20 +44,32 @@ def _total(scores: Column) -> Column:
     return F.aggregate(scores, F.lit(0.0), lambda a, b: a + b)
 
 
-def search(records: DataFrame, terms: list[str]) -> DataFrame:
-    """records that match every term in some field, with score, the best first.
+def folded_fields() -> Column:
+    """The columns of WEIGHTS as terms are compared with them; nulls are empty."""
+    wanted = {n: F.coalesce(F.col(n), F.lit("")) for n in WEIGHTS}
+    return F.struct(*((F.lower(c) if n in AS_WRITTEN else tex.fold(c)).alias(n) for n, c in wanted.items()))
+
+
+def score_of(fields: Column, terms: list[str], folded: list[str]) -> Column:
+    """An array of the score of folded_fields(), empty if a term has none."""
+    score = lambda f: _total(F.array(*(_weight(t, w, f) for t, w in zip(terms, folded, strict=True))) if terms else F.array(F.lit(0.0)))
+    return F.filter(F.transform(F.array(fields), score), lambda s: s.isNotNull())
+
+
+def search(records: DataFrame, terms: list[str], k: int | None = None) -> DataFrame:
+    """records that match every term in some field, with score, the best first; the first k of them, if k is given.
 
     records has the columns of WEIGHTS as strings.  A term is folded as fields
     are, TeX included; it takes its best field and the score is the sum.  The
     score is made inside one generator, so that a filter on it folds no field a
-    second time.
+    second time.  For the first k, tasks keep k keys with their scores each, and
+    only the records of those that are left are fetched; keys are unique then.
     """
-    folded = records.sparkSession.range(1).select(*(tex.fold(F.lit(t)) for t in terms)).first() if terms else []
-    wanted = {n: F.coalesce(F.col(n), F.lit("")) for n in WEIGHTS}
-    fields = F.struct(*((F.lower(c) if n in AS_WRITTEN else tex.fold(c)).alias(n) for n, c in wanted.items()))
-    score = lambda f: _total(F.array(*(_weight(t, w, f) for t, w in zip(terms, folded, strict=True))) if terms else F.array(F.lit(0.0)))
-    found = F.filter(F.transform(F.array(fields), score), lambda s: s.isNotNull())
-    hits = records.select("*", F.explode(found).alias("score"))
+    folded = list(records.sparkSession.range(1).select(*(tex.fold(F.lit(t)) for t in terms)).first()) if terms else []
+    if k is not None:
+        best = records.select("key", F.explode(score_of(folded_fields(), terms, folded)).alias("score")).orderBy(F.desc("score"), "key").limit(k)
+        return records.join(F.broadcast(best), "key").select(*records.columns, "score").orderBy(F.desc("score"), "key")
+    hits = records.select("*", F.explode(score_of(folded_fields(), terms, folded)).alias("score"))
     return hits.repartition("key").orderBy(F.desc("score"), "key")  # the sort samples its input first: it reads the hits twice, not the folding
 
 

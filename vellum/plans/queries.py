@@ -231,4 +231,4 @@ def parse_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select("c_custkey", F.size("n").alias("n_names"), names.full_name(F.col("n")[0]).alias("first_full"), names.full_name(F.col("n")[1]).alias("second_full"))
 
 
-from vellum.plans import papers  # noqa: E402, F401  (registers its queries)
+from vellum.plans import papers, stores  # noqa: E402, F401  (registers their queries)

@@ -75,7 +75,7 @@ def snapshot(spark: SparkSession, root: str, version: int | None = None) -> Snap
     return Snapshot(version, tuple((p["version"], p["path"]) for p in said["parts"]))
 
 
-def _publish(spark: SparkSession, root: str, made: Snapshot) -> bool:
+def publish(spark: SparkSession, root: str, made: Snapshot) -> bool:
     """Write the manifest of a version; false if it has one already."""
     fs, draft = _path(spark, f"{root}/commits/.{uuid.uuid4().hex}")
     _, final = _path(spark, f"{root}/commits/{made.version:020d}.json")
@@ -144,7 +144,7 @@ def commit(spark: SparkSession, root: str, changed: DataFrame | None = None, rem
                 raise CommitConflict(newest.version, found)
             before = newest
         made = Snapshot(newest.version + 1, (*newest.parts, (newest.version + 1, name)))
-        if _publish(spark, root, made):
+        if publish(spark, root, made):
             return made.version
 
 
@@ -198,7 +198,7 @@ def compact(spark: SparkSession, root: str) -> int:
     if len(at.parts) <= 1:
         return at.version
     name = _write(spark, root, _rows(spark, root, at).repartitionByRange("key"), None)
-    if not _publish(spark, root, Snapshot(at.version + 1, ((at.version, name),))):
+    if not publish(spark, root, Snapshot(at.version + 1, ((at.version, name),))):
         _drop(spark, root, name)
         raise CommitConflict(at.version + 1, [])
     return at.version + 1
