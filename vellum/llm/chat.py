@@ -73,14 +73,15 @@ class Windows:
         if self.new and self.tokens + tokens > self.budget:
             done = self.close()
         if not self.new:
-            room = self.budget - tokens - (self.system[2] if self.system else 0)
-            keep = []
+            room, keep = self.budget - tokens, []
+            system = [self.system] if self.system and self.system[2] <= (room if room >= 0 else self.budget) else []
+            room -= sum(c[2] for c in system)
             for old in reversed(self.last):
                 room -= old[2]
                 if room < 0:
                     break
                 keep.insert(0, old)
-            self.context = ([self.system] if self.system else []) + keep
+            self.context = system + keep
             self.tokens = sum(c[2] for c in self.context)
         entry = (role, turn, tokens, at)
         self.new.append(entry)
@@ -108,9 +109,11 @@ def format_chat(conversations: DataFrame, budget: int = BUDGET, history: int = H
     """Windows of conversations (conv_id, turn, role, text): WINDOWS, loss as code-point spans of text.
 
     Turns go by turn number, equal ones by role and text.  A null text or role
-    is empty.  Each row with a null conv_id is a conversation of its own.  A
-    turn that alone exceeds the budget has a window to itself, with the system
-    turn.  Repeated rows are turns of their own; other columns are ignored; an
+    is empty.  Each row with a null conv_id is a conversation of its own.  No
+    window has more tokens than the budget, unless a turn alone exceeds it, which
+    then is the window's only new one.  The system turn is repeated where it fits
+    beside the first new turn, and before a turn that alone exceeds the budget
+    where it would fit by itself; other windows go without it.  Repeated rows are turns of their own; other columns are ignored; an
     empty table gives no window.  A conversation is streamed in turn order, so
     its length isn't held in memory.
     """
