@@ -25,7 +25,7 @@ from vellum.llm.rolling import runs
 from vellum.session import cut, ship_package
 
 COSINE = 0.93
-TABLES = 4
+LEAST_TABLES = 4
 PROBES = 2
 CHUNK = 1024
 LARGE_BUCKETS = 50_000
@@ -63,13 +63,18 @@ def codes(x: np.ndarray, table: int, probes: int, seed: int = 11) -> np.ndarray:
     return np.take_along_axis(code, order, 1)
 
 
+def tables_for(dims: int) -> int:
+    """Tables that find pairs at the bound in vectors of a length: one more for each doubling beyond 64, as hashes part more pairs there."""
+    return max(LEAST_TABLES, (dims - 1).bit_length() - 2)
+
+
 def _mix(label: np.ndarray, table: int, code: np.ndarray) -> np.ndarray:
     h = (label.astype(np.uint64) * np.uint64(1_000_003) + np.uint64(table)) * np.uint64(0x9E3779B97F4A7C15) + code.astype(np.uint64)
     h = (h ^ h >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
     return (h ^ h >> np.uint64(27)).view(np.int64)
 
 
-def _hash(tables: int, probes: int, names: list[str]):
+def _hash(tables: int | None, probes: int, names: list[str]):
     """Adds buckets to rows with label_hash and vector: for each table the own one, then those to visit."""
     at, by = names.index("vector"), names.index("label_hash")
 
@@ -82,7 +87,7 @@ def _hash(tables: int, probes: int, names: list[str]):
                     part = batch.take(pa.array(rows[first : first + 2000]))
                     unit = _unit(part.column(at).flatten().to_numpy(zero_copy_only=False).reshape(-1, d))
                     label = part.column(by).to_numpy()
-                    buckets = np.concatenate([_mix(label[:, None], t, codes(unit, t, probes)) for t in range(tables)], 1)
+                    buckets = np.concatenate([_mix(label[:, None], t, codes(unit, t, probes)) for t in range(tables or tables_for(int(d)))], 1)
                     lists = pa.ListArray.from_arrays(pa.array(np.arange(0, buckets.size + 1, buckets.shape[1], dtype=np.int32)), pa.array(buckets.ravel()))
                     yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*names, "buckets"])
 
@@ -158,11 +163,11 @@ def _verify(cosine: float, probes: int):
             vectors, buckets = batch.column(6), batch.column(7)
             dims = np.diff(vectors.offsets.to_numpy())
             numbers, edge = vectors.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(dims)])
-            buckets = buckets.flatten().to_numpy().reshape(batch.num_rows, -1, probes)
+            visited, place = buckets.flatten().to_numpy(), np.concatenate([[0], np.cumsum(np.diff(buckets.offsets.to_numpy()))])
             for first, n in zip(*(x.tolist() for x in runs(bucket, chunk, dims, resident)), strict=True):
                 here = (bucket[first], chunk[first], dims[first], table[first])
                 x = _unit(numbers[edge[first] : edge[first + n]].reshape(n, -1))
-                rows = (ids[first : first + n], m[first : first + n], x, buckets[first : first + n])
+                rows = (ids[first : first + n], m[first : first + n], x, visited[place[first] : place[first + n]].reshape(n, -1, probes))
                 if key != here:
                     gather()
                     key, home = here, None
@@ -201,7 +206,7 @@ def links_of(kinds: DataFrame, cosine: float = COSINE, probes: int = PROBES, chu
     return ordered.mapInArrow(_verify(cosine, probes), "id long, links long, least long")
 
 
-def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, tables: int = TABLES, probes: int = PROBES, chunk: int = CHUNK) -> DataFrame:
+def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, tables: int | None = None, probes: int = PROBES, chunk: int = CHUNK) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of embeddings (vec_id, embedding, label).
 
     Two vectors link if their labels are equal and not null and the cosine in
