@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.operators import search, search_index
-from vellum.plans.papers import PAPERS, paper_records
+from vellum.operators import recheck, search, search_index
+from vellum.plans.papers import _FILES, PAPERS, paper_records
 from vellum.plans.queries import _SQL_DOCS, _doc_records, _sql_fold, _sql_term
-from vellum.plans.registry import registered
+from vellum.plans.registry import SQL, registered, rows_of
 from vellum.schema import RECORD_FIELDS
-from vellum.session import scratch_path, table
+from vellum.session import scratch_path, ship_package, table
 from vellum.sources import directory, snapshots, store
 
 
@@ -73,3 +73,19 @@ def search_best(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = search.search(_doc_records(table(spark, sf_dir, "documents")), ["Réeu", "src1"], 20)
     return found.select("key", "score", tex.fold(F.col("title")).alias("title"))
+
+
+@registered(SQL["check_store"])
+def check_again(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All problems of a store after changes of many kinds, of which only the changed entries were checked anew."""
+    ship_package(spark)
+    root, papers = scratch_path(spark, "problems"), paper_records(spark, sf_dir).drop("doc_id")
+    files = rows_of(spark, sf_dir, f"{_FILES.replace('from p', f'from ({PAPERS}) p')}", "documents").select(F.col("dir_key").alias("key"), "name", "is_dir")
+    n = lambda c, m: F.pmod(F.regexp_extract(c, "[0-9]+", 0).cast("int"), F.lit(m))
+    before = papers.where(n("dir_key", 9) != 0).withColumn("status", F.when(n("dir_key", 4) == 0, "other").otherwise(F.col("status")))
+    before = before.unionByName(papers.where(n("dir_key", 3) == 0).withColumn("dir_key", F.concat(F.lit("gone"), "dir_key")))
+    held = files.where((n("key", 5) != 0) | (F.col("name") == "v1"))
+    path = F.concat_ws("/", "key", "name").alias("path")
+    recheck.update(spark, root, before, held, held.select(path))
+    recheck.update(spark, root, papers, files, files.select(path))
+    return recheck.stored_problems(spark, root).select("key", "msg")
