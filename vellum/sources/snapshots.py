@@ -34,10 +34,11 @@ class CommitConflict(RuntimeError):
 
 @dataclass(frozen=True)
 class Snapshot:
-    """A version and its parts, (version, folder) with the oldest first."""
+    """A version, its parts, (version, folder) with the oldest first, and the last batch that each writer of batches has committed."""
 
     version: int = 0
     parts: tuple[tuple[int, str], ...] = ()
+    batches: tuple[tuple[str, int], ...] = ()
 
 
 def _schema() -> StructType:
@@ -72,7 +73,7 @@ def snapshot(spark: SparkSession, root: str, version: int | None = None) -> Snap
         said = json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
     finally:
         stream.close()
-    return Snapshot(version, tuple((p["version"], p["path"]) for p in said["parts"]))
+    return Snapshot(version, tuple((p["version"], p["path"]) for p in said["parts"]), tuple(sorted(said.get("batches", {}).items())))
 
 
 def publish(spark: SparkSession, root: str, made: Snapshot) -> bool:
@@ -80,7 +81,7 @@ def publish(spark: SparkSession, root: str, made: Snapshot) -> bool:
     fs, draft = _path(spark, f"{root}/commits/.{uuid.uuid4().hex}")
     _, final = _path(spark, f"{root}/commits/{made.version:020d}.json")
     stream = fs.create(draft, True)
-    stream.write(bytearray(json.dumps({"version": made.version, "parts": [{"version": v, "path": p} for v, p in made.parts]}), "utf-8"))
+    stream.write(bytearray(json.dumps({"version": made.version, "parts": [{"version": v, "path": p} for v, p in made.parts], "batches": dict(made.batches)}), "utf-8"))
     stream.close()
     jvm = spark._jvm
     try:
@@ -126,28 +127,43 @@ def _drop(spark: SparkSession, root: str, name: str) -> None:
     fs.delete(path, True)
 
 
-def commit(spark: SparkSession, root: str, changed: DataFrame | None = None, removed: DataFrame | None = None, base: int | None = None) -> int:
+def commit(spark: SparkSession, root: str, changed: DataFrame | None = None, removed: DataFrame | None = None, base: int | None = None, batch: tuple[str, int] | None = None) -> int:
     """Store whole records (RECORD) and remove keys (key), all of them or none; the new version.
 
     base is the version that the caller has read, the last one if it isn't
     given.  A writer that was overtaken goes on from the newer version if that
-    has changed other records only, and gets CommitConflict otherwise.
+    has changed other records only, and gets CommitConflict otherwise.  batch
+    names a writer and the number of its batch: a number that it has committed
+    before, or a lower one, changes nothing.
     """
     before = snapshot(spark, root, base)
+    if _is_done(snapshot(spark, root) if batch else before, batch):
+        return snapshot(spark, root).version
     name = _write(spark, root, changed, removed)
     while True:
         newest = snapshot(spark, root)
+        if _is_done(newest, batch):  # another copy of the same writer was faster
+            _drop(spark, root, name)
+            return newest.version
         if newest.version > before.version:
             found = _touched(spark, root, before, newest, name)
             if found:
                 _drop(spark, root, name)
                 raise CommitConflict(newest.version, found)
             before = newest
-        made = Snapshot(newest.version + 1, (*newest.parts, (newest.version + 1, name)))
+        made = Snapshot(newest.version + 1, (*newest.parts, (newest.version + 1, name)), _with(newest, batch))
         if publish(spark, root, made):
             return made.version
 
 
+def _is_done(at: Snapshot, batch: tuple[str, int] | None) -> bool:
+    return batch is not None and dict(at.batches).get(batch[0], -1) >= batch[1]
+
+
+def _with(at: Snapshot, batch: tuple[str, int] | None) -> tuple[tuple[str, int], ...]:
+    return tuple(sorted((dict(at.batches) | dict([batch] if batch else [])).items()))
+
+
 def _touched(spark: SparkSession, root: str, before: Snapshot, newest: Snapshot, name: str) -> list[str]:
     """Some keys of a part that versions after `before` may have changed.  Where those were compacted, all their keys count, and keys that have gone."""
     theirs = [_part(spark, root, p).select("key") for v, p in newest.parts if v > before.version]
@@ -198,7 +214,7 @@ def compact(spark: SparkSession, root: str) -> int:
     if len(at.parts) <= 1:
         return at.version
     name = _write(spark, root, _rows(spark, root, at).repartitionByRange("key"), None)
-    if not publish(spark, root, Snapshot(at.version + 1, ((at.version, name),))):
+    if not publish(spark, root, Snapshot(at.version + 1, ((at.version, name),), at.batches)):
         _drop(spark, root, name)
         raise CommitConflict(at.version + 1, [])
     return at.version + 1
