@@ -58,7 +58,7 @@ def test_empty_folders_are_seen_by_the_check(spark, root):
     rows = directory.read_directories(spark, root)
     papers = store.load_records(rows.where("value is not null"), strict=False)
     found = check.fsck(papers.where("load_error is null"), directory.directory_files(rows), spark.createDataFrame([], "path string"))
-    assert sorted((r["key"], r["msg"]) for r in found.collect()) == [("key00", 'directory "empty" is present but not listed in versions'), ("key00", 'file "a.pdf" is present but not listed in versions')]
+    assert sorted((r["key"], r["msg"]) for r in found.collect()) == [("key00", 'directory "empty" belongs to no version'), ("key00", 'file "a.pdf" belongs to no version')]
 
 
 def test_status_and_asked_files(spark, root):

@@ -46,7 +46,7 @@ def test_fetch(spark, answers):
     assert [tuple(d) for d in got[5]["downloads"]] == [("https://arxiv.org/pdf/2001.00001v3", "arxiv-2001.00001v3.pdf"), ("https://arxiv.org/e-print/2001.00001v3", "arxiv-2001.00001v3/")]
     assert got[6]["fields"]["author"] == "Roe, Jane van and Plato" and got[6]["fields"]["title"] == "A Preprint on {NATO}" and got[6]["type"] == "misc" and got[6]["pending"] == drafts.PENDING
     assert got[7]["downloads"][0]["name"] == "arxiv-math-0101001.pdf" and "404" in got[7]["pending"] and got[7]["pending"].startswith(drafts.PENDING + "; ")
-    assert [tuple(d) for d in got[0]["downloads"]] == [("http://x/a.pdf", "published.pdf")] and got[3]["detail"].split("\n")[0] == "authors: Jane Doe" and got[3]["detail"].endswith("unpaywall: is_oa=false, no open-access location on record")
+    assert [tuple(d) for d in got[0]["downloads"]] == [("http://x/a.pdf", "published.pdf")] and got[3]["detail"].split("\n")[0] == "authors: Jane Doe" and got[3]["detail"].endswith("unpaywall: no free copy known")
     assert got[12]["candidates"] == ["10.1000/a (9.0)", "10.1000/d (8.0)"] and got[14]["candidates"] is None
     rows = {(r["input"], r["outcome"], r["source"]) for r in resolve.events(out, "2024-01-01T00:00:00", "fetch").collect()}
     assert {("doi", "ok", "crossref"), ("arxiv", "ok", "arxiv"), ("text", "ambiguous", "crossref")} <= rows

@@ -91,8 +91,8 @@ def test_whole_check(spark, root, tmp_path):
     papers, paths = store.scan_records(spark, root, strict=False), store.store_paths(spark, root)
     files = store.entry_files(papers, paths)
     lines = [r["line"] for r in check.problem_lines(check.check_all(papers, files, paths)).collect()]
-    assert {'gross_1963: error: versions: "a.pdf" is listed but missing on disk', 'gross_1963: error: file "b.pdf" is present but not listed in versions', 'gross_1963: error: directory "src" is present but not listed in versions'} <= set(lines)
-    assert {"odd: error: cannot load entry: unknown member colour", "bad: error: cannot load entry: not a JSON object", "odd: error: sync-conflict file found: odd/x.sync-conflict-1.txt"} <= set(lines)
+    assert {'gross_1963: error: no file for version "a.pdf"', 'gross_1963: error: file "b.pdf" belongs to no version', 'gross_1963: error: directory "src" belongs to no version'} <= set(lines)
+    assert {"odd: error: no readable record: unknown member colour", "bad: error: no readable record: not a JSON object", "odd: error: conflicting copy odd/x.sync-conflict-1.txt"} <= set(lines)
     assert lines == sorted(lines, key=lambda x: x.split(":")[0]) and lines[0].startswith("bad: ")
     assert store.load_config(spark, root) == {}
     (tmp_path / "config.json").write_text('{"email": "a@b.c"}')

@@ -69,8 +69,8 @@ def merge_published(preprints: DataFrame, works: DataFrame) -> DataFrame:
     joined = preprints.join(facts.select(F.col("asked").alias("_asked"), F.struct("status", "p").alias("_said")), F.col("doi") == F.col("_asked"), "left")
     p = F.col("_said.p")
     good = F.coalesce(p.isNotNull() & p["error"].isNull(), F.lit(False))
-    failed = F.concat(F.lit("lookup of "), F.col("doi"), F.lit(" failed ("), F.coalesce(F.col("_said.status").cast("string"), F.lit("no answer")), F.lit("); published metadata is missing"))
-    unusable = F.concat(F.lit("record "), F.col("doi"), F.lit(" is unusable ("), p["error"], F.lit("); published metadata is missing"))
+    failed = F.concat(F.lit("preprint only: asked for "), F.col("doi"), F.lit(", got "), F.coalesce(F.col("_said.status").cast("string"), F.lit("no answer")))
+    unusable = F.concat(F.lit("preprint only: the record of "), F.col("doi"), F.lit(" has a fault, "), p["error"])
     note = F.when(F.col("doi").isNotNull() & ~good, F.when(p.isNull(), failed).otherwise(unusable))
     pick = lambda n, own=None: F.when(good, p[n]).otherwise(F.col(n) if own is None else own).alias(n)
     fields = F.when(good, merge(p["fields"], F.col("fields"))).otherwise(F.col("fields")).alias("fields")

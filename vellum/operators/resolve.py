@@ -31,6 +31,7 @@ _TYPES = {
 }
 
 
+EARLIEST_YEAR, LATEST_YEAR = 1800, 2099
 CREATING = ("ok", "no-oa-route")  # the outcomes that leave a record behind
 
 
@@ -119,7 +120,9 @@ def resolve_preprints(requests: DataFrame, stored: DataFrame, entries: DataFrame
 
 
 def _years(text: Column) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit(r"\b(1[89][0-9]{2}|20[0-9]{2})\b"), F.lit(1)), lambda y: y.cast("int"))
+    """The numbers of four digits in a text that can be years."""
+    numbers = F.transform(F.regexp_extract_all(text, F.lit(r"\b[0-9]{4}\b"), F.lit(0)), lambda y: y.cast("int"))
+    return F.filter(numbers, lambda y: y.between(EARLIEST_YEAR, LATEST_YEAR))
 
 
 def fetch(requests: DataFrame, stored: DataFrame, works: DataFrame, entries: DataFrame, hits: DataFrame, oa: DataFrame) -> DataFrame:

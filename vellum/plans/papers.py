@@ -113,10 +113,10 @@ union all select dir_key, 'a.sync-conflict-1', false, doc_id from p where doc_id
     f"""with p0 as ({PAPERS}), p as (select * from p0 where load_error is null), {_CHARS}, problems as ({_RULES}),
     v as (select dir_key, 'v' || i as name from (select dir_key, unnest(range(1, 2 + doc_id % 3)) as i from p)),
     f as ({_FILES.replace("from p", "from p0")}), good as (select f.* from f semi join p using (dir_key))
-    select key, msg from problems union all select dir_key, 'cannot load entry: ' || load_error from p0 where load_error is not null
-    union all select dir_key, 'versions: "' || name || '" is listed but missing on disk' from (select dir_key, name from v except select dir_key, name from f)
-    union all select dir_key, case when is_dir then 'directory' else 'file' end || ' "' || name || '" is present but not listed in versions' from good where name not in ('v1', 'paper.json') and not contains(name, 'sync-conflict')
-    union all select dir_key, 'sync-conflict file found: ' || dir_key || '/' || name from f where contains(name, 'sync-conflict')"""
+    select key, msg from problems union all select dir_key, 'no readable record: ' || load_error from p0 where load_error is not null
+    union all select dir_key, 'no file for version "' || name || '"' from (select dir_key, name from v except select dir_key, name from f)
+    union all select dir_key, case when is_dir then 'directory' else 'file' end || ' "' || name || '" belongs to no version' from good where name not in ('v1', 'paper.json') and not contains(name, 'sync-conflict')
+    union all select dir_key, 'conflicting copy ' || dir_key || '/' || name from f where contains(name, 'sync-conflict')"""
 )
 def check_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Load failures, rules, files and conflicts in one result."""
@@ -331,8 +331,8 @@ _PREPRINTS = "select s_suppkey as id, s_name as title, case when s_suppkey % 3 =
 
 @registered(
     f"""with s as ({_PREPRINTS}), w as ({_WORKS}) select id, case when good then p_name else s.title end as title, case when good then 'article' else 'misc' end as type, '2101.' || id as eprint,
-      'note' || case when s.doi is null or good then '' when w.status = 200 then '; record ' || s.doi || ' is unusable (missing title); published metadata is missing'
-        else '; lookup of ' || s.doi || ' failed (' || coalesce(cast(w.status as varchar), 'no answer') || '); published metadata is missing' end as pending
+      'note' || case when s.doi is null or good then '' when w.status = 200 then '; preprint only: the record of ' || s.doi || ' has a fault, missing title'
+        else '; preprint only: asked for ' || s.doi || ', got ' || coalesce(cast(w.status as varchar), 'no answer') end as pending
     from (select s.*, w.status, part.p_name, coalesce(w.status = 200 and w.p_partkey % 11 <> 0, false) as good from s left join w on w.doi = s.doi left join part on part.p_partkey = w.p_partkey) s left join w on w.doi = s.doi"""
 )
 def preprint_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
