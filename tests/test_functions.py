@@ -53,12 +53,13 @@ def test_titles_pages_lines(spark):
         ("Ford, Jr, Henry and {Big and Co}", [("Henry", "", "Ford", "Jr"), ("", "", "{Big and Co}", "")]), ("D.E. Knuth", [("D. E.", "", "Knuth", "")]),
     ],
 )
-def test_names(author, expected):
-    assert [tuple(n.values()) for n in names.parse_list(author)["names"]] == expected
+def test_names(spark, author, expected):
+    assert [tuple(n) for n in values(spark, names.parse_names, [author])[0]["names"]] == expected
 
 
-def test_bad_names():
-    assert names.parse_list("a, b, c, d")["error"] and names.parse_list(", x")["error"] and names.parse_list("") == {"names": [], "error": None}
+def test_bad_names(spark):
+    many, none, empty = values(spark, names.parse_names, ["a, b, c, d", ", x", ""])
+    assert many["error"] and none["error"] and empty.asDict() == {"names": [], "error": None}
 
 
 def test_refs(spark):

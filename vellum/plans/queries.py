@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import unicodedata
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -209,23 +207,31 @@ def truncate_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", tex.truncate(F.col("text"), 100).alias("line"))
 
 
-def _encoded_letters() -> dict[str, str]:
-    letters = [c for c in map(chr, range(0xC0, 0x180)) if len(unicodedata.normalize("NFD", c)) == 2 or c in tex.LITERALS.values()]
-    return {c: tex._encode_text(c) for c in [*letters, *"&%#_–—"]}
-
-
-_ENCODED = "map {" + ", ".join("'" + k + "': '" + v.replace("'", "''") + "'" for k, v in _encoded_letters().items()) + "}"
+# How TeX writes accents, each with the letters that have it, and letters with macros of their own.
+_ACCENTS = (
+    ("`", "ÀÈÌÒÙàèìòù"), ("''", "ÁÉÍÓÚÝáéíóúýĆćĹĺŃńŔŕŚśŹź"), ("^", "ÂÊÎÔÛâêîôûĈĉĜĝĤĥĴĵŜŝŴŵŶŷ"), ("~", "ÃÑÕãñõĨĩŨũ"), ('"', "ÄËÏÖÜäëïöüÿŸ"), ("=", "ĀāĒēĪīŌōŪū"), (".", "ĊċĖėĠġİŻż"),
+)
+_NAMED_ACCENTS = (("c", "ÇçĢģĶķĻļŅņŖŗŞşŢţ"), ("u", "ĂăĔĕĞğĬĭŎŏŬŭ"), ("v", "ČčĎďĚěĽľŇňŘřŠšŤťŽž"), ("H", "ŐőŰű"))
+_OWN_MACROS = (("ss", "ß"), ("ae", "æ"), ("AE", "Æ"), ("o", "ø"), ("O", "Ø"), ("aa", "å"), ("AA", "Å"), ("l", "ł"), ("L", "Ł"))
+_ENCODED = (
+    "case " + " ".join(f"when contains('{letters}', c) then '{{\\{mark}' || strip_accents(c) || '}}'" for mark, letters in _ACCENTS) + " "
+    + " ".join(f"when contains('{letters}', c) then '{{\\{mark}{{' || strip_accents(c) || '}}}}'" for mark, letters in _NAMED_ACCENTS) + " "
+    + " ".join(f"when c = '{letter}' then '{{\\{macro}}}'" for macro, letter in _OWN_MACROS) + r" when contains('&%#_', c) then '\' || c when c = '–' then '--' when c = '—' then '---' else c end"
+)
 
 
-@registered(f"select doc_id, md5(array_to_string(list_transform(string_split(text, ''), lambda c: coalesce({_ENCODED}[c], c)), '')) as encoded from documents")
+@registered(f"select doc_id, md5(array_to_string(list_transform(string_split(text, ''), lambda c: {_ENCODED}), '')) as encoded from documents")
 def tex_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(tex.encode("text")).alias("encoded"))
 
 
-@registered("select c_custkey, 2 as n_names, c_mktsegment || ' ' || replace(c_name, '#', '') as first_full, 'Jan van der ' || c_mktsegment || ', Jr' as second_full from customer")
+@registered(
+    """with a as (select c_custkey, string_split(replace(c_name, '#', '') || ', ' || c_mktsegment || ' and van der ' || c_mktsegment || ', Jr, Jan', ' and ') as a from customer),
+    p as (select c_custkey, len(a) as n_names, string_split(a[1], ', ') as x, string_split(a[2], ', ') as y from a)
+    select c_custkey, n_names, x[2] || ' ' || x[1] as first_full, y[3] || ' ' || y[1] || ', ' || y[2] as second_full from p"""
+)
 def parse_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship_package(spark)
     authors = F.concat(F.regexp_replace("c_name", "#", ""), F.lit(", "), "c_mktsegment", F.lit(" and van der "), "c_mktsegment", F.lit(", Jr, Jan"))
     n = table(spark, sf_dir, "customer").select("c_custkey", names.parse_names(authors)["names"].alias("n"))
     return n.select("c_custkey", F.size("n").alias("n_names"), names.full_name(F.col("n")[0]).alias("first_full"), names.full_name(F.col("n")[1]).alias("second_full"))
