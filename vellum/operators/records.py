@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from vellum.functions import refs, tex
 from vellum.schema import FIELD_ORDER
+from vellum.session import cut
 
 RATIO = 1.3
 SIMILAR = 0.8
@@ -173,24 +174,55 @@ def batch_summary(outcomes: DataFrame) -> DataFrame:
     return batch_summaries(outcomes)
 
 
-def similar_titles(left: DataFrame, right: DataFrame, least: float = SIMILAR) -> DataFrame:
+WORD_ROWS = 4096
+
+
+def similar_titles(left: DataFrame, right: DataFrame, least: float = SIMILAR, word_rows: int = WORD_ROWS) -> DataFrame:
     """(left_id, right_id, similarity) of rows (id, words) whose distinct words have a Jaccard similarity of at least `least`.
 
     Words are ordered by how rare they are; two sets that alike share one of
-    their first n - ceil(least * n) + 1 words, so only those are joined.
+    their first n - ceil(least * n) + 1 words, so only those are joined.  Sizes,
+    and the places of the word in both sets, bound what a pair can share; a pair
+    is looked at where the first word that both beginnings share meets.  The
+    right rows of a word that many sets hold are dealt to one task for
+    `word_rows` sets each, and the left ones are sent to all of these.  Null and
+    empty sets are like nothing.
     """
     sets = [d.select("id", F.array_distinct("words").alias("w")).where("size(w) > 0") for d in (left, right)]
     counts = sets[0].unionByName(sets[1]).select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
-    def prefixes(d: DataFrame) -> DataFrame:
+    def prefixes(d: DataFrame, side: str) -> DataFrame:
         ranked = d.select("id", F.explode("w").alias("word")).join(counts, "word").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("s"))
-        n = F.size("s")
-        return ranked.select("id", F.transform("s", lambda x: x["word"]).alias("w"), F.explode(F.slice(F.col("s"), F.lit(1), n - F.ceil(n * least - 1e-9).cast("int") + 1)).alias("p")).select("id", "w", F.col("p.word").alias("word"))
-
-    a, b = (prefixes(d) for d in sets)
-    met = a.select(F.col("id").alias("left_id"), F.col("w").alias("lw"), "word").join(b.select(F.col("id").alias("right_id"), F.col("w").alias("rw"), "word"), "word")
-    met = met.where((F.size("lw") >= F.size("rw") * least - 1e-9) & (F.size("rw") >= F.size("lw") * least - 1e-9))
-    return met.withColumn("similarity", tex.similarity(F.col("lw"), F.col("rw"))).where(F.col("similarity") >= least - 1e-12).select("left_id", "right_id", "similarity").distinct()
+        first = F.slice("s", F.lit(1), F.size("s") - F.ceil(F.size("s") * least - 1e-9).cast("int") + 1)
+        words = lambda c: F.transform(c, lambda x: x["word"])
+        rows = ranked.select(F.col("id").alias(f"{side}_id"), words(F.col("s")).alias(f"{side}_w"), words(first).alias(f"{side}_p"), F.posexplode(first).alias(f"{side}_at", "_x"))
+        return rows.select("*", F.col("_x.word").alias("word"), F.ceil(F.col("_x.n") / word_rows).cast("int").alias("_parts")).drop("_x")
+
+    a = prefixes(sets[0], "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    b = prefixes(sets[1], "right").withColumn("part", F.pmod(F.xxhash64("right_id"), F.col("_parts")).cast("int")).drop("_parts")
+    n, m = F.size("left_w"), F.size("right_w")
+    both = F.least(n - F.col("left_at"), m - F.col("right_at"))  # no word before this one is shared
+    fits = (n >= m * least - 1e-9) & (m >= n * least - 1e-9) & (both * (1 + least) >= (n + m) * least - 1e-9)
+    here = F.try_element_at(F.array_intersect("left_p", "right_p"), F.lit(1)) == a["word"]
+    met = a.join(b, (a["word"] == b["word"]) & (a["part"] == b["part"]) & fits & here)
+    return met.withColumn("similarity", tex.similarity(F.col("left_w"), F.col("right_w"))).where(F.col("similarity") >= least - 1e-12).select("left_id", "right_id", "similarity")
+
+
+def best_titles(left: DataFrame, right: DataFrame, least: float = SIMILAR, word_rows: int = WORD_ROWS) -> DataFrame:
+    """left (id, words) with best, the id of the row of right (id, words) whose words are most like it, and similarity; of equal ones the smallest id, null where none reaches `least`.
+
+    Rows of equal word sets are one on either side, so copies of a title are
+    compared once; ids of right are not null.  Empty and null word sets have no
+    best one.
+    """
+    sets = lambda d: d.select("id", F.array_sort(F.array_distinct(F.coalesce("words", F.array().cast("array<string>")))).alias("_w"))
+    classes = lambda d: sets(d).groupBy("_w").agg(F.min("id").alias("id"))
+    mine = cut(sets(left).groupBy("_w").agg(F.count("*").alias("_m")).select(F.monotonically_increasing_id().alias("_c"), "_w"), "title-classes")
+    pairs = similar_titles(mine.select(F.col("_c").alias("id"), F.col("_w").alias("words")), classes(right).select("id", F.col("_w").alias("words")), least, word_rows)
+    best = pairs.groupBy(F.col("left_id").alias("_c")).agg(F.min_by(F.struct("right_id", "similarity"), F.struct(-F.col("similarity"), "right_id")).alias("_b"))
+    found = mine.join(best, "_c").select("_w", F.col("_b.right_id").alias("best"), F.col("_b.similarity").alias("similarity"))
+    own = left.withColumn("_w", F.array_sort(F.array_distinct(F.coalesce("words", F.array().cast("array<string>")))))
+    return own.join(found, "_w", "left").select(*left.columns, "best", "similarity")
 
 
 def union_candidates(parts: list[tuple[str, DataFrame]]) -> DataFrame:

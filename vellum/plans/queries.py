@@ -42,6 +42,18 @@ def search_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where("quality = 1").select("key", "score", "quality")
 
 
+@registered(
+    f"with t as (select doc_id, list_sort(list_distinct(regexp_extract_all({_sql_fold('string_split(text, chr(10))[1]')}, '[\\p{{L}}\\p{{Nd}}]+'))) as w from documents), "
+    "s as (select a.doc_id, b.doc_id as best, len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) as similarity from t a join t b on a.doc_id % 2 = 0 and b.doc_id % 2 = 1 and len(a.w) > 0 and len(b.w) > 0), "
+    "r as (select *, row_number() over (partition by doc_id order by similarity desc, best) as n from s where similarity >= 0.8) "
+    "select doc_id, best, similarity from t left join (select doc_id, best, similarity from r where n = 1) using (doc_id) where doc_id % 2 = 0"
+)
+def best_title_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For the title of every second document the most similar one among all others."""
+    titles = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), tex.words(F.substring_index("text", "\n", 1)).alias("words"))
+    return records.best_titles(titles.where("id % 2 = 0"), titles.where("id % 2 = 1")).select(F.col("id").alias("doc_id"), "best", "similarity")
+
+
 @registered(f"select doc_id, md5({_sql_fold('text')}) as folded from documents")
 def fold_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(tex.fold(F.col("text"))).alias("folded"))
