@@ -5,15 +5,16 @@ from __future__ import annotations
 import unicodedata
 from functools import cache, reduce
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from vellum.functions import compose
 
 # Accent commands with their combining marks, letter commands, escaped characters.
 MARKS = {"`": "\u0300", "'": "\u0301", "^": "\u0302", '"': "\u0308", "~": "\u0303", "=": "\u0304", ".": "\u0307", "H": "\u030b", "c": "\u0327", "v": "\u030c", "u": "\u0306"}
 LITERALS = {"ss": "ß", "o": "ø", "O": "Ø", "ae": "æ", "AE": "Æ", "aa": "å", "AA": "Å", "l": "ł", "L": "Ł"}
 ESCAPES = "&%_#{}"
+_LETTERS = [chr(c) for c in range(65, 123) if chr(c).isalpha()]
 
 _GAP = r"[\t\n\f\r ]*"
 _ARGUMENT = _GAP + r"(?:\{[A-Za-z]\}|[A-Za-z])"
@@ -24,8 +25,7 @@ _TOKEN = "|".join([
 
 @cache
 def _composed() -> dict[str, str]:
-    letters = [chr(c) for c in range(65, 123) if chr(c).isalpha()]
-    return {k + x: unicodedata.normalize("NFC", x + m) for k, m in MARKS.items() for x in letters}
+    return {k + x: unicodedata.normalize("NFC", x + m) for k, m in MARKS.items() for x in _LETTERS}
 
 
 def _map(pairs: dict[str, str]) -> Column:
@@ -125,38 +125,33 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(F.lit(0.0))
 
 
-_WRITTEN = {v: k for k, v in MARKS.items()}
-_LETTER_MACROS = {v: k for k, v in LITERALS.items()}
-
-
-def _encode_text(s: str) -> str:
-    out: list[str] = []
-    clusters: list[str] = []
-    for c in unicodedata.normalize("NFD", s):
-        if clusters and unicodedata.category(c) == "Mn":
-            clusters[-1] += c
-        else:
-            clusters.append(c)
-    for cl in clusters:
-        whole = unicodedata.normalize("NFC", cl)
-        if whole in ("–", "—"):
-            out.append("--" if whole == "–" else "---")
-        elif whole in "&%#_" and whole:
-            out.append("\\" + whole)
-        elif whole in _LETTER_MACROS:
-            out.append(f"{{\\{_LETTER_MACROS[whole]}}}")
-        elif len(cl) == 2 and cl[1] in _WRITTEN and cl[0].isascii() and cl[0].isalpha():
-            mark = _WRITTEN[cl[1]]
-            out.append(f"{{\\{mark}{{{cl[0]}}}}}" if mark.isalpha() else f"{{\\{mark}{cl[0]}}}")
-        else:
-            out.append(whole)
-    return unicodedata.normalize("NFC", "".join(out))
-
-
-@F.pandas_udf(T.StringType())
-def encode(text: pd.Series) -> pd.Series:
-    """TeX source for Unicode text; needs canonical decomposition, which SQL functions lack."""
-    return text.map(_encode_text, na_action="ignore")
+@cache
+def _written() -> dict[str, str]:
+    """How TeX writes the single characters that it spells in a way of its own."""
+    marked = {whole: _marked(k, x) for k, m in MARKS.items() for x in _LETTERS if len(whole := unicodedata.normalize("NFC", x + m)) == 1}
+    return {"–": "--", "—": "---"} | {c: "\\" + c for c in "&%#_"} | marked | {v: f"{{\\{k}}}" for k, v in LITERALS.items()}
+
+
+def _marked(mark: str, letter: str) -> str:
+    return f"{{\\{mark}{{{letter}}}}}" if mark.isalpha() else f"{{\\{mark}{letter}}}"
+
+
+def _spelled(t: Column) -> Column:
+    letter, mark = F.substring(t, 1, 1), compose.looked_up(F.substring(t, 2, 1), {v: k for k, v in MARKS.items()})
+    loose = F.when(mark.rlike("[A-Za-z]"), F.concat(F.lit("{\\"), mark, F.lit("{"), letter, F.lit("}}"))).otherwise(F.concat(F.lit("{\\"), mark, letter, F.lit("}")))
+    return F.when(F.length(t) == 1, F.coalesce(compose.looked_up(t, _written()), t)).when((F.length(t) == 2) & letter.rlike("[A-Za-z]") & mark.isNotNull(), loose).otherwise(t)
+
+
+def encode(text: Column) -> Column:
+    """TeX source for Unicode text, which is composed first; null stays null.
+
+    A character with its marks is spelled with an accent command if it is an
+    ASCII letter with one known mark, and stays as it is with others.
+    """
+    special = compose.ranges(_written(), 64)
+    token = F.lit(rf"((?:[^{special}\p{{Mn}}](?!\p{{Mn}}))++|[\s\S]\p{{Mn}}*+)")
+    spelled = lambda c: F.array_join(F.transform(F.regexp_extract_all(c, token, F.lit(1)), lambda t: F.when(t.rlike(rf"[{special}\p{{Mn}}]"), _spelled(t)).otherwise(t)), "")
+    return once(text, lambda t: F.when(t.rlike(r"[&%#_]|[^\x00-\x7f]"), spelled(compose.composed(t))).otherwise(t))
 
 
 def brace_title(title: Column) -> Column:

@@ -20,6 +20,12 @@ def _filled(pairs: dict[str, Column]) -> Column:
     return F.map_from_entries(F.filter(entries, lambda e: F.coalesce(e["value"], F.lit("")) != ""))
 
 
+def _encoded(rows: DataFrame, **texts: Column) -> DataFrame:
+    """rows with TeX source of texts as columns; a generator makes them, so that no later use or filter encodes a text again."""
+    made = F.struct(*(tex.encode(c).alias(n) for n, c in texts.items()))
+    return rows.select("*", F.explode(F.array(made)).alias("_encoded")).select(*rows.columns, *(F.col(f"_encoded.{n}").alias(n) for n in texts))
+
+
 def published_drafts(works: DataFrame) -> DataFrame:
     """works (work as services.WORK, other columns kept) with error, and base key, type, fields and doi of a draft where it is null.
 
@@ -29,7 +35,7 @@ def published_drafts(works: DataFrame) -> DataFrame:
     w = F.col("work")
     first = lambda c: F.coalesce(F.try_element_at(c, F.lit(1)), F.lit(""))
     year = services.work_year(w)
-    raw = works.withColumn("_title", tex.encode(first(w["title"]))).withColumn("_venue", tex.encode(first(w["container-title"]))).withColumn("_authors", tex.encode(F.coalesce(services.work_authors(w), F.lit(""))))
+    raw = _encoded(works, _title=first(w["title"]), _venue=first(w["container-title"]), _authors=F.coalesce(services.work_authors(w), F.lit("")))
     named = raw.withColumn("_names", parse_names("_authors"))
     base = make_key(F.try_element_at(F.col("_names.names"), F.lit(1))["last"], year.cast("string"))
     error = F.when(F.col("_title") == "", "missing title").when(F.coalesce(F.size(w["author"]), F.lit(0)) <= 0, "missing authors").when(year == 0, "missing year").when(F.col("_authors") == "", "missing authors").when(base.isNull(), "no key")
@@ -44,7 +50,7 @@ PENDING = "complete and check the metadata"
 def preprint_drafts(entries: DataFrame) -> DataFrame:
     """entries (entry as services.ENTRY, other columns kept) with error, and base key, type, fields, arxiv, abstract and doi of a draft where it is null."""
     e = F.col("entry")
-    raw = entries.withColumn("_title", tex.encode(F.coalesce(e["title"], F.lit("")))).withColumn("_authors", tex.encode(F.coalesce(services.arxiv_authors(e["authors"]), F.lit(""))))
+    raw = _encoded(entries, _title=F.coalesce(e["title"], F.lit("")), _authors=F.coalesce(services.arxiv_authors(e["authors"]), F.lit("")))
     named = raw.withColumn("_names", parse_names("_authors"))
     year = F.coalesce(e["year"], F.lit(0))
     base = make_key(F.try_element_at(F.col("_names.names"), F.lit(1))["last"], year.cast("string"))

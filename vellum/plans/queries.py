@@ -235,7 +235,7 @@ _ENCODED = (
 @registered(f"select doc_id, md5(array_to_string(list_transform(string_split(text, ''), lambda c: {_ENCODED}), '')) as encoded from documents")
 def tex_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(tex.encode("text")).alias("encoded"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(tex.encode(F.col("text"))).alias("encoded"))
 
 
 @registered(
