@@ -11,6 +11,7 @@ from vellum.schema import EVENT, EVENT_FIELDS, RECORD, RECORD_FIELDS
 from vellum.session import cut
 from vellum.sources import directory
 
+STORE = "spark.vellum.store"
 _TEXT, _OBJECT, _LIST, _NUMBER, _FLAG = "STRING", "OBJECT", "ARRAY", "BIGINT", "BOOLEAN"
 _MEMBERS = {
     "": {"key": _TEXT, "status": _TEXT, "pending": _TEXT, "bibtex": _OBJECT, "doi": _TEXT, "arxiv": _OBJECT, "isbn": _TEXT, "leeds": _TEXT, "abstract": _TEXT, "holdings": _TEXT, "versions": _OBJECT, "audit": _OBJECT, "log": _LIST},
@@ -51,13 +52,26 @@ def load_error(value: Column) -> Column:
     return F.when(v.isNull(), "not a JSON object").otherwise(F.coalesce(_fault(v, ""), several))
 
 
-def scan_records(spark: SparkSession, root: str, keys: list[str] | None = None, strict: bool = True) -> DataFrame:
+def open_store(spark: SparkSession, root: str | None = None) -> str:
+    """The store's root: the argument, or else the session's setting STORE; it must be a folder.  One status call on the driver."""
+    asked = root or spark.conf.get(STORE, None)
+    if not asked:
+        raise ValueError(f"which store? pass a root or set {STORE}")
+    path = spark._jvm.org.apache.hadoop.fs.Path(asked)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path) or not fs.getFileStatus(path).isDirectory():
+        raise NotADirectoryError(f"{asked} is no folder ({'argument' if root else STORE})")
+    return asked
+
+
+def scan_records(spark: SparkSession, root: str | None = None, keys: list[str] | None = None, strict: bool = True) -> DataFrame:
     """Rows of RECORD with dir_key and load_error, one for each <root>/<key>/paper.json.
 
     keys are looked up one by one by the store's data source, with nothing
     listed.  A document that is no record has a load_error; with strict the
-    whole scan fails on it when it is used.
+    whole scan fails on it when it is used.  root is that of open_store().
     """
+    root = open_store(spark, root)
     if keys:
         raw = directory.read_directories(spark, root, keys).where("value is not null or failure is not null").select("value", "dir_key", "failure")
     else:
