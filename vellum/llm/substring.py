@@ -6,6 +6,11 @@ travels as one string to the bucket of that minimiser; equal windows therefore
 meet in one bucket.  There all windows are sorted, equal neighbours are
 compared byte by byte, and every occurrence but the earliest is a repeat.
 Super-k-mers that repeat inside a task are settled there, and one of them goes.
+
+A minimiser can be hot: some word group with a small hash stands in a large
+share of the texts.  A sample tells which are; windows with one of those travel
+alone, to the bucket of their own hash.  That is a rule on a window's words
+alone, so equal windows still meet, whatever the sample says.
 """
 
 from __future__ import annotations
@@ -20,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm.keyed import join_some, own_keys
-from vellum.llm.rolling import Spans, mix, minimisers, runs
+from vellum.llm.rolling import INDEX_BITS, Spans, minimisers, mix, runs
 from vellum.session import cut, ship_package
 
 SIZE = 20
@@ -29,6 +34,10 @@ STEP_BYTES = 2_000_000
 STEP_WORDS = 500_000
 BUCKET_BYTES = 12_000_000
 BUCKET_LIMIT = 24_000_000
+HOT_BYTES = 6_000_000
+MOST_HOT = 1_000_000
+SAMPLED = 32
+PIECE = 60_000
 _SENT = pa.schema([("bucket", pa.int64()), ("meta", pa.binary()), ("packed", pa.binary())])
 _META = np.dtype([("k", "<i8"), ("t", "<i8"), ("start", "<i8"), ("n", "<i4")])
 _FOUND = pa.schema([("k", pa.int64()), ("t", pa.int64()), ("start", pa.int64()), ("n", pa.int64())])
@@ -38,8 +47,11 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").split()
 
 
-def super_kmers(docs: list[tuple[int, int, list[bytes], int]], size: int, group: int) -> Iterator[tuple[int, int, int, int, int, bytes]]:
-    """(minimiser, k, t, start, windows, words) for documents (k, number of the first word, words, t)."""
+def super_kmers(docs: list[tuple[int, int, list[bytes], int]], size: int, group: int, hot: np.ndarray | None = None) -> Iterator[tuple[int, int, int, int, int, bytes]]:
+    """(minimiser, k, t, start, windows, words) for documents (k, number of the first word, words, t).
+
+    A window whose minimiser is one of `hot` (sorted) stands alone, with its own hash in place of the minimiser.
+    """
     docs = [d for d in docs if len(d[2]) >= size]
     if not docs:
         return
@@ -47,9 +59,14 @@ def super_kmers(docs: list[tuple[int, int, list[bytes], int]], size: int, group:
     raw = np.frombuffer(data, np.uint8)
     gaps = np.flatnonzero(raw == 32)
     begin, end = np.concatenate([[0], gaps + 1]), np.concatenate([gaps, [len(raw)]])
-    word = Spans(raw).hash(begin, end)
+    spans = Spans(raw)
+    word = spans.hash(begin, end)
     grams = sum(np.roll(word, -i) * np.uint64(2 * i + 3) for i in range(group))
     value, at = minimisers(mix(grams)[: len(word) - group + 1], size - group + 1)
+    if hot is not None and len(hot):
+        alone = np.flatnonzero(hot[np.minimum(np.searchsorted(hot, value), len(hot) - 1)] == value)
+        value[alone] = (spans.hash(begin[alone], end[alone + size - 1]) >> np.uint64(INDEX_BITS)).astype(np.int64)
+        at[alone] = -1 - alone  # no two of them make a run
     counts = np.array([len(d[2]) for d in docs])
     first = np.cumsum(counts) - counts
     windows = np.concatenate([np.arange(a, a + n - size + 1) for a, n in zip(first, counts, strict=True)])
@@ -60,14 +77,60 @@ def super_kmers(docs: list[tuple[int, int, list[bytes], int]], size: int, group:
         yield m, docs[o][0], docs[o][3], docs[o][1] + w - int(first[o]), n, data[a:b]
 
 
-def _send(size: int, group: int, buckets: int):
+def _steps(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[list[tuple[int, int, list[bytes], int]]]:
+    """The documents (k, t, text) of some batches as super_kmers() takes them, a step's worth at a time; long ones in pieces."""
+    docs, held, many = [], 0, 0
+    for batch in batches:
+        for at in range(0, batch.num_rows, 200):
+            part = batch.slice(at, 200)
+            for k, t, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                words = words_of(text)
+                step = STEP_BYTES // 8
+                for cut_at in range(0, max(1, len(words) - size + 1), step):
+                    docs.append((k, cut_at, words[cut_at : cut_at + step + size - 1], t))
+                    held += sum(map(len, docs[-1][2]))
+                    many += len(docs[-1][2])
+                    if held >= STEP_BYTES or many >= STEP_WORDS:  # with a last piece, under the places that minimisers() can number
+                        yield docs
+                        docs, held, many = [], 0, 0
+    yield docs
+
+
+def _weigh(size: int, group: int):
+    schema = pa.schema([("m", pa.int64()), ("bytes", pa.int64())])
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for docs in _steps(batches, size):
+            distinct = {packed: m for m, *_, packed in super_kmers(docs, size, group)}
+            m, at = np.unique(np.array(list(distinct.values()), np.int64), return_inverse=True)
+            n = np.bincount(at, np.array([len(x) for x in distinct], np.int64), len(m)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(m, pa.int64()), pa.array(n, pa.int64())], schema=schema)
+
+    return weigh
+
+
+def hot_minimisers(texts: DataFrame, size: int, group: int, least: int, sampled: int = SAMPLED) -> np.ndarray:
+    """Minimisers of about `least` bytes of super-k-mers or more in texts (k, t, text), told from one of `sampled` pieces of PIECE characters.
+
+    A task counts equal super-k-mers of a step once, as they are sent once.
+    What is told decides where windows meet, not which are repeats.
+    """
+    last = F.floor(F.length("text") / PIECE).cast("int")
+    chosen = F.filter(F.sequence(F.lit(0), last), lambda i: F.pmod(F.xxhash64("k", "t", i, F.lit(13)), F.lit(sampled)) == 0)
+    pieces = texts.where("text is not null").select("k", "t", "text", F.explode(chosen).alias("i"))
+    pieces = pieces.select("k", "t", F.substring(F.col("text"), F.col("i") * PIECE + 1, F.lit(PIECE)).alias("text"))
+    weights = pieces.mapInArrow(_weigh(size, group), "m long, bytes long").groupBy("m").agg(F.sum("bytes").alias("bytes"))
+    return np.sort(weights.where(F.col("bytes") * sampled >= least).select("m").toArrow().column(0).to_numpy())
+
+
+def _send(size: int, group: int, buckets: int, hot=None):
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), _SENT, strict=True)], schema=_SENT)
 
     def settle(docs: list[tuple[int, int, list[bytes], int]], press: zstandard.ZstdCompressor) -> Iterator[pa.RecordBatch]:
         first: dict[bytes, tuple] = {}
         known: list[tuple] = []
-        for m, k, t, start, n, packed in super_kmers(docs, size, group):
+        for m, k, t, start, n, packed in super_kmers(docs, size, group, hot.value if hot else None):
             old = first.get(packed)
             if old is None or (k, t, start) < old[1:4]:
                 first[packed] = (m, k, t, start, n)
@@ -88,21 +151,8 @@ def _send(size: int, group: int, buckets: int):
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
-        docs, held, many = [], 0, 0
-        for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                for k, t, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    words = words_of(text)
-                    step = STEP_BYTES // 8
-                    for cut_at in range(0, max(1, len(words) - size + 1), step):
-                        docs.append((k, cut_at, words[cut_at : cut_at + step + size - 1], t))
-                        held += sum(map(len, docs[-1][2]))
-                        many += len(docs[-1][2])
-                        if held >= STEP_BYTES or many >= STEP_WORDS:  # with a last piece, under the places that minimisers() can number
-                            yield from settle(docs, press)
-                            docs, held, many = [], 0, 0
-        yield from settle(docs, press)
+        for docs in _steps(batches, size):
+            yield from settle(docs, press)
 
     return send
 
@@ -212,13 +262,20 @@ def _count(size: int, limit: int = BUCKET_LIMIT):
     return count
 
 
-def repeats(docs: DataFrame, size: int = SIZE, group: int = GROUP) -> DataFrame:
-    """(k, t, spans): for each document with repeats, spans (start, n) of windows that also start earlier; k and t are those of own_keys()."""
+def repeats(docs: DataFrame, size: int = SIZE, group: int = GROUP, hot_bytes: int = HOT_BYTES, sampled: int = SAMPLED) -> DataFrame:
+    """(k, t, spans): for each document with repeats, spans (start, n) of windows that also start earlier; k and t are those of own_keys().
+
+    Windows of a minimiser with hot_bytes or more are dealt one by one.  At most
+    about MOST_HOT minimisers are, so that a table of 8 MB is broadcast at any
+    size; past 2 TB of text hot_bytes grows with the input for that.
+    """
     ship_package(docs.sparkSession)
     texts = own_keys(docs.select("doc_id", F.col("text").cast("string").alias("text"))).select("k", "t", "text")
     total = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(16, 4 * total // BUCKET_BYTES)
-    sent = texts.mapInArrow(_send(size, group, buckets), "bucket long, meta binary, packed binary")
+    hot = hot_minimisers(texts, size, group, max(hot_bytes, 3 * total // MOST_HOT), sampled)  # super-k-mers overlap: about three times the text
+    shared = docs.sparkSession.sparkContext.broadcast(hot) if len(hot) else None
+    sent = texts.mapInArrow(_send(size, group, buckets, shared), "bucket long, meta binary, packed binary")
     found = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_count(size), "k long, t long, start long, n long")
     return cut(found.groupBy("k", "t").agg(F.collect_list(F.struct("start", "n")).alias("spans")), "word-repeats")
 
