@@ -249,9 +249,14 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _batch(out, _RUN)
 
 
-def _joined(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Overlaps (k, t, item_id, ...) of a benchmark of any size, and the documents (k, t, text): seeds are joined by hash, overlaps judged on slices."""
-    spark = docs.sparkSession
+def _joined(texts: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Overlaps (k, t, item_id, ...) of documents (k, t, text) with a benchmark of any size: seeds are joined by hash, overlaps judged on slices.
+
+    Rows of equal k and t have one text; their hits are one from the join of
+    seeds on, and their overlaps one at the end, so texts aren't shuffled to
+    make them distinct.
+    """
+    spark = texts.sparkSession
     counted = F.pandas_udf(lambda s: s.map(lambda t: len(tokens_of(t))), "int")
     items = cut(_items(benchmark).select("item_id", "text", counted("text").alias("n"), F.monotonically_increasing_id().alias("item")), "benchmark-items")
     seeds = cut(items.select("item", "text").mapInArrow(_item_seeds, "mask int, h long, item long, at int"), "benchmark-seeds")
@@ -259,7 +264,6 @@ def _joined(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame
     table = words.toArrow()  # a byte for each of 2 ** (FILTER_BITS - 3) places at most, however large the benchmark
     bits = np.zeros(1 << FILTER_BITS - 3, np.uint8)
     bits[table.column(0).to_numpy()] = table.column(1).to_numpy()
-    texts = own_keys(docs.select("doc_id", F.col("text").cast("string").alias("text"))).select("k", "t", "text").distinct()
     hits = texts.mapInArrow(_doc_seeds(spark.sparkContext.broadcast(bits)), "mask int, h long, k long, t long, pos int")
     met = hits.join(seeds, ["mask", "h"]).select("k", "t", "item", (F.col("pos") - F.col("at")).alias("diagonal")).distinct()
     met = met.join(items.select("item", "n"), "item")
@@ -268,7 +272,7 @@ def _joined(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame
     runs = cuts.join(items.select("item", F.col("text").alias("item_text")), "item").select("k", "t", "item", "start", "tokens", "item_text")
     runs = runs.mapInArrow(_judge, "k long, t long, item long, doc_start long, item_start long, n_tokens long, n_equal long")
     best = F.min_by(F.struct("doc_start", "item_start", "n_tokens", "n_equal"), F.struct(-F.col("n_equal"), "doc_start", "item_start"))
-    return cut(runs.groupBy("k", "t", "item").agg(best.alias("b")).join(items.select("item", "item_id"), "item").select("k", "t", "item_id", "b.*"), "overlaps"), texts
+    return cut(runs.groupBy("k", "t", "item").agg(best.alias("b")).join(items.select("item", "item_id"), "item").select("k", "t", "item_id", "b.*"), "overlaps")
 
 
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -287,8 +291,8 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, block_tokens: int = BLO
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     shared = _index(benchmark, block_tokens)
     if shared is None:
-        found, _ = _joined(rows, benchmark)
-        out = own_keys(rows).select("doc_id", "k", "t").join(found, ["k", "t"])
+        keyed = own_keys(rows)
+        out = keyed.select("doc_id", "k", "t").join(_joined(keyed.select("k", "t", "text"), benchmark), ["k", "t"])
         return out.select("doc_id", "item_id", "doc_start", "item_start", "n_tokens", "n_equal", (F.col("n_equal") / F.col("n_tokens")).alias("similarity"))
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,9 +309,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, block_tokens: int = BLO
     ship_package(docs.sparkSession)
     shared = _index(benchmark, block_tokens)
     if shared is None:
-        rows = wrapped(docs)
-        found, _ = _joined(rows.select("doc_id", "text"), benchmark)
-        kept = join_some(own_keys(rows), found.select("k", "t", F.lit(True).alias("found")).distinct(), "k", "t").where("found is null")
+        rows = own_keys(wrapped(docs))
+        found = _joined(rows.select("k", "t", "text"), benchmark)
+        kept = join_some(rows, found.select("k", "t", F.lit(True).alias("found")).distinct(), "k", "t").where("found is null")
         return kept.select("row.*")
     clean = F.pandas_udf(lambda s: s.map(lambda t: not overlaps_of(shared.value, t)).astype(bool), "boolean")
     return docs.where(clean(F.coalesce(F.col("text").cast("string"), F.lit(""))))
