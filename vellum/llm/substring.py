@@ -38,6 +38,8 @@ HOT_BYTES = 6_000_000
 MOST_HOT = 1_000_000
 SAMPLED = 32
 PIECE = 60_000
+PART_BYTES = 32_000_000
+MOST_PARTS = 100_000
 _SENT = pa.schema([("bucket", pa.int64()), ("meta", pa.binary()), ("packed", pa.binary())])
 _META = np.dtype([("k", "<i8"), ("t", "<i8"), ("start", "<i8"), ("n", "<i4")])
 _FOUND = pa.schema([("k", pa.int64()), ("t", pa.int64()), ("start", pa.int64()), ("n", pa.int64())])
@@ -276,7 +278,8 @@ def repeats(docs: DataFrame, size: int = SIZE, group: int = GROUP, hot_bytes: in
     hot = hot_minimisers(texts, size, group, max(hot_bytes, 3 * total // MOST_HOT), sampled)  # super-k-mers overlap: about three times the text
     shared = docs.sparkSession.sparkContext.broadcast(hot) if len(hot) else None
     sent = texts.mapInArrow(_send(size, group, buckets, shared), "bucket long, meta binary, packed binary")
-    found = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_count(size), "k long, t long, start long, n long")
+    parts = max(docs.sparkSession.sparkContext.defaultParallelism, min(MOST_PARTS, total // PART_BYTES))  # a task reads no more as the input grows
+    found = sent.repartition(int(parts), "bucket").sortWithinPartitions("bucket").mapInArrow(_count(size), "k long, t long, start long, n long")
     return cut(found.groupBy("k", "t").agg(F.collect_list(F.struct("start", "n")).alias("spans")), "word-repeats")
 
 
