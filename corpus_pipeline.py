@@ -40,6 +40,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group of five-word similarity 0.8 or more; the others go.
 
+    SimHash fingerprints within three bits propose first, MinHash bands what
+    these don't reach, and exact shingle sets decide.
     Null and empty texts are one group; a null doc_id comes last, and of rows
     without a doc_id of their own one of each text stays.
     """

@@ -1,11 +1,13 @@
-"""Documents whose sets of word shingles are similar: MinHash bands propose, exact sets decide.
-
-Equal texts collapse to one.  Least hashes of a text's shingles under ROWS *
-BANDS functions make BANDS band keys; two texts of similarity s share a band
-key with probability 1 - (1 - s ** ROWS) ** BANDS, 0.999997 at 0.8.  Each text
-is first verified against the least text that leads one of its buckets, then,
-if it is not connected with the leaders of all of them, against the next one,
-then against all others.  Buckets whose texts are then not all connected are
+"""Documents whose sets of word shingles are similar: SimHash groups, then MinHash bands propose, exact sets decide.
+
+Equal texts collapse to one.  The fingerprints of the others are linked within
+three bits by simhash.links(), and texts of connected fingerprints share a
+bucket.  Three bits reach nearly equal texts only, so least hashes of a text's
+shingles under ROWS * BANDS functions make BANDS more buckets; two texts of
+similarity s share one of these with probability 1 - (1 - s ** ROWS) ** BANDS,
+0.999997 at 0.8.  Each text is first verified against the least text of its
+SimHash group, then, if it is not connected with the leaders of all its
+buckets, against one leader after another, then against all others.  Buckets whose texts are then not all connected are
 dealt to units of work, chunk against chunk, where texts that are not connected
 yet are compared in the first band they share; a unit gives the links that join
 parts, never its pairs.  So a large group of near copies costs a comparison or
@@ -25,6 +27,7 @@ from pyspark.sql import functions as F
 from vellum.llm.components import components
 from vellum.llm.keyed import join_some, own_keys, wrapped
 from vellum.llm.rolling import Spans, mix
+from vellum.llm.simhash import fingerprint, links
 from vellum.session import cut, ship_package
 
 SHINGLE = 5
@@ -33,7 +36,7 @@ ROWS = 4
 SALTS = 64
 TURNS = 3
 CHUNK = 512
-_SIGNED = pa.schema([("k", pa.int64()), ("t", pa.int64()), ("x", pa.int64()), ("n", pa.int64()), ("bands", pa.list_(pa.int64()))])
+_SIGNED = pa.schema([("k", pa.int64()), ("t", pa.int64()), ("x", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()), ("bands", pa.list_(pa.int64()))])
 _FACTORS, _SHIFTS = np.random.default_rng(77).integers(0, 1 << 63, (2, BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -83,7 +86,9 @@ def _sign(size: int):
             out = []
             for k, t, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 data = normal(text)
-                out.append((k, t, xxhash.xxh3_64_intdigest(data) - (1 << 63), *signature(data, size)))
+                n, bands = signature(data, size)
+                fp = fingerprint(text, size)
+                out.append((k, t, xxhash.xxh3_64_intdigest(data) - (1 << 63), n, fp - (fp >> 63 << 64), bands))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _SIGNED, strict=True)], schema=_SIGNED)
 
@@ -116,7 +121,7 @@ def _linked(pairs: DataFrame, texts: DataFrame, size: int, least: tuple[int, int
 
 
 def unit_links(band: int, left: list[tuple], right: list[tuple], least: tuple[int, int]) -> list[tuple[int, int]]:
-    """Links (u, v) that join parts, between rows (x, part, shingle hashes, band keys) of left and right, or of left alone.
+    """Links (u, v) that join parts, between rows (x, part, shingle hashes, keys of all buckets) of left and right, or of left alone.
 
     Only pairs whose first common band this is are compared: the others are
     met elsewhere, or connected.
@@ -160,12 +165,12 @@ def _units(size: int, least: tuple[int, int]):
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], schema=schema)
 
         for batch in batches:
-            for band, pair, right, x, part, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for band, pair, right, x, part, group, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if key != (band, pair):
                     yield from done()
                     key, sides = (band, pair), ([], [])
                 data = normal(text)
-                sides[right].append((x, part, shingle_hashes(data, size), signature(data, size)[1]))
+                sides[right].append((x, part, shingle_hashes(data, size), [group, *signature(data, size)[1]]))
         yield from done()
 
     return compare
@@ -178,6 +183,11 @@ def _apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     return pairs.where("u_part <> v_part").select("u", "v")
 
 
+def simhash_groups(fps: DataFrame) -> DataFrame:
+    """(fp, group) of the distinct fingerprints (fp) that others within three bits connect; the others have no row."""
+    return components(links(fps)).select(F.col("node").alias("fp"), F.col("component").alias("group"))
+
+
 def near_copies(docs: DataFrame, size: int = SHINGLE, least: tuple[int, int] = (4, 5)) -> DataFrame:
     """keyed_copies() of docs (doc_id, text)."""
     return keyed_copies(own_keys(docs.select("doc_id", F.col("text").cast("string").alias("text"))), size, least)
@@ -191,25 +201,29 @@ def keyed_copies(keyed: DataFrame, size: int = SHINGLE, least: tuple[int, int] =
     """
     ship_package(keyed.sparkSession)
     rows = keyed.select("k", "t", "text")
-    signed = cut(rows.mapInArrow(_sign(size), "k long, t long, x long, n long, bands array<long>"), "near-signed")
-    distinct = signed.groupBy("x").agg(F.min(F.struct("k", "t")).alias("me"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    dealt = cut(distinct.select("x", "me", "n", F.explode_outer("bands").alias("band")), "near-bands")
+    signed = cut(rows.mapInArrow(_sign(size), "k long, t long, x long, n long, fp long, bands array<long>"), "near-signed")
+    grouped = simhash_groups(signed.where("n > 0").select("fp").distinct())
+    distinct = signed.groupBy("x").agg(F.min(F.struct("k", "t")).alias("me"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
+    distinct = distinct.join(grouped, "fp", "left").withColumn("group", F.xxhash64(F.coalesce("group", "fp"), F.lit(13)))
+    buckets = F.when(F.col("n") > 0, F.concat(F.array("group"), "bands"))
+    dealt = cut(distinct.select("x", "me", "n", "group", F.posexplode_outer(buckets).alias("at", "band")), "near-bands")
     leads = dealt.where("band is not null").groupBy("band").agg(F.min("x").alias("u"), F.max("x").alias("_last")).where("u <> _last").select("band", "u")
     met = cut(dealt.join(leads, "band"), "near-met")
-    some = met.groupBy("x").agg(F.first("me").alias("me")).select("me.k", "me.t", "x")
-    texts = cut(join_some(rows, some, "k", "t").where("x is not null").dropDuplicates(["x"]).select("x", "text"), "near-texts")
+    some = met.groupBy("x").agg(F.first("me").alias("me"), F.first("group").alias("group")).select("me.k", "me.t", "x", "group")
+    texts = cut(join_some(rows, some, "k", "t").where("x is not null").dropDuplicates(["x"]).select("x", "group", "text"), "near-texts")
     led = met.where("u <> x").select("u", F.col("x").alias("v")).distinct()
-    tried, links, parts = None, None, None
+    tried = cut(met.where("at = 0 and u <> x").select("u", F.col("x").alias("v")), "near-tried")
+    found = _linked(tried, texts, size, least)
+    parts = components(found)
     for turn in range(TURNS):
-        left = led if tried is None else _apart(led, parts).join(tried, ["u", "v"], "left_anti")
+        left = _apart(led, parts).join(tried, ["u", "v"], "left_anti")
         pairs = left if turn == TURNS - 1 else left.groupBy("v").agg(F.min("u").alias("u")).select("u", "v")
         pairs = cut(pairs, "near-tried")
-        if turn and pairs.isEmpty():
+        if pairs.isEmpty():
             break
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        found = _linked(pairs, texts, size, least)
-        links = found if links is None else links.unionByName(found)
-        parts = components(links)
+        tried = tried.unionByName(pairs)
+        found = found.unionByName(_linked(pairs, texts, size, least))
+        parts = components(found)
     met = met.join(parts.withColumnRenamed("node", "x"), "x", "left").select("band", "x", "n", F.coalesce("component", "x").alias("part"))
     sizes = met.groupBy("band").agg(F.min("part").alias("_a"), F.max("part").alias("_b"), F.count("*").alias("_m")).where("_a <> _b").select("band", F.ceil(F.col("_m") / CHUNK).cast("int").alias("chunks"))
     open_ = cut(met.join(sizes, "band").select("band", "x", "part", "chunks"), "near-open")
@@ -217,9 +231,9 @@ def keyed_copies(keyed: DataFrame, size: int = SHINGLE, least: tuple[int, int] =
         own = F.pmod(F.xxhash64("x", F.lit(5)), F.col("chunks")).cast("int")
         dealt = open_.join(texts, "x").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         pair = F.least("own", "other") * F.col("chunks").cast("long") + F.greatest("own", "other")
-        units = dealt.select("band", pair.alias("pair"), (F.col("own") > F.col("other")).cast("int").alias("right"), "x", "part", "text")
+        units = dealt.select("band", pair.alias("pair"), (F.col("own") > F.col("other")).cast("int").alias("right"), "x", "part", "group", "text")
         more = units.repartition("band", "pair").sortWithinPartitions("band", "pair", "right").mapInArrow(_units(size, least), "u long, v long")
-        parts = components(links.unionByName(cut(more, "near-more")))
+        parts = components(found.unionByName(cut(more, "near-more")))
     named = signed.select("k", "t", "x").join(parts.withColumnRenamed("node", "x"), "x", "left").withColumn("part", F.coalesce("component", "x"))
     first = named.groupBy("part").agg(F.min(F.struct("k", "t")).alias("first"), F.max(F.struct("k", "t")).alias("_last")).where("first <> _last").select("part", "first")
     gone = named.join(first, "part").where(F.struct("k", "t") > F.col("first"))

@@ -17,12 +17,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.tokens import MEMO_PIECES, default_path, encoded, encoder
+from vellum.llm.tokens import GROUP_BYTES, MEMO_PIECES, default_path, encoded, encoder
 from vellum.session import ship_package
 
 WINDOW = 2048
 BLOCK_TOKENS = 1_000_000
 SMALL_MEMO = 150_000
+SMALL_GROUP = 3_000_000
 LEAST_CUT = 64
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
@@ -141,7 +142,7 @@ def _packer(path: str, end_id: int, window: int, block_tokens: int, keep_memo: b
         base = TaskContext.get().partitionId() << 40
         docs: list[tuple[int | None, bytes]] = []
         held = 0
-        for doc_id, ids in encoded(batches, enc):
+        for doc_id, ids in encoded(batches, enc, GROUP_BYTES if keep_memo else SMALL_GROUP):
             docs.append((doc_id, ids.tobytes() + end))
             held += len(ids) + 1
             if held >= block_tokens:
@@ -152,6 +153,8 @@ def _packer(path: str, end_id: int, window: int, block_tokens: int, keep_memo: b
             enc.forget()
         if docs:
             yield emit(docs, base)[0]
+        if not keep_memo:
+            pa.default_memory_pool().release_unused()
 
     return pack
 
@@ -164,7 +167,8 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int =
     too; other columns are ignored.  An empty table gives no rows.  A sequence is
     filled from offset 0 without gaps and padded by its reader to `window`,
     unless its length is a power of two.  keep_memo keeps many encoded pieces, for
-    a worker's next task too; without it other stages have that memory.
+    a worker's next task too; without it fewer bytes are encoded at once as well, and
+    other stages have that memory.
     """
     ship_package(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
