@@ -81,19 +81,35 @@ def who_year(who: Column, year: Column) -> Column:
 
 def hit_line(key: Column, who: Column, year: Column, title: Column, holdings: Column, flags: Column) -> Column:
     """One line of LINE characters at most for a hit; only the title is cut, so many flags may make it longer."""
+    head, tail = _ends(key, who, year, holdings, flags)
+    return _fitted(head, title, tail)
+
+
+def _ends(key: Column, who: Column, year: Column, holdings: Column, flags: Column) -> tuple[Column, Column]:
+    """What a hit's line says before its title, and after it."""
     said = who_year(who, year)
     head = F.concat(key, F.lit("  "), F.when(said != "", F.concat(said, F.lit("  "))).otherwise(""))
-    tail = F.concat(F.lit("  ["), holdings, F.lit("]"), F.array_join(F.transform(flags, lambda f: F.concat(F.lit(" ["), f, F.lit("]"))), ""))
+    return head, F.concat(F.lit("  ["), holdings, F.lit("]"), F.array_join(F.transform(flags, lambda f: F.concat(F.lit(" ["), f, F.lit("]"))), ""))
+
+
+def _fitted(head: Column, title: Column, tail: Column) -> Column:
     room = F.lit(LINE) - F.length(head) - F.length(tail)
     shown = F.when(room <= 0, "").when(F.length(title) > room, F.concat(F.substring(title, F.lit(1), room - 1), F.lit("…"))).otherwise(title)
     return F.concat(head, shown, tail)
 
 
 def hit_report(hits: DataFrame) -> DataFrame:
-    """(key, score, line, json) of hits: records with record_fields() and score."""
-    title = tex.decode(F.col("title"))
-    flags = hit_flags(F.col("status"), F.col("versions"))
-    line = hit_line(F.col("key"), last_name(F.col("author")), F.col("year"), title, F.coalesce("holdings", F.lit("")), flags)
+    """(key, score, line, json) of hits: records with record_fields() and score.
+
+    The decoded title and the first author's name are made inside a generator,
+    so that the many places of a line that look at them make them once.
+    """
+    made = F.struct(tex.decode(F.col("title")).alias("_title"), last_name(F.col("author")).alias("_who"), hit_flags(F.col("status"), F.col("versions")).alias("_flags"))
+    hits = hits.select("*", F.inline(F.array(made)))
+    title, flags = F.col("_title"), F.col("_flags")
+    parts = F.struct(*(c.alias(n) for n, c in zip(("_head", "_tail"), _ends(F.col("key"), F.col("_who"), F.col("year"), F.coalesce("holdings", F.lit("")), flags), strict=True)))
+    hits = hits.select("*", F.inline(F.array(parts)))
+    line = _fitted(F.col("_head"), title, F.col("_tail"))
     shown = F.struct("key", "score", tex.decode(F.col("author")).alias("authors"), title.alias("title"), "year", "venue", "doi", "arxiv", "status", "holdings", flags.alias("flags"))
     return hits.select("key", "score", line.alias("line"), F.to_json(shown).alias("json"))
 
