@@ -115,3 +115,12 @@ def test_attach_and_reports(spark, answers):
     assert tuple(r) == ("crossref; Jane Doe; 2001; On Größe; doi 10.1000/a", "10.1000/a", "10.1000/182")
     e = answers["entries"].where("arxiv_id = '2001.00001'").select(reports.entry_facts(F.col("entry")), reports.entry_label(F.col("entry"))).first()
     assert e[0].split("\n")[3:] == ["arxiv: https://arxiv.org/abs/2001.00001v3", "primary_class: math.PR", "doi: https://doi.org/10.1000/p"] and e[1] == "2001.00001"
+
+
+def test_hits_are_judged_once_a_text(spark, answers, monkeypatch):
+    seen = []
+    monkeypatch.setattr(resolve, "in_order", lambda o: o.select(*resolve.OUTCOME, F.lit(None).cast("int").alias("first")))
+    monkeypatch.setattr(resolve, "auto_accept", lambda hits: seen.append(hits) or records.auto_accept(hits))
+    requests = spark.createDataFrame([(i, ("clear words", "close call")[i % 2]) for i in range(40)], "id int, ref string")
+    resolve.fetch(requests, **answers)
+    assert seen[0].count() == 4
