@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -177,35 +179,54 @@ def batch_summary(outcomes: DataFrame) -> DataFrame:
 WORD_ROWS = 4096
 
 
+def _ranked_sets(sides: list[DataFrame]) -> list[DataFrame]:
+    """For each of sides (id, w: distinct words), (id, w, n, x0, x1): w as sorted numbers of the words, the rarest first, n as array of how many sets hold each, and the parity of the numbers in 128 slots.
+
+    Sides that are the same table are numbered once.
+    """
+    own = [next(i for i, e in enumerate(sides) if e is d) for d in sides]
+    held = reduce(DataFrame.unionByName, [sides[i].select(F.lit(i).alias("side"), "id", F.explode("w").alias("word")) for i in sorted(set(own))])
+    counts = held.groupBy("word").agg(F.count("*").alias("n"))
+    numbered = cut(counts.orderBy("n", "word").withColumn("r", F.monotonically_increasing_id()), "title-words")
+    slot = F.pmod(F.xxhash64("r"), F.lit(128)).cast("int")
+    parity = lambda i: F.coalesce(F.bit_xor(F.when(F.floor(slot / 64) == i, F.call_function("shiftleft", F.lit(1).cast("long"), slot % 64))), F.lit(0).cast("long")).alias(f"x{i}")
+    sets = held.join(numbered, "word").groupBy("side", "id").agg(F.array_sort(F.collect_list(F.struct("r", "n"))).alias("s"), parity(0), parity(1))
+    sets = cut(sets.select("side", "id", F.col("s.r").alias("w"), F.col("s.n").alias("n"), "x0", "x1"), "title-sets")
+    return [sets.where(F.col("side") == i).drop("side") for i in own]
+
+
 def similar_titles(left: DataFrame, right: DataFrame, least: float = SIMILAR, word_rows: int = WORD_ROWS) -> DataFrame:
     """(left_id, right_id, similarity) of rows (id, words) whose distinct words have a Jaccard similarity of at least `least`.
 
     Words are ordered by how rare they are; two sets that alike share one of
     their first n - ceil(least * n) + 1 words, so only those are joined.  Sizes,
-    and the places of the word in both sets, bound what a pair can share; a pair
-    is looked at where the first word that both beginnings share meets.  The
+    and the places of the word in both sets, bound what a pair can share; slots
+    in which the parities of two sets differ bound from below how many words
+    only one of them has, so nearly all pairs that are not alike are told by two
+    numbers each.  A pair is looked at where its first common word meets.  The
     right rows of a word that many sets hold are dealt to one task for
     `word_rows` sets each, and the left ones are sent to all of these.  Null and
     empty sets are like nothing.
     """
-    sets = [d.select("id", F.array_distinct("words").alias("w")).where("size(w) > 0") for d in (left, right)]
-    counts = sets[0].unionByName(sets[1]).select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    sets = [d.select("id", F.array_distinct("words").alias("w")).where("size(w) > 0") for d in ((left,) if left is right else (left, right))]
+    sets = _ranked_sets([sets[0], sets[-1]])
 
     def prefixes(d: DataFrame, side: str) -> DataFrame:
-        ranked = d.select("id", F.explode("w").alias("word")).join(counts, "word").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("s"))
-        first = F.slice("s", F.lit(1), F.size("s") - F.ceil(F.size("s") * least - 1e-9).cast("int") + 1)
-        words = lambda c: F.transform(c, lambda x: x["word"])
-        rows = ranked.select(F.col("id").alias(f"{side}_id"), words(F.col("s")).alias(f"{side}_w"), words(first).alias(f"{side}_p"), F.posexplode(first).alias(f"{side}_at", "_x"))
-        return rows.select("*", F.col("_x.word").alias("word"), F.ceil(F.col("_x.n") / word_rows).cast("int").alias("_parts")).drop("_x")
+        first = F.slice("w", F.lit(1), F.size("w") - F.ceil(F.size("w") * least - 1e-9).cast("int") + 1)
+        rows = d.select(F.col("id").alias(f"{side}_id"), F.col("w").alias(f"{side}_w"), F.size("w").alias(f"{side}_n"), *(F.col(x).alias(f"{side}_{x}") for x in ("x0", "x1")), "n", F.posexplode(first).alias(f"{side}_at", "word"))
+        return rows.withColumn("_parts", F.ceil(F.col("n")[F.col(f"{side}_at")] / word_rows).cast("int")).drop("n")
 
     a = prefixes(sets[0], "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
     b = prefixes(sets[1], "right").withColumn("part", F.pmod(F.xxhash64("right_id"), F.col("_parts")).cast("int")).drop("_parts")
-    n, m = F.size("left_w"), F.size("right_w")
+    n, m = F.col("left_n"), F.col("right_n")
     both = F.least(n - F.col("left_at"), m - F.col("right_at"))  # no word before this one is shared
     fits = (n >= m * least - 1e-9) & (m >= n * least - 1e-9) & (both * (1 + least) >= (n + m) * least - 1e-9)
-    here = F.try_element_at(F.array_intersect("left_p", "right_p"), F.lit(1)) == a["word"]
-    met = a.join(b, (a["word"] == b["word"]) & (a["part"] == b["part"]) & fits & here)
-    return met.withColumn("similarity", tex.similarity(F.col("left_w"), F.col("right_w"))).where(F.col("similarity") >= least - 1e-12).select("left_id", "right_id", "similarity")
+    apart = sum((F.bit_count(F.col(f"left_{x}").bitwiseXOR(F.col(f"right_{x}"))) for x in ("x0", "x1")), F.lit(0))
+    near = apart * (1 + least) <= (n + m) * (1 - least) + 1e-9
+    here = ~F.arrays_overlap(F.slice("left_w", F.lit(1), F.col("left_at")), F.slice("right_w", F.lit(1), F.col("right_at")))
+    shared = F.size(F.array_intersect("left_w", "right_w"))
+    met = a.join(b.hint("merge"), (a["word"] == b["word"]) & (a["part"] == b["part"]) & fits & near & here & (shared * (1 + least) >= (n + m) * least - 1e-9))
+    return met.select("left_id", "right_id", (shared / (n + m - shared)).alias("similarity"))
 
 
 def best_titles(left: DataFrame, right: DataFrame, least: float = SIMILAR, word_rows: int = WORD_ROWS) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vellum.functions import names, refs, tex
 from vellum.operators import check, records, search
 from vellum.plans.registry import QUERIES, SQL, registered
-from vellum.session import ship_package, table
+from vellum.session import cut, ship_package, table
 from vellum.streaming import events as event_jobs
 
 __all__ = ["QUERIES", "SQL"]
@@ -73,9 +73,9 @@ def token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def title_similarity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document, the class of titles with its words, and how many other documents have a title that is alike."""
-    titles = table(spark, sf_dir, "documents").select("doc_id", F.array_sort(F.array_distinct(tex.words(F.substring_index("text", "\n", 1)))).alias("words"))
-    classes = titles.groupBy("words").agg(F.min("doc_id").alias("id"), F.count("*").alias("m"))
-    pairs = records.similar_titles(classes.select("id", "words"), classes.select("id", "words")).where("left_id <> right_id")
+    titles = cut(table(spark, sf_dir, "documents").select("doc_id", F.array_sort(F.array_distinct(tex.words(F.substring_index("text", "\n", 1)))).alias("words")), "titles")
+    classes = cut(titles.groupBy("words").agg(F.min("doc_id").alias("id"), F.count("*").alias("m")), "title-classes")
+    pairs = records.similar_titles(classes, classes).where("left_id <> right_id")
     others = pairs.join(classes.select(F.col("id").alias("right_id"), "m"), "right_id").groupBy(F.col("left_id").alias("id")).agg(F.sum("m").alias("others"))
     facts = classes.join(others, "id", "left").select("words", F.col("id").alias("class_id"), (F.col("m") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
     return titles.join(facts, "words").select("doc_id", "class_id", "n_links")
