@@ -32,7 +32,7 @@ def test_parities_come_before_words(spark):
     assert 0 < join.index("bit_count") < join.index("array_intersect") and "strategy=merge" in join
 
 
-@pytest.mark.parametrize("name", ["title_similarity_join"])
+@pytest.mark.parametrize("name", ["title_similarity_join", "best_title_match"])
 def test_texts_are_read_once(spark, sf, name):
     files = QUERIES[name](spark, sf).inputFiles()
     assert files and not any("documents" in f for f in files)

@@ -50,7 +50,7 @@ def search_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def best_title_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For the title of every second document the most similar one among all others."""
-    titles = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), tex.words(F.substring_index("text", "\n", 1)).alias("words"))
+    titles = cut(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.array_sort(F.array_distinct(tex.words(F.substring_index("text", "\n", 1)))).alias("words")), "titles")
     return records.best_titles(titles.where("id % 2 = 0"), titles.where("id % 2 = 1")).select(F.col("id").alias("doc_id"), "best", "similarity")
 
 
