@@ -10,7 +10,7 @@ from vellum.plans.papers import _FILES, PAPERS, paper_records
 from vellum.plans.queries import _SQL_DOCS, _doc_records, _sql_fold, _sql_term
 from vellum.plans.registry import SQL, registered, rows_of
 from vellum.schema import RECORD_FIELDS
-from vellum.session import scratch_path, ship_package, table
+from vellum.session import cut, scratch_path, ship_package, table
 from vellum.sources import directory, snapshots, store
 
 
@@ -79,8 +79,8 @@ def search_best(spark: SparkSession, sf_dir: str) -> DataFrame:
 def check_again(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All problems of a store after changes of many kinds, of which only the changed entries were checked anew."""
     ship_package(spark)
-    root, papers = scratch_path(spark, "problems"), paper_records(spark, sf_dir).drop("doc_id")
-    files = rows_of(spark, sf_dir, f"{_FILES.replace('from p', f'from ({PAPERS}) p')}", "documents").select(F.col("dir_key").alias("key"), "name", "is_dir")
+    root, papers = scratch_path(spark, "problems"), cut(paper_records(spark, sf_dir).drop("doc_id"), "papers")
+    files = cut(rows_of(spark, sf_dir, f"{_FILES.replace('from p', f'from ({PAPERS}) p')}", "documents").select(F.col("dir_key").alias("key"), "name", "is_dir"), "files")
     n = lambda c, m: F.pmod(F.regexp_extract(c, "[0-9]+", 0).cast("int"), F.lit(m))
     before = papers.where(n("dir_key", 9) != 0).withColumn("status", F.when(n("dir_key", 4) == 0, "other").otherwise(F.col("status")))
     before = before.unionByName(papers.where(n("dir_key", 3) == 0).withColumn("dir_key", F.concat(F.lit("gone"), "dir_key")))
